@@ -81,7 +81,7 @@ def with_texts_mapped(
     inner = T.StructType([*narrow.schema.fields[:-1], *[T.StructField(f"f{i}", kind) for i, (_, kind) in enumerate(fields)]])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow, width = to_arrow_schema(inner, timezone="UTC", prefers_large_types=False), len(keep)
+    arrow, width = to_arrow_schema(inner), len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
