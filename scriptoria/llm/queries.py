@@ -12,6 +12,23 @@ from scriptoria.llm.common import fold_of, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptoria.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from scriptoria.llm.bpe import encode_texts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"], decode=True)
+    return ids.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptoria.llm.mixing import mix_sources
 
