@@ -100,6 +100,10 @@ def link_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS, tile: int = TILE
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def bits_set(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x.view(np.uint64))
+
+
 def links_of(rows: np.ndarray, max_bits: int) -> Iterator[pa.RecordBatch]:
     """rows: key, tile and fingerprint, sorted; whole groups of one key and tile."""
     if len(rows) < 2:
@@ -111,7 +115,7 @@ def links_of(rows: np.ndarray, max_bits: int) -> Iterator[pa.RecordBatch]:
     place = (rows[at, 0] >> 32) & 63
     # a pair that agrees in the wildcard bit shares the whole half, and that key finds it
     side = ((a ^ b) >> (place + 32 * ((rows[at, 0] >> 38) & 1))) & 1
-    near = (np.bitwise_count(a ^ b) <= max_bits) & ((place == 32) | (side == 1))
+    near = (bits_set(a ^ b) <= max_bits) & ((place == 32) | (side == 1))
     found = [(a[near], b[near])]
     for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
         found.append(forest(fps[s : s + n], max_bits))
@@ -127,7 +131,7 @@ def forest(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
         if not queue:
             queue, rest = [rest[0]], rest[1:]
         x = queue.pop()
-        near = np.bitwise_count(rest ^ x) <= max_bits
+        near = bits_set(rest ^ x) <= max_bits
         if near.any():
             reached, rest = rest[near], rest[~near]
             a.append(np.full(len(reached), x))
