@@ -12,6 +12,15 @@ from scriptoria.llm.common import fold_of, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptoria.llm.secrets import BASE_KINDS, base_only, find_secrets, of_kind, spans_text
+
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("secret_spans")
+    counts = [F.size(of_kind(spans, kind)).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(spans_text(base_only(spans)), 256).alias("base_sha256"), spans_text(spans).alias("spans"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptoria.llm.simhash import near_duplicates
 
