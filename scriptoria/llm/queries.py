@@ -28,6 +28,15 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptoria.llm.common import shared_dir
+    from scriptoria.llm.warc import read_warc, write_warc
+
+    path = f"{shared_dir(spark)}/warc"
+    write_warc(table(spark, sf_dir, "pages"), path)
+    return read_warc(spark, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "intact")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
