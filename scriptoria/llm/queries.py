@@ -21,6 +21,12 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(spans_text(base_only(spans)), 256).alias("base_sha256"), spans_text(spans).alias("spans"))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptoria.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptoria.llm.simhash import near_duplicates
 
