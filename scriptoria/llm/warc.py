@@ -12,17 +12,15 @@ from datetime import UTC, datetime
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptoria.llm.common import bounded_sample, cut
+from scriptoria.llm.common import cut, shard_bounds, shard_of
 
 #: Records of fewer payload bytes are never revisits.
 LEAST_BYTES = 100
 #: Compressed bytes after which a shard goes on in a new file.
 ROLL_BYTES = 16_000_000
-#: Rows from which the bounds between shards are taken.
-SAMPLE_ROWS = 20_000
 #: Records carry this date unless the caller gives another: equal input makes equal bytes.
 RECORD_DATE = datetime(2024, 1, 1, tzinfo=UTC)
 
@@ -32,28 +30,6 @@ READ_SCHEMA = (
 )
 
 
-def shard_of(key: Column, bounds: list[int]) -> Column:
-    """The number of bounds that are at most the key, by binary search; null keys come after all others."""
-    if not bounds:
-        return F.lit(0)
-    table, steps = F.array(*[F.lit(b) for b in bounds]), len(bounds).bit_length()
-
-    def halve(s: Column, _: Column) -> Column:
-        middle = F.floor((s.lo + s.hi) / 2).cast("int")
-        low = F.get(table, middle) <= key
-        open_ = s.lo < s.hi
-        return F.struct(F.when(open_ & low, middle + 1).otherwise(s.lo).alias("lo"), F.when(open_ & ~low, middle).otherwise(s.hi).alias("hi"))
-
-    found = F.aggregate(F.sequence(F.lit(0), F.lit(steps)), F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), halve, lambda s: s.lo)
-    return F.coalesce(F.when(key.isNotNull(), found), F.lit(len(bounds)))
-
-
-def shard_bounds(keys: DataFrame, key: str, shards: int, most: int = SAMPLE_ROWS) -> list[int]:
-    """Keys that cut the range into about equal parts, from a sample of at most about `most` keys that a hash picks."""
-    sample = sorted(r[0] for r in bounded_sample(keys.where(F.col(key).isNotNull()).select(key), key, most).collect())
-    return sorted({sample[len(sample) * i // shards] for i in range(1, shards)} - {sample[0]}) if sample else []
-
-
 def record_roles(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """pages (page_id, url, payload) with payload_bytes, payload_digest, record_type and refers_to.
 

@@ -6,7 +6,8 @@ from pathlib import Path
 import pytest
 
 from scriptoria.llm.queries import op5_warc
-from scriptoria.llm.warc import read_warc, record_roles, shard_of, write_warc
+from scriptoria.llm.common import shard_of
+from scriptoria.llm.warc import read_warc, record_roles, write_warc
 from pyspark.sql import functions as F
 
 BIG = "<p>é</p>" * 40
