@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptoria.llm.common import fold_of, table
+from scriptoria.llm.common import bounded_sample, fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,21 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def labelled_documents(spark: SparkSession, sf_dir: str, label: str, folds: int, held: int, most: int) -> DataFrame:
+    """Texts of labelled documents outside the held-out fold: at most about `most` rows, chosen before texts are read."""
+    labels = table(spark, sf_dir, "labels").where(F.col(label).isNotNull() & (fold_of("doc_id", folds) != held)).select("doc_id", label)
+    chosen = bounded_sample(labels, "doc_id", most)
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `most` short rows
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptoria.llm.rules import TRAIN_ROWS, fit, score_quality
+
+    model = fit(labelled_documents(spark, sf_dir, "quality", 3, 1, TRAIN_ROWS), "text", "quality", "doc_id")
+    scored = score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(fold_of("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptoria.llm.cws import edited_fingerprints
 
