@@ -12,6 +12,21 @@ from scriptoria.llm.common import bounded_sample, fold_of, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def labelled_documents(spark: SparkSession, sf_dir: str, label: str, folds: int, held: int, most: int) -> DataFrame:
+    """Texts of labelled documents outside the held-out fold: at most about `most` rows, chosen before texts are read."""
+    labels = table(spark, sf_dir, "labels").where(F.col(label).isNotNull() & (fold_of("doc_id", folds) != held)).select("doc_id", label)
+    chosen = bounded_sample(labels, "doc_id", most)
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `most` short rows
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptoria.llm.toxicity import TRAIN_ROWS, fit, score_toxicity
+
+    model = fit(labelled_documents(spark, sf_dir, "toxic", 5, 0, TRAIN_ROWS))
+    scored = score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), model, keep=["doc_id"])
+    return scored.select("doc_id", F.coalesce(fold_of("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptoria.llm.secrets import BASE_KINDS, base_only, find_secrets, of_kind, spans_text
 
@@ -53,13 +68,6 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-def labelled_documents(spark: SparkSession, sf_dir: str, label: str, folds: int, held: int, most: int) -> DataFrame:
-    """Texts of labelled documents outside the held-out fold: at most about `most` rows, chosen before texts are read."""
-    labels = table(spark, sf_dir, "labels").where(F.col(label).isNotNull() & (fold_of("doc_id", folds) != held)).select("doc_id", label)
-    chosen = bounded_sample(labels, "doc_id", most)
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `most` short rows
-
-
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptoria.llm.rules import TRAIN_ROWS, fit, score_quality
 
