@@ -30,18 +30,17 @@ READ_SCHEMA = (
 )
 
 
-def record_roles(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """pages (page_id, url, payload) with payload_bytes, payload_digest, record_type and refers_to.
+def revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """page_id, payload_digest and refers_to of the rows of pages (page_id, payload) that are revisits.
 
     Of equal payloads of least_bytes or more, the smallest page_id is a response and others are revisits of it; rows that
-    repeat that page_id are responses too, and so are rows without one if none of their payload has one.
+    repeat that page_id are responses too, and so are rows without one if none of their payload has one. Payloads are
+    read, but only their digests are shuffled.
     """
-    pages = pages.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
-    long = pages.where(F.col("payload_bytes") >= least_bytes)
-    first = long.groupBy(F.col("payload_digest").alias("digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    joined = pages.join(first.drop("n"), pages.payload_digest == first.digest, "left")
-    again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
-    return joined.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("first"))).drop("digest", "first")
+    short = pages.where(F.octet_length("payload") >= least_bytes).select("page_id", F.sha2("payload", 256).alias("payload_digest")).distinct()
+    first = short.groupBy(F.col("payload_digest").alias("digest")).agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
+    again = short.join(first, short.payload_digest == first.digest).where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    return again.select("page_id", "payload_digest", "refers_to")
 
 
 def record_bytes(page_id, url, kind, refers_to, size, digest, payload, date: datetime) -> bytes:
@@ -97,19 +96,27 @@ def write_warc(
     spark = pages.sparkSession
     n = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
     bounds = shard_bounds(rows.select("page_id"), "page_id", n)
-    roles = record_roles(rows, least_bytes).withColumn("payload", F.when(F.col("record_type") == "response", F.col("payload")))
-    dealt = roles.withColumn("shard", shard_of(F.col("page_id"), bounds)).repartition("shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "payload_digest", "url")
-    order = ["shard", "page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
+    # one shuffle of payloads: which rows are revisits travels to their shards as rows of its own, which sort before them
+    again = revisits(rows, least_bytes).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "payload_digest", "refers_to", F.lit(0).alias("full"))
+    full = rows.select("page_id", "url", "payload", F.sha2("payload", 256).alias("payload_digest"), F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("full"))
+    dealt = full.unionByName(again).withColumn("shard", shard_of(F.col("page_id"), bounds)).repartition("shard")
+    dealt = dealt.sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "payload_digest", "full", "url")
+    order = ["shard", "page_id", "url", "payload", "payload_digest", "refers_to", "full"]
     staging = f"{path.rstrip('/')}/_temporary/{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        files, attempt = Shards(staging, TaskContext.get().taskAttemptId(), roll_bytes), []
+        files, attempt, known = Shards(staging, TaskContext.get().taskAttemptId(), roll_bytes), [], (None, None, None)
         for batch in batches:
-            for row in zip(*[c for c in batch.columns], strict=True):
-                shard, *record = (x.as_py() for x in row)
-                attempt += files.add(shard, gzip_member(record_bytes(*record, date), level))
+            for row in zip(*batch.columns, strict=True):
+                shard, page_id, url, payload, digest, refers_to, full = (x.as_py() for x in row)
+                if not full:
+                    known = (page_id, digest, refers_to)
+                    continue
+                kind, target = ("revisit", known[2]) if known[:2] == (page_id, digest) else ("response", None)
+                record = record_bytes(page_id, url, kind, target, len(payload), digest, payload, date)
+                attempt += files.add(shard, gzip_member(record, level))
         attempt += files.close()
         if attempt:
             yield pa.RecordBatch.from_pylist(attempt, MANIFEST)

@@ -7,7 +7,7 @@ import pytest
 
 from scriptoria.llm.queries import op5_warc
 from scriptoria.llm.common import shard_of
-from scriptoria.llm.warc import read_warc, record_roles, write_warc
+from scriptoria.llm.warc import read_warc, revisits, write_warc
 from pyspark.sql import functions as F
 
 BIG = "<p>é</p>" * 40
@@ -76,7 +76,7 @@ def test_shards_are_ranges(spark):
 
 def test_roles_of_rows_without_keys(spark):
     df = spark.createDataFrame([(None, "u", b"z" * 200)] * 2, "page_id long, url string, payload binary")
-    assert [r.record_type for r in record_roles(df).collect()] == ["response", "response"]
+    assert revisits(df).collect() == []
 
 
 def test_query(spark, tmp_path):
