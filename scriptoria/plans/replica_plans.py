@@ -220,3 +220,12 @@ def exam_weight(spark, sf_dir):
     t = F.col("doc_id") * 7 % 97
     rows = B.read(spark, sf_dir, "documents").where(t % 5 != F.col("doc_id") % 6).select(t.alias("topic_id"), F.col("doc_id").alias("document_id"), F.expr(KINDS).alias("kind"), (t % 4 == 0).cast("int").alias("emphasis"), (t % 3).alias("on_exam_list"))
     return P.exam_weight(rows, "topic_id")
+
+
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM o) SELECT user_id, count(*) AS answers, count(DISTINCT n) AS sessions FROM s GROUP BY user_id""")
+def study_sessions(spark, sf_dir):
+    from scriptoria.streaming.live import study_sessions as sessions
+
+    found = sessions(B.read(spark, sf_dir, "events"))
+    return found.groupBy("user_id").agg(F.sum("answers").alias("answers"), F.count("*").alias("sessions"))
