@@ -93,7 +93,7 @@ def shard_bounds(keys: DataFrame, key: str, shards: int, most: int = SAMPLE_ROWS
 
 
 def with_texts_mapped(
-    df: DataFrame, text_col: str, keep: Sequence[str], make: Callable[[], Callable], fields: Sequence[tuple[str, T.DataType]]
+    df: DataFrame, text_col: str, keep: Sequence[str], make: Callable[[], Callable], fields: Sequence[tuple[str, T.DataType]], batch_bytes: int = BATCH_BYTES
 ) -> DataFrame:
     """keep's columns and, from each row's text, the fields.
 
@@ -121,7 +121,7 @@ def with_texts_mapped(
                 text = text.as_py()
                 values.append(work(text))
                 size += len(text or "")
-                if size >= BATCH_BYTES:
+                if size >= batch_bytes:
                     yield flush(start, values)
                     start, size, values = start + len(values), 0, []
             if values:

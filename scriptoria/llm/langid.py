@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,13 +17,15 @@ from pyspark.sql import types as T
 from scriptoria.llm.common import bounded_sample, with_texts_mapped
 
 #: Labelled documents that a model is fitted on at most, picked by a hash of their key.
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 4_000
 #: Words, and n-grams of each length, that the model keeps for each language: its size does not grow with the data.
 KEPT_WORDS, KEPT_GRAMS = 20_000, 8_000
 #: Lengths of n-grams in the order of the backoff.
 LENGTHS = (4, 3, 2, 1)
 #: Unseen words that a worker remembers.
 MEMORY = 200_000
+#: Different words that a task counts before it hands them and their n-grams over.
+HELD = 50_000
 #: Words whose evidence counts in full; that of longer texts is scaled down to this many.
 FULL_WORDS = 40
 
@@ -52,6 +56,36 @@ class Model:
         return []
 
 
+COUNTS = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("item", pa.string()), ("n", pa.int64())])
+
+
+def count_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words and n-grams by language, handed over whenever HELD different words have come together."""
+    words: Counter = Counter()
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        # n-grams are counted once for each different word
+        held = Counter({(lang, "w", w): c for (lang, w), c in words.items()})
+        for (lang, w), c in words.items():
+            for n in LENGTHS:
+                kind = str(n)
+                for g in grams(w, n):
+                    held[lang, kind, g] += c
+        words.clear()
+        if held:
+            columns = zip(*[(*key, n) for key, n in held.items()], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, COUNTS.types, strict=True)], schema=COUNTS)
+
+    for batch in batches:
+        for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+            lang = lang.as_py()
+            for w, c in Counter(LETTERS.findall(text.as_py().lower())).items():
+                words[lang, w] += c
+            if len(words) >= HELD:
+                yield from flush()
+    yield from flush()
+
+
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", most: int = TRAIN_ROWS) -> Model:
     """Fit a model on rows with a text and a language, `most` of them at most.
 
@@ -60,23 +94,8 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
     """
     rows = bounded_sample(df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()), key_col, most)
 
-    def make():
-        def work(text):
-            words = Counter(LETTERS.findall(text.lower()))
-            out = [("w", w, c) for w, c in words.items()]
-            for n in LENGTHS:
-                seen = Counter()
-                for w, c in words.items():
-                    for g in grams(w, n):
-                        seen[g] += c
-                out += [(str(n), g, c) for g, c in seen.items()]
-            return ([{"kind": k, "item": i, "n": c} for k, i, c in out],)
-
-        return work
-
-    item = T.StructType([T.StructField("kind", T.StringType()), T.StructField("item", T.StringType()), T.StructField("n", T.LongType())])
-    counted = with_texts_mapped(rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), "text", ["lang"], make, [("items", T.ArrayType(item))])
-    totals = counted.select("lang", F.inline("items")).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    counted = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(count_items, "lang string, kind string, item string, n long")
+    totals = counted.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     mass = {(r.lang, r.kind): r.n for r in totals.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
     rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.col("n").desc(), "item"))
     kept = totals.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("kind") == "w", KEPT_WORDS).otherwise(KEPT_GRAMS)).where("n > 1").drop("rank").collect()

@@ -208,7 +208,7 @@ def learned_terms(rows: DataFrame) -> list[str]:
         return work
 
     item = T.StructType([T.StructField("word", T.StringType()), T.StructField("before", T.StringType())])
-    pairs = with_texts_mapped(rows, "text", ["label"], make, [("items", T.ArrayType(item))]).select("label", F.inline("items"))
+    pairs = with_texts_mapped(rows, "text", ["label"], make, [("items", T.ArrayType(item))], batch_bytes=500_000).select("label", F.inline("items"))
     toxic = rows.where("label = 1").count()
     found = pairs.groupBy("word").agg(F.sum("label").alias("toxic"), F.count("*").alias("n"), F.count_distinct(F.when(F.col("label") == 1, F.col("before"))).alias("contexts"))
     found = found.where((F.col("toxic") >= max(3, toxic / 100)) & (F.col("toxic") >= 0.9 * F.col("n")) & (F.col("contexts") >= 0.6 * F.col("toxic")))
