@@ -103,4 +103,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from scriptoria.llm import oracles
+
+    return oracles.oracle_sql()
