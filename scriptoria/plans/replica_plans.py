@@ -12,7 +12,7 @@ from scriptoria.plans.bindings import NOW, TABLES, recall_sql
 from scriptoria.plans.registry import query
 
 #: Lines of an order in a total order: their numbers repeat.
-LINES = [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_extendedprice")]
+LINES = ["l_linenumber", "l_partkey", "l_extendedprice"]
 #: Two replicas of the customers: what each holds, when it wrote it, and what was deleted.
 REPLICAS = """
 base AS (SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_custkey * 7 % 30 AS updated_at FROM customer WHERE c_custkey % 3 <> 0),
