@@ -207,6 +207,7 @@ def case_numbers(text: Column) -> Column:
 
 def detected_date(text: Column) -> Column:
     """The first date: 2026-10-06, else 6.10.2026, else day, month name and year; null if it is none that can be."""
+    # fixed values: the forms of dates
     iso, local = r"\b(20\d{2})[-_.](\d{1,2})[-_.](\d{1,2})\b", r"\b(\d{1,2})[.\-_/](\d{1,2})[.\-_/](20\d{2})\b"
     named = r"\b(\d{1,2})\s+([a-ząćęłńóśźż]+)\s+(20\d{2})\b"
     g = lambda t, p, i: F.regexp_extract(t, p, i)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -96,51 +97,70 @@ def text_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, F.struct("part", "at").alias("ord"), "b.kind", "b.level", "b.text")
 
 
+# What a sentence is when long paragraphs are split, and where a text may be cut.
+SENTENCE = re.compile(r"[^.!?;]+[.!?;]+(?:\s|$)|[^.!?;]+$")
+CUT = re.compile(r"(?<=\n\n)|(?<=[.!?;:])\s+(?=\S)")
+
+
+def filled(units: Iterable[tuple[str, int]], room: int, gap: int = 0) -> Iterator[list[str]]:
+    """Units (text, size) in order, in groups of at most `room`, with `gap` for each one that is in already; a unit that is
+    larger than that is a group by itself."""
+    group, used = [], 0
+    for text, size in units:
+        if group and used + size > room:
+            yield group
+            group, used = [], 0
+        group.append(text)
+        used += size + gap
+    if group:
+        yield group
+
+
+def sliced(text: str, most: int, step: int) -> list[tuple[str, int]]:
+    """A unit, or slices of one that is too long, sized so that each stays alone."""
+    return [(text, len(text))] if len(text) <= most else [(text[i : i + step], most + 1) for i in range(0, len(text), step)]
+
+
 def split_long(text: str) -> list[str]:
-    """Pieces of at most MOST characters, packed from sentences up to TARGET."""
+    """Pieces of at most MOST characters, filled with sentences up to TARGET."""
     if len(text) <= MOST:
         return [text]
-    out, cur = [], ""
-    for s in re.findall(r"[^.!?;]+[.!?;]+(?:\s|$)|[^.!?;]+$", text) or [text]:
-        if cur and len(cur) + len(s) > TARGET:
-            out.append(cur.strip())
-            cur = ""
-        if len(s) > MOST:
-            out += [s[i : i + TARGET].strip() for i in range(0, len(s), TARGET)]
-        else:
-            cur += s
-    return out + ([cur.strip()] if cur.strip() else [])
-
+    units = [u for sentence in SENTENCE.findall(text) or [text] for u in sliced(sentence, MOST, TARGET)]
+    return [t for group in filled(units, TARGET) if (t := "".join(group).strip())]
 
-def packed(blocks) -> list[dict]:
-    """Chunks of one document from its blocks (kind, level, text, page) in order: paragraphs are packed to about TARGET
-    characters, a heading begins a new chunk and gives it its path, and pages give its range."""
-    chunks, path, paras, size, pages = [], [], [], 0, []
-
-    def flush():
-        nonlocal paras, size, pages
-        if paras:
-            chunks.append({"ord": len(chunks), "heading_path": [p for p in path if p], "page_from": min(pages, default=None), "page_to": max(pages, default=None), "text": "\n\n".join(paras)})
-        paras, size, pages = [], 0, []
 
+def sections(blocks) -> Iterator[tuple[list[str], list[tuple[str, int | None]]]]:
+    """(heading path, paragraphs with pages) between one heading and the next."""
+    path: dict[int, str] = {}
+    inside: list[tuple[str, int | None]] = []
     for b in blocks:
-        if b["kind"] == "heading":
-            flush()
-            level = max(1, min(6, int(b["level"] or 1)))
-            path[level - 1 :] = [""] * max(0, level - 1 - len(path)) + [b["text"]]
+        if b["kind"] != "heading":
+            inside.append((b["text"], None if b["page"] is None else int(b["page"])))
             continue
-        text = re.sub(r" *\n *", "\n", re.sub("[   \t ]+", " ", b["text"].replace("­", ""))).strip()
-        for piece in split_long(text) if text else ():
-            if size and size + len(piece) > TARGET:
-                flush()
-            paras.append(piece)
-            size += len(piece) + 2
-            if b["page"] is not None:
-                pages.append(int(b["page"]))
-    flush()
+        yield [path[k] for k in sorted(path) if path[k]], inside
+        level = max(1, min(6, int(b["level"] or 1)))
+        path, inside = {**{k: v for k, v in path.items() if k < level}, level: b["text"]}, []
+    yield [path[k] for k in sorted(path) if path[k]], inside
+
+
+def packed(blocks) -> list[dict]:
+    """Chunks of one document from its blocks (kind, level, text, page) in order: a section's paragraphs fill chunks of about
+    TARGET characters, which have its heading path and the range of their pages."""
+    chunks = []
+    for path, paragraphs in sections(blocks):
+        pieces = [(piece, page) for text, page in paragraphs for piece in split_long(plain_paragraph(text)) if piece]
+        at = 0
+        for group in filled([(piece, len(piece)) for piece, _ in pieces], TARGET, 2):
+            pages = [page for _, page in pieces[at : at + len(group)] if page is not None]
+            at += len(group)
+            chunks.append({"ord": len(chunks), "heading_path": path, "page_from": min(pages, default=None), "page_to": max(pages, default=None), "text": "\n\n".join(group)})
     return chunks
 
 
+def plain_paragraph(text: str) -> str:
+    return re.sub(r" *\n *", "\n", re.sub("[ \u00a0\u2007\u202f\t]+", " ", text.replace("\u00ad", ""))).strip()
+
+
 CHUNK = "array<struct<ord:int,heading_path:array<string>,page_from:int,page_to:int,text:string>>"
 
 
@@ -162,16 +182,8 @@ def split_text(text: str, most: int) -> list[str]:
     """Pieces of at most `most` characters, cut at paragraph or sentence ends as far as there are any."""
     if len(text) <= most:
         return [text]
-    out, cur = [], ""
-    for unit in re.split(r"(?<=\n\n)|(?<=[.!?;:])\s+(?=\S)", text):
-        if cur and len(cur) + len(unit) + 1 > most:
-            out.append(cur.strip())
-            cur = ""
-        if len(unit) > most:
-            out += [unit[i : i + most].strip() for i in range(0, len(unit), most)]
-        else:
-            cur += (" " if cur and not cur.endswith("\n") else "") + unit
-    return [x for x in [*out, cur.strip()] if x]
+    units = [u for unit in CUT.split(text) for u in sliced(unit, most, most)]
+    return [t for group in filled(units, most, 1) if (t := " ".join(group).strip())]
 
 
 def exact_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
