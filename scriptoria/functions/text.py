@@ -53,8 +53,8 @@ def fold(text: Column) -> Column:
 
 def clean(text: Column) -> Column:
     """Without soft hyphens, with plain and single blanks, trimmed; line breaks stay."""
-    t = F.regexp_replace(text, "­", "")
-    t = F.regexp_replace(t, "[   \t ]+", " ")
+    t = F.regexp_replace(text, "\u00ad", "")
+    t = F.regexp_replace(t, "[\u00a0\u2007\u202f\t ]+", " ")
     return F.regexp_replace(F.regexp_replace(t, " *\n *", "\n"), r"(?U)^\s+|\s+$", "")
 
 

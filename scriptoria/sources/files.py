@@ -98,7 +98,7 @@ def rtf_text(data: bytes) -> str:
             else:
                 out.append(bytes.fromhex(code).decode("cp1250", "replace"))
         elif sign:
-            out.append({"~": " ", "_": "-", "-": "­"}.get(sign, sign if sign in "\\{}" else ""))
+            out.append({"~": " ", "_": "-", "-": "\u00ad"}.get(sign, sign if sign in "\\{}" else ""))
         elif run:
             out.append(run[min(skip, len(run)) :])
             skip = max(0, skip - len(run))
