@@ -25,7 +25,7 @@ LENGTHS = (4, 3, 2, 1)
 #: Unseen words that a worker remembers.
 MEMORY = 200_000
 #: Different words that a task counts before it hands them and their n-grams over.
-HELD = 50_000
+HELD = 10_000
 #: Words whose evidence counts in full; that of longer texts is scaled down to this many.
 FULL_WORDS = 40
 
