@@ -136,6 +136,13 @@ def closest_passage(spark, sf_dir):
     return rows.where("p is not null").select("item_id", F.round("p.score", 6).alias("score"), "p.passage")
 
 
+@query()
+def closest_passage_all(spark, sf_dir):
+    """Each benchmark item's closest passage in all documents; pairs are too many for SQL, so it is tested by brute force."""
+    found = S.closest_passages(B.read(spark, sf_dir, "benchmark"), docs(spark, sf_dir), "item_id", "doc_id", "text")
+    return found.select("item_id", "doc_id", F.round("score", 6).alias("score"), "passage")
+
+
 @query()
 def locate_quote(spark, sf_dir):
     """Benchmark passages located in all documents, word for word or nearly; needs alignment, so no SQL."""
