@@ -56,6 +56,16 @@ def jaccard_similar_pairs(spark, sf_dir):
     return S.similar_names(left, right, "p_partkey", "other_id", "name").withColumn("score", F.round("score", 6))
 
 
+@query(f"""WITH t AS (SELECT p_partkey, list_sort(list_distinct({search_tokens_sql("p_type || ' ' || p_brand")})) AS tokens FROM part), n AS (SELECT DISTINCT tokens FROM t WHERE len(tokens) > 0),
+s AS (SELECT a.tokens, b.tokens AS others, len(list_intersect(a.tokens, b.tokens)) / (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens))) AS score FROM n a, n b),
+p AS (SELECT t.p_partkey, o.p_partkey AS other_id, score FROM s JOIN t USING (tokens) JOIN t o ON o.tokens = s.others WHERE score >= 0.5 AND o.p_partkey <> t.p_partkey)
+SELECT p_partkey, other_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, other_id) AS INTEGER) AS rank FROM p) WHERE rank <= 3""")
+def jaccard_similar_all(spark, sf_dir):
+    """Every part's name against all other parts."""
+    parts = B.read(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_type", "p_brand").alias("name"))
+    return S.similar_among(parts, "p_partkey", "name").withColumn("score", F.round("score", 6))
+
+
 CLAIM = """'art. ' || (o_orderkey % 900 + 1) || CASE WHEN o_orderkey % 3 = 0 THEN '–' || (o_orderkey % 900 + 1 + o_orderkey % 4) ELSE '' END || CASE WHEN o_orderkey % 2 = 0 THEN ' § ' || (o_orderkey % 7 + 1) ELSE '' END
 || CASE WHEN o_orderkey % 5 = 0 THEN ' pkt ' || (o_orderkey % 4 + 1) ELSE '' END || CASE o_orderkey % 4 WHEN 0 THEN ' k.c.' WHEN 1 THEN ' kpc' WHEN 2 THEN ' Konstytucji RP' ELSE '' END
 || ', termin ' || CASE o_orderkey % 3 WHEN 0 THEN 'lat dwudziestu' WHEN 1 THEN (o_orderkey % 50) || ' dni' ELSE (o_orderkey % 9) || ',5 roku' END"""

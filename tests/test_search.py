@@ -28,3 +28,18 @@ def test_closest_passage_of_all_documents(spark, tmp_path):
     found = {r.item_id: (r.doc_id, r.score, r.passage) for r in P.closest_passage_all(spark, str(tmp_path)).collect()}
     assert found == passages_by_brute_force(spark, items, docs)
     assert found[90] == (5000, 1.0, "An anchor rests beneath the frozen waterfall.") and 91 not in found and 92 not in found
+
+
+def test_similar_names_of_all_parts(spark, tmp_path):
+    rng = random.Random(5)
+    parts = [(i, " ".join(rng.sample(WORDS[:9], rng.randint(1, 4))), rng.choice(["", "Brand#1", "Brand#2"])) for i in range(1, 150)] + [(500, "", ""), (501, None, "")]
+    spark.createDataFrame(parts, "p_partkey long, p_type string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    sets = {k: set(f"{t} {b}".lower().replace("#", " ").split()) for k, t, b in parts if t}
+    sets = {k: {w if w[0].isdigit() else w[:6] for w in v} for k, v in sets.items()}
+    want = set()
+    for k, a in sets.items():
+        scores = sorted((-len(a & b) / len(a | b), o) for o, b in sets.items() if o != k and len(a & b) / len(a | b) >= 0.5)
+        want |= {(k, o, round(-s, 6), i) for i, (s, o) in enumerate(scores[:3], 1)}
+    found = P.jaccard_similar_all(spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in found} == want and len(found) == len(want)
+    assert any(k > 60 for k, *_ in want) and any(k <= 60 and o <= 60 for k, o, *_ in want)
