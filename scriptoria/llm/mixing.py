@@ -27,9 +27,53 @@ aggregate(
   s -> s.picks)
 """
 
+#: Parts of the whole to which weights are taken where a period of COARSE slots would be wrong by a block or more in the end.
+COARSE, FINE = 1000, 10**10
+#: Slots that are collected before they are handed on, so that long schedules are not copied for each slot.
+CHUNK = 256
+
+#: The same rule over all blocks, slot by slot and without periods. When a source is used up, the windows of the others begin
+#: anew at the next slot with the shares that they have without it.
+EXACT_SCHEDULE = f"""
+aggregate(
+  sequence(0L, (n_blocks - 1) div {CHUNK}),
+  named_struct('done', array_repeat(0L, size(all)), 'base', array_repeat(0L, size(all)), 'start', 0L, 'period', whole,
+    'picks', cast(array() as array<PICK>), 'out', cast(array() as array<array<PICK>>)),
+  (o, chunk) -> element_at(transform(array(aggregate(
+    sequence(chunk * {CHUNK}, least(n_blocks, (chunk + 1) * {CHUNK}) - 1), o,
+    (s, slot) -> element_at(transform(
+      array(array_min(filter(
+        transform(all, (x, i) -> if(s.done[i] < x.blocks, named_struct(
+          'deadline', ((s.done[i] - s.base[i] + 1) * s.period + x.units - 1) div x.units, 'i', i, 'release', ((s.done[i] - s.base[i]) * s.period) div x.units), null)),
+        w -> w.release <= slot - s.start))),
+      pick -> element_at(transform(
+        array(transform(s.done, (d, i) -> if(i = pick.i, d + 1, d))),
+        done -> named_struct(
+          'done', done,
+          'base', if(done[pick.i] = all[pick.i].blocks, done, s.base),
+          'start', if(done[pick.i] = all[pick.i].blocks, slot + 1, s.start),
+          'period', if(done[pick.i] = all[pick.i].blocks, s.period - all[pick.i].units, s.period),
+          'picks', concat(s.picks, array(named_struct('source', all[pick.i].source, 'units', all[pick.i].units, 'block', s.done[pick.i], 'slot', slot,
+            'start', s.start, 'period', s.period, 'release', pick.release, 'deadline', pick.deadline))),
+          'out', s.out)), 1)), 1))),
+    e -> named_struct('done', e.done, 'base', e.base, 'start', e.start, 'period', e.period, 'picks', cast(array() as array<PICK>), 'out', concat(e.out, array(e.picks)))), 1),
+  o -> o.out)
+""".replace("PICK", "struct<source:string,units:bigint,block:bigint,slot:bigint,start:bigint,period:bigint,release:bigint,deadline:bigint>")
+
+
+def exact_slots(sources: DataFrame) -> DataFrame:
+    """A row for each block: source, units, block, slot, start, period, release, deadline.
+
+    Each slot depends on the one before, so one task goes over the blocks; it reads the sources' rows only.
+    """
+    one = sources.agg(F.sort_array(F.collect_list(F.struct("source", "units", "blocks"))).alias("all"), F.sum("units").alias("whole"), F.sum("blocks").alias("n_blocks"))
+    chunks = one.where("n_blocks > 0").select(F.explode(F.expr(EXACT_SCHEDULE)).alias("chunk"))
+    return chunks.select(F.explode("chunk").alias("x")).select("x.*")
+
 
 def source_table(counts: DataFrame, weights: dict[str, float] | None, temperature: float, block_rows: int, resolution: int) -> DataFrame:
-    """One row per source: rows, blocks, units of a period, and life, the number of periods in which it takes part.
+    """One row per source: rows, blocks, units of a period, life, the number of periods in which it takes part, and share,
+    the target (null if no source has a weight).
 
     counts has (source, bucket, n). Without weights, a source's weight is its row count to the power temperature.
     """
@@ -47,7 +91,8 @@ def source_table(counts: DataFrame, weights: dict[str, float] | None, temperatur
         .withColumn("units", F.greatest(F.lit(1), F.round(F.try_divide(F.col("weight") * resolution, "total"))).cast("long"))
         .withColumn("units", F.coalesce("units", F.lit(1)).cast("long"))
         .withColumn("life", F.ceil(F.col("blocks") / F.col("units")))
-        .select("source", "n_rows", "blocks", "units", "life")
+        .withColumn("share", F.try_divide("weight", "total"))
+        .select("source", "n_rows", "blocks", "units", "life", "share")
     )
 
 
@@ -91,7 +136,7 @@ def mix_sources(
     weights: dict[str, float] | None = None,
     temperature: float = 0.5,
     block_rows: int = 16,
-    resolution: int = 1000,
+    resolution: int | None = None,
     buckets: int = 256,
 ) -> DataFrame:
     """Give each row its place in a mixture of the sources.
@@ -100,7 +145,10 @@ def mix_sources(
     subtask with a release slot and a deadline slot from its source's share of a period; earliest-deadline-first over
     these windows fills every slot of the period, so at each slot a source's number of blocks differs from its share by
     less than one block. A period has about `resolution` slots, and every source at least one, so weights hold to one
-    part in `resolution`. When a source is used up, the others share its slots in proportion. No row is dropped or repeated.
+    part in `resolution`. Unless resolution is given, it is COARSE where that rounding adds up to less than one block over
+    all slots; for larger inputs or smaller weights there are no periods, the windows are those of the weights themselves
+    (to one part in FINE), and mix_start is the slot after which the last source was used up. When a source is used up, the
+    others share its slots in proportion. No row is dropped or repeated.
 
     Added: mix_block (the source's block, from 0), mix_units and mix_period (share = units / period), mix_release and
     mix_deadline (slots from the start of the row's period), mix_slot, mix_start (first slot of that period) and
@@ -117,10 +165,17 @@ def mix_sources(
     rows = df.withColumn(src, F.col(source_col).cast("string")).withColumn(order, F.md5(F.coalesce(F.col(key_col).cast("string"), F.lit(""))))
     rows = rows.withColumn(bucket, F.expr(f"cast(conv(substr({order}, 1, 4), 16, 10) as int) * {int(buckets)} div 65536"))
     counts = cut(rows.groupBy(F.col(src).alias("source"), F.col(bucket).alias("bucket")).agg(F.count("*").alias("n")), "counts")
-    sources = cut(source_table(counts, weights, temperature, block_rows, resolution).coalesce(1), "sources")
-    if (n := sources.count()) > MAX_SOURCES:
+    sources = cut(source_table(counts, weights, temperature, block_rows, resolution or COARSE).coalesce(1), "sources")
+    whole = sources.agg(F.sum("units").alias("period"), F.sum("blocks").alias("n_blocks"), F.count("*").alias("n"))
+    seen = sources.crossJoin(whole).agg(F.max("n").alias("n"), F.max(F.abs(F.col("units") / F.col("period") - F.col("share")) * F.col("n_blocks")).alias("wrong")).first()
+    if (n := seen.n or 0) > MAX_SOURCES:
         raise ValueError(f"{n} sources; at most {MAX_SOURCES} can be mixed, so merge small ones first")
-    patterns = cut(period_patterns(sources).coalesce(1), "patterns")
+    exact = resolution is None and (seen.wrong or 0) >= 1
+    if exact:
+        sources = cut(source_table(counts, weights, temperature, block_rows, FINE).coalesce(1), "sources")
+        slots = cut(exact_slots(sources), "slots")
+    else:
+        patterns = cut(period_patterns(sources).coalesce(1), "patterns")
 
     before = F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     lives = sources.agg(F.array_sort(F.collect_set("life")).alias("lives"))
@@ -134,6 +189,14 @@ def mix_sources(
     numbered = rows.withColumn(place, F.row_number().over(Window.partitionBy(src, bucket).orderBy(order, key_col)) - 1)
     numbered = numbered.join(F.broadcast(offsets), numbered[src].eqNullSafe(offsets[o_source]) & (numbered[bucket] == offsets[o_bucket]))
     number, period_no, phase, k = fresh(numbered, "number", "period_no", "phase_no", "k_no")
+    if exact:
+        numbered = numbered.withColumn(number, F.col(o_before) + F.col(place)).withColumn("mix_block", F.expr(f"{number} div {block_rows}"))
+        x = slots.toDF(*(xn := fresh(numbered, *slots.columns)))
+        of = dict(zip(slots.columns, xn, strict=True))
+        placed = numbered.join(x, numbered[src].eqNullSafe(x[of["source"]]) & (numbered["mix_block"] == x[of["block"]]))
+        for name in ("units", "period", "release", "deadline", "slot", "start"):
+            placed = placed.withColumn(f"mix_{name}", F.col(of[name]))
+        return placed.withColumn("mix_position", F.col("mix_slot") * block_rows + F.col(number) % block_rows).select(*df.columns, *made)
     numbered = (
         numbered.withColumn(number, F.col(o_before) + F.col(place))
         .withColumn("mix_block", F.expr(f"{number} div {block_rows}"))
