@@ -2,33 +2,43 @@
 
 from __future__ import annotations
 
-from scriptoria.llm.secrets import ALLOWED, BASE_KINDS, CANDIDATE, THRESHOLDS, WINDOW
+from scriptoria.llm.secrets import ALLOWED, BASE_KINDS, CANDIDATE, STRETCH, THRESHOLDS, WINDOW
 
 
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-def _pieces(kind: str, pattern: str) -> str:
-    """Matches of a pattern with their starts, from the pieces between them."""
+def _pieces(kind: str, pattern: str, texts: str) -> str:
+    """Matches of a pattern in texts (doc_id, text) with their starts, from the pieces between them."""
     p = _quoted(pattern)
     return f"""m_{kind} AS (SELECT doc_id, i, m[i] AS piece, CAST(coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
-  FROM (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {p}) AS m, string_split_regex(coalesce(text, ''), {p}) AS g FROM documents)))"""
+  FROM (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, {p}) AS m, string_split_regex(text, {p}) AS g FROM {texts})))"""
+
+
+def _blanked(name: str, spans: str, texts: str) -> str:
+    """texts with a blank for each character that spans (doc_id, listed, start, stop) cover."""
+    return f"""{name}_parts AS (SELECT doc_id, listed, start, stop, coalesce(max(stop) OVER (PARTITION BY doc_id ORDER BY start, listed ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM {spans}),
+  {name}_done AS (SELECT doc_id, string_agg(substring(text, done + 1, greatest(start - done, 0)) || repeat(' ', greatest(stop - greatest(start, done), 0)), '' ORDER BY start, listed) || substring(any_value(text), max(stop) + 1) AS text
+    FROM {name}_parts JOIN {texts} USING (doc_id) GROUP BY doc_id),
+  {name} AS (SELECT t.doc_id, coalesce(n.text, t.text) AS text FROM {texts} t LEFT JOIN {name}_done n USING (doc_id))"""
 
 
 def secrets_sql() -> str:
-    parts = [_pieces(kind, pattern) for kind, (pattern, _, _) in BASE_KINDS.items()] + [_pieces("entropy", CANDIDATE)]
+    parts = [_pieces(kind, pattern, "whole") for kind, (pattern, _, _) in BASE_KINDS.items()]
     base = " UNION ALL ".join(
         f"SELECT doc_id, {n} AS listed, '{kind}' AS kind, start, start + length(piece) AS stop FROM m_{kind} WHERE length({f'regexp_extract(piece, {_quoted(pattern)}, {group})' if group else 'piece'}) >= {least}"
         for n, (kind, (pattern, group, least)) in enumerate(BASE_KINDS.items())
     )
-    plain = " OR ".join(f"regexp_matches(piece, {_quoted(p)})" for p in ALLOWED if r"\1" not in p)
-    again = "list_bool_or(list_transform(range(1, 9), lambda p: length(piece) >= 3 * p AND starts_with(piece, repeat(substring(piece, 1, p), 3))))"
+    plain = " OR ".join(f"regexp_matches(piece, {_quoted(p)})" for p in ALLOWED)
     bits = f"CASE WHEN regexp_matches(piece, '^[0-9a-fA-F-]+$') THEN {THRESHOLDS['hex']} WHEN regexp_matches(piece, '^[A-Za-z0-9]+$') THEN {THRESHOLDS['alnum']} ELSE {THRESHOLDS['base64']} END"
     most = f"list_max(list_transform(range(1, greatest(1, length(piece) - {WINDOW - 1}) + 1), lambda i: list_entropy(string_split(substring(piece, i, {WINDOW}), ''))))"
-    return f"""WITH {", ".join(parts)}, base AS ({base}),
-    random AS (SELECT doc_id, 3 AS listed, 'entropy' AS kind, start, start + length(piece) AS stop FROM m_entropy WHERE NOT ({plain}) AND NOT {again} AND {most} >= {bits}),
-    spans AS (FROM base UNION ALL SELECT * FROM random r WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.start < r.stop AND r.start < b.stop)),
+    return f"""WITH whole AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {", ".join(parts)}, base AS ({base}),
+    {_blanked("without_base", "base", "whole")}, {_pieces("allowed", STRETCH, "without_base")},
+    stretches AS (SELECT doc_id, 0 AS listed, start, start + length(piece) AS stop FROM m_allowed),
+    {_blanked("rest", "stretches", "without_base")}, {_pieces("entropy", CANDIDATE, "rest")},
+    random AS (SELECT doc_id, 3 AS listed, 'entropy' AS kind, start, start + length(piece) AS stop FROM m_entropy WHERE NOT ({plain}) AND {most} >= {bits}),
+    spans AS (FROM base UNION ALL FROM random),
     sums AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
       string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, listed) FILTER (listed < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, listed) AS spans FROM spans GROUP BY doc_id)
     SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN sums USING (doc_id)"""

@@ -25,47 +25,98 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Bits a character that some window must reach, by the class of the candidate's characters.
 THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "base64": 3.75}
-#: Candidates that are no secrets: words without digits, plain numbers, UUIDs, digests that say so, paths and addresses,
-#: one piece again and again, and the usual placeholders.
-ALLOWED = (
-    r"^[A-Za-z_=/+-]+$",
-    r"^[0-9_=/+-]+$",
-    r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
-    r"(?i)^(sha(1|256|384|512)|md5|digest|integrity|checksum|etag)[-_=:]",
-    r"^/?([a-z]{2,}/){2,}",
-    r"(?i)example|placeholder|changeme|dummy|sample|xxxx|your[-_]|0123456789|abcdefgh",
-    r"^(.{1,8}?)\1{2,}",
+#: Stretches that are no secrets and are taken out of a candidate before what is left of it is judged: UUIDs, labelled digests,
+#: lower-case path parts, a much quoted sample key, and the usual placeholders. No group is repeated, so no
+#: stack grows with a run, and letters before a slash are bounded, so that no run is read again from each of its places.
+STRETCHES = (
+    r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
+    r"(?i:sha1|sha256|sha384|sha512|md5|digest|integrity|checksum|etag)[-_=][A-Za-z0-9+/]{16,}={0,2}",
+    r"[a-z]{2,40}/[a-z]{2,40}/",
+    r"wJalrXUtnFEMI/K7MDENG/bPxRfiCY",
+    r"(?i:example|placeholder|changeme|dummy|sample|xxxx|your[-_]|0123456789|abcdefgh)",
 )
+STRETCH = "|".join(STRETCHES)
+#: What is left of a candidate is no secret if it has no digits, or nothing but digits.
+ALLOWED = (r"^[A-Za-z_=/+-]+$", r"^[0-9_=/+-]+$")
 
 SPAN = "struct<start:int,listed:int,end:int,kind:string>"
+#: Code points in the blocks that texts are cut into before stretches of them are taken.
+BLOCK = 4096
+
+
+def running(values: Column, both) -> Column:
+    """The running result of an associative function over an array, itself included: ever longer steps double what each
+    place has taken in, so n places cost n log n."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values).cast("double"))).cast("int"))
+
+    def double(a: Column, p: Column) -> Column:
+        far = F.pow(F.lit(2), p).cast("int")
+        return F.transform(a, lambda x, i: F.when(i >= far, both(x, F.get(a, i - far))).otherwise(x))
+
+    return F.when(F.size(values) < 2, values).otherwise(F.aggregate(steps, values, double))
+
+
+def bound_to(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def spans_of(text: Column, kind: str, listed: int, pattern: str, group: int, least: int, keep=None) -> Column:
     """The spans of a pattern's matches whose group has `least` characters: from 0, end exclusive, in code points.
 
-    Matches are leftmost and do not overlap. The pieces between them, which split() gives, tell where each one starts;
-    only texts with a match are split. keep takes a match and says whether it counts.
+    Matches are leftmost and do not overlap. The pieces between them, which split() gives, and running sums tell where
+    each one starts; only texts with a match are split. keep takes a match and says whether it counts.
     """
-    nothing = F.array().cast(f"array<{SPAN}>")
 
     def placed(found: Column) -> Column:
-        def step(state: Column, i: Column) -> Column:
-            match, start = F.get(found.m, i), state.at + F.length(F.get(found.gaps, i))
-            end = start + F.length(match)
+        lengths = F.transform(found.m, lambda m, i: F.length(F.get(found.gaps, i)) + F.length(m))
+
+        def span(end: Column, i: Column) -> Column:
             good = F.length(F.get(found.part, i)) >= least
-            good = good & keep(match) if keep else good
-            span = F.struct(start.alias("start"), F.lit(listed).alias("listed"), end.alias("end"), F.lit(kind).alias("kind"))
-            return F.struct(end.alias("at"), F.when(good, F.concat(state.spans, F.array(span))).otherwise(state.spans).alias("spans"))
+            good = good & keep(F.get(found.m, i)) if keep else good
+            made = F.struct((end - F.length(F.get(found.m, i))).alias("start"), F.lit(listed).alias("listed"), end.alias("end"), F.lit(kind).alias("kind"))
+            return F.when(good, made)
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(found.m) - 1), F.struct(F.lit(0).alias("at"), nothing.alias("spans")), step, lambda s: s.spans)
+        return F.filter(bound_to(running(lengths, lambda x, y: x + y), lambda ends: F.transform(ends, span)), lambda s: s.isNotNull())
 
     def split_at(m: Column) -> Column:
         part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else m
-        bound = F.array(F.struct(m.alias("m"), F.split(text, pattern, -1).alias("gaps"), part.alias("part")))
-        return F.flatten(F.transform(bound, placed))
+        return bound_to(F.struct(m.alias("m"), F.split(text, pattern, -1).alias("gaps"), part.alias("part")), placed)
 
     matches = F.filter(F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), lambda m: F.size(m) > 0)
-    return F.flatten(F.transform(matches, split_at))
+    return F.flatten(F.transform(matches, split_at)).cast(f"array<{SPAN}>")
+
+
+def with_stretches_replaced(text: Column, spans: Column, filler) -> Column:
+    """The text with filler(span, covered from) for each stretch that spans, sorted by their start, cover.
+
+    covered from is where the span's own part begins, after all earlier spans' ends. The text is cut into blocks by one
+    pass, so a stretch is found without counting from the text's start.
+    """
+
+    def between(blocks: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int")
+        one = F.substr(F.get(blocks, first), a % BLOCK + 1, b - a)
+        head, tail = F.substr(F.get(blocks, first), a % BLOCK + 1), F.substr(F.get(blocks, last), F.lit(1), (b - 1) % BLOCK + 1)
+        inner = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        return F.when(a >= b, F.lit("")).when(first == last, one).otherwise(F.concat(head, inner, tail))
+
+    def replaced(x: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            before = F.coalesce(F.when(i > 0, F.get(x.ends, i - 1)), F.lit(0))
+            return F.concat(between(x.blocks, before, s.start), filler(s, F.greatest(before, s.start), before))
+
+        rest = between(x.blocks, F.element_at(x.ends, -1), F.length(text))
+        return F.concat(F.array_join(F.transform(spans, piece), ""), rest)
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    ends = running(F.transform(spans, lambda s: s.end), F.greatest)
+    return F.when(F.size(spans) > 0, bound_to(F.struct(blocks.alias("blocks"), ends.alias("ends")), replaced)).otherwise(text)
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with a blank for each character that spans cover: what is left keeps its place."""
+    return with_stretches_replaced(text, spans, lambda s, begins, _: F.repeat(F.lit(" "), F.greatest(s.end - begins, F.lit(0))))
 
 
 def class_bits(candidate: Column) -> Column:
@@ -78,35 +129,45 @@ def class_bits(candidate: Column) -> Column:
 
 
 def window_entropy(candidate: Column, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy, in bits a character, of the candidate's windows of `window` characters.
+    """The largest Shannon entropy, in bits a character, of the candidate's windows of `window` (at most 31) characters.
 
-    One pass: a count for each character code ('+' to 'z') and the sum of c*log2(c) over the counts, both brought up to
-    date by the character that comes in and the one that goes out. Shorter candidates have one window, all of them.
+    One pass: a count of five bits for each character code ('+' to 'z'), twelve counts in a long, and the sum of c*log2(c)
+    over the counts, both brought up to date by the character that comes in and the one that goes out. Shorter candidates
+    have one window, all of them.
     """
+    if window > 31:
+        raise ValueError("counts have five bits, so a window has at most 31 characters")
     terms = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
     size = F.least(F.length(candidate), F.lit(window))
 
     def over(bound: Column) -> Column:
-        def step(state: Column, i: Column) -> Column:
-            come = F.ascii(F.get(bound.chars, i)) - 43
-            gone = F.when(i >= window, F.ascii(F.get(bound.chars, i - window)) - 43).otherwise(F.lit(-1))
+        def place(i: Column) -> Column:
+            code = F.ascii(F.get(bound.chars, i)) - 43
+            return F.struct(F.floor(code / 12).cast("int").alias("word"), (code % 12 * 5).alias("shift"))
 
+        def step(state: Column, i: Column) -> Column:
             def moved(x: Column) -> Column:
-                changed = F.transform(state.counts, lambda c, at: c + (at == x.come).cast("int") - (at == x.gone).cast("int"))
-                up = F.when(x.come == x.gone, F.lit(0.0)).otherwise(F.get(terms, F.get(state.counts, x.come) + 1) - F.get(terms, F.get(state.counts, x.come)))
-                down = F.when((x.gone < 0) | (x.come == x.gone), F.lit(0.0)).otherwise(F.get(terms, F.get(state.counts, x.gone)) - F.get(terms, F.get(state.counts, x.gone) - 1))
-                total = state.total + up - down
+                def count(p: Column) -> Column:
+                    return F.call_function("shiftright", F.get(state.counts, p.word), p["shift"]).bitwiseAND(F.lit(31)).cast("int")
+
+                stays = x.come.eqNullSafe(x.gone)
+                bit = lambda p, at: F.when(p.word == at, F.call_function("shiftleft", F.lit(1).cast("long"), p["shift"])).otherwise(F.lit(0).cast("long"))
+                changed = F.transform(state.counts, lambda c, at: c + bit(x.come, at) - bit(x.gone, at))
+                up = F.get(terms, count(x.come) + 1) - F.get(terms, count(x.come))
+                down = F.when(x.gone.isNull(), F.lit(0.0)).otherwise(F.get(terms, count(x.gone)) - F.get(terms, count(x.gone) - 1))
+                total = F.when(stays, state.total).otherwise(state.total + up - down)
                 bits = F.log2(bound.size.cast("double")) - total / bound.size
                 best = F.when(i >= bound.size - 1, F.greatest(state.best, bits)).otherwise(state.best)
-                return F.struct(changed.alias("counts"), total.alias("total"), best.alias("best"))
+                return F.struct(F.when(stays, state.counts).otherwise(changed).alias("counts"), total.alias("total"), best.alias("best"))
 
-            return F.get(F.transform(F.array(F.struct(come.alias("come"), gone.alias("gone"))), moved), F.lit(0))
+            gone = F.when(i >= window, place(i - window))
+            return bound_to(F.struct(place(i).alias("come"), gone.alias("gone")), moved)
 
-        start = F.struct(F.array_repeat(F.lit(0), 80).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
+        start = F.struct(F.array_repeat(F.lit(0).cast("long"), 7).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
         return F.aggregate(F.sequence(F.lit(0), F.size(bound.chars) - 1), start, step, lambda s: s.best)
 
-    bound = F.array(F.struct(F.split(candidate, "", -1).alias("chars"), size.alias("size")))
-    return F.get(F.transform(F.transform(bound, lambda b: F.struct(F.filter(b.chars, lambda c: c != "").alias("chars"), b["size"].alias("size"))), over), F.lit(0))
+    chars = F.filter(F.split(candidate, "", -1), lambda c: c != "")
+    return bound_to(F.struct(chars.alias("chars"), size.alias("size")), over)
 
 
 def looks_random(candidate: Column) -> Column:
@@ -119,18 +180,24 @@ def looks_random(candidate: Column) -> Column:
 def find_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df and secret_spans: array of (start, listed, end, kind), sorted by start and then by the kinds' order.
 
-    Kinds are those of BASE_KINDS and then `entropy`: candidates that the allow-list does not know and of which some
-    window reaches its class's threshold, unless a base span covers a part of them. Base spans always stay, those that
-    overlap a span of another kind too. Null and empty texts have no spans; offsets are code points of the whole text. A
-    column secret_spans is replaced. Rows are handled one by one; nothing is shuffled.
+    Kinds are those of BASE_KINDS and then `entropy`: candidates are what is left of the long runs once the base spans and
+    the stretches that the allow-list knows are taken out, so a harmless part does not hide a secret that is glued to it;
+    one is a secret if some window reaches its class's threshold. Base spans always stay, those that overlap a span of
+    another kind too. Null and empty texts have no spans; offsets are code points of the whole text, of any length. A
+    column secret_spans is replaced. Rows are handled one by one, repeated ones each for itself; an empty frame gives an
+    empty one; nothing is shuffled.
     """
     text = F.coalesce(df[text_col].cast("string"), F.lit(""))
-    (base,) = fresh(df, "base_spans")
+    base, plain = fresh(df, "base_spans", "plain_text")
     parts = [spans_of(text, kind, i, *rule) for i, (kind, rule) in enumerate(BASE_KINDS.items())]
-    added = spans_of(text, "entropy", len(BASE_KINDS), CANDIDATE, 0, 20, looks_random)
-    out = df.withColumn(base, F.concat(*parts))
-    free = F.filter(added, lambda s: ~F.exists(F.col(base), lambda b: (b.start < s.end) & (s.start < b.end)))
-    return out.withColumn("secret_spans", F.array_sort(F.concat(F.col(base), free))).drop(base)
+    out = df.withColumn(base, F.array_sort(F.concat(*parts)))
+    # only texts with a long run are read again
+    out = out.withColumn(plain, F.when(text.rlike(CANDIDATE), blanked(text, F.col(base))))
+    known = spans_of(F.col(plain), "allowed", 0, STRETCH, 0, 1)
+    out = out.withColumn(plain, bound_to(known, lambda spans: blanked(F.col(plain), spans)))
+    added = spans_of(F.col(plain), "entropy", len(BASE_KINDS), CANDIDATE, 0, 20, looks_random)
+    nothing = F.array().cast(f"array<{SPAN}>")
+    return out.withColumn("secret_spans", F.array_sort(F.concat(F.col(base), F.coalesce(added, nothing)))).drop(base, plain)
 
 
 def spans_text(spans: Column) -> Column:
@@ -146,14 +213,9 @@ def of_kind(spans: Column, kind: str) -> Column:
 
 
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """df with each stretch of text that spans cover replaced by the mark; other texts, null ones too, stay as they are."""
+    """df with each stretch of text that spans cover replaced by the mark; other texts, null ones too, stay as they are.
+    Spans that overlap are one stretch. Repeated rows are treated alike, and an empty frame gives an empty one."""
     (spans,) = fresh(df, "found_spans")
     found = find_secrets(df.drop("secret_spans"), text_col).withColumnRenamed("secret_spans", spans)
-
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(df[text_col], state.at + 1, F.greatest(s.start - state.at, F.lit(0)))
-        piece = F.when(s.start >= state.at, F.concat(state.out, gap, F.lit(mark))).otherwise(state.out)
-        return F.struct(F.greatest(state.at, s.end).alias("at"), piece.alias("out"))
-
-    clean = F.aggregate(F.col(spans), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s.out, F.substr(df[text_col], s.at + 1)))
+    clean = with_stretches_replaced(df[text_col], F.col(spans), lambda s, _, before: F.when(s.start >= before, F.lit(mark)).otherwise(F.lit("")))
     return found.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(df[text_col])).select(*df.columns)

@@ -76,3 +76,50 @@ def test_query_on_a_table(spark, tmp_path):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x.startswith(k + ":") for x in want) for k in secrets.BASE_KINDS)
         assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert [x for x in r.spans.split(",") if x and not x.startswith("entropy")] == want
+
+
+def test_allowed_parts_do_not_hide_what_is_glued_to_them(spark):
+    token, hook = "4fTq9ZpL0xWv7KdRm2Ys8BnHc1", "https://hooks.slack.com/services/T02AB3CDE/B04FG5HIJ/"
+    texts = [hook + token, "sample_" + token, token + "/example/", "aaa" + token, "token=abcdefgh1/" + "x" * 5, "sha256-" + token * 2, "550e8400-e29b-41d4-a716-446655440000-" + token]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.s for r in find_secrets(rows).select("doc_id", spans_text(F.col("secret_spans")).alias("s")).collect()}
+    for i in (0, 1, 2, 3, 6):
+        (span,) = found[i].split(",")
+        kind, a, b = span.split(":")
+        assert kind == "entropy" and token in texts[i][int(a) : int(b)], texts[i]
+    assert found[0].startswith("entropy:33:") and found[4] == "assign:0:21" and found[5] == ""
+
+
+MEGA = 1_000_000
+LONG = {
+    "ab/": "", "abC/": "", "0123/": "", "x": "", "h": "", "sample7": "", "sha256-": "", "550e8400-e29b-41d4-a716-446655440000-": "", "token": "", "md5=": "",
+    "password" + " " * 99: "", "0af9": "hex:0:1000000", "AKIA": "access:0:1000000",
+}
+
+
+def test_long_runs_of_every_pattern(spark):
+    """A text of a million characters for each pattern: nothing overflows, and nothing takes time by the square."""
+    texts = [(piece * MEGA)[:MEGA] for piece in LONG]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r.s for r in find_secrets(rows).select("doc_id", spans_text(F.col("secret_spans")).alias("s")).collect()}
+    assert [found[i] for i in range(len(texts))] == list(LONG.values())
+
+
+def test_many_secrets_in_a_text(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcXYZ0189", k=20)) for _ in range(16_000)]
+    text = "é ".join(f"token={w}" for w in words)
+    (row,) = find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(spans_text(F.col("secret_spans")).alias("s")).collect()
+    assert row.s.split(",") == base(text)
+    (row,) = redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row.text == "é ".join(["[SECRET]"] * len(words))
+
+
+def test_null_keys_repeated_rows_and_clashing_names(spark):
+    ddl = "doc_id long, text string, base_spans int, plain_text int, secret_spans int, found_spans int"
+    df = spark.createDataFrame([(None, "token=abcdefgh1", 1, 2, 3, 4), (None, "token=abcdefgh1", 1, 2, 3, 4), (1, None, 1, 2, 3, 4), (2, "", 1, 2, 3, 4)], ddl)
+    found = find_secrets(df)
+    assert found.columns == [c for c in df.columns if c != "secret_spans"] + ["secret_spans"] or sorted(found.columns) == sorted(df.columns)
+    assert sorted(len(r.secret_spans) for r in found.collect()) == [0, 0, 1, 1]
+    assert {(r.base_spans, r.plain_text) for r in found.collect()} == {(1, 2)}
+    assert sorted(str(r.text) for r in redact(df).collect()) == ["", "None", "[SECRET]", "[SECRET]"]
