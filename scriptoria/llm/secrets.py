@@ -216,6 +216,8 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> Dat
     """df with each stretch of text that spans cover replaced by the mark; other texts, null ones too, stay as they are.
     Spans that overlap are one stretch. Repeated rows are treated alike, and an empty frame gives an empty one."""
     (spans,) = fresh(df, "found_spans")
-    found = find_secrets(df.drop("secret_spans"), text_col).withColumnRenamed("secret_spans", spans)
-    clean = with_stretches_replaced(df[text_col], F.col(spans), lambda s, _, before: F.when(s.start >= before, F.lit(mark)).otherwise(F.lit("")))
-    return found.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(df[text_col])).select(*df.columns)
+    # a user's column secret_spans stays as it is
+    ours = df.withColumnsRenamed({c: f"{spans}_of_{c}" for c in df.columns if c.lower() == "secret_spans"})
+    found = find_secrets(ours, text_col).withColumnRenamed("secret_spans", spans)
+    clean = with_stretches_replaced(ours[text_col], F.col(spans), lambda s, _, before: F.when(s.start >= before, F.lit(mark)).otherwise(F.lit("")))
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(ours[text_col])).drop(spans).select(*ours.columns).toDF(*df.columns)
