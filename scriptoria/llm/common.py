@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,19 +25,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; a local temporary one only where it is unset."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share. Where that is unset, a temporary folder of
+    this machine on a local master only: elsewhere executors would not see it, so that is a ValueError."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/scriptoria/{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write a frame as a Parquet table in the shared folder and read it again: its lineage ends there, and a lost executor loses nothing of it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """The folder goes when the driver's JVM ends, if nothing has deleted it before."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Where scratch() notes the folders that cut() writes.
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that cut() writes inside are deleted at the end, but for those it is told to keep."""
+    made: list[str] = []
+    before = _noted.set(made)
+    try:
+        yield
+    finally:
+        _noted.reset(before)
+        for path in made:
+            delete_folder(spark, path)
+
+
+def cut(df: DataFrame, name: str = "cut", keep: bool = False) -> DataFrame:
+    """Write a frame as a Parquet table in the shared folder and read it again: its lineage ends there, and a lost executor
+    loses nothing of it. The table is deleted by drop_cut(), at the end of a scratch() around it unless kept, or with the
+    driver's end."""
+    spark, folder = df.sparkSession, shared_dir(df.sparkSession)
+    path = f"{folder}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    delete_at_exit(spark, folder)
+    if not keep and (noted := _noted.get()) is not None:
+        noted.append(folder)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_cut(df: DataFrame) -> None:
@@ -70,11 +110,20 @@ def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(grain)) < int(grain * most / n))
 
 
-def shard_of(key: Column, bounds: list[int]) -> Column:
-    """The number of bounds that are at most the key, by binary search; null keys come after all others."""
+#: Bytes that a shard should have, and the shards that there are at most: beyond that shards grow.
+SHARD_BYTES, MOST_SHARDS = 16_000_000, 50_000
+#: A place in an order: 0 or 1 as nulls come last or first, the number, and what parts rows of one number.
+PLACE = "struct<flag:int,number:bigint,tie:string>"
+
+
+def shard_of(key: Column, bounds: list) -> Column:
+    """The number of bounds that are at most the key, by binary search; null keys come after all others. Bounds are ints or,
+    for keys of type PLACE, tuples (flag, number, tie)."""
     if not bounds:
         return F.lit(0)
-    table, steps = F.array(*[F.lit(b) for b in bounds]), len(bounds).bit_length()
+    kind = "array<bigint>" if isinstance(bounds[0], int) else f"array<{PLACE}>"
+    rows = bounds if isinstance(bounds[0], int) else [dict(zip(("flag", "number", "tie"), b, strict=True)) for b in bounds]
+    table, steps = F.from_json(F.lit(json.dumps(rows)), kind), len(bounds).bit_length()  # one constant, whatever its length
 
     def halve(s: Column, _: Column) -> Column:
         middle = F.floor((s.lo + s.hi) / 2).cast("int")
@@ -86,10 +135,35 @@ def shard_of(key: Column, bounds: list[int]) -> Column:
     return F.coalesce(F.when(key.isNotNull(), found), F.lit(len(bounds)))
 
 
-def shard_bounds(keys: DataFrame, key: str, shards: int, most: int = SAMPLE_ROWS) -> list[int]:
-    """Keys that cut the range into about equal parts, from a sample of at most about `most` keys that a hash picks."""
-    sample = sorted(r[0] for r in bounded_sample(keys.where(F.col(key).isNotNull()).select(key), key, most).collect())
-    return sorted({sample[len(sample) * i // shards] for i in range(1, shards)} - {sample[0]}) if sample else []
+def place_of(key: Column, tie: Column, nulls_first: bool = False) -> Column:
+    """A long key's place in ascending order, rows of one key by tie."""
+    flag = key.isNotNull() if nulls_first else key.isNull()
+    return F.struct(flag.cast("int").alias("flag"), F.coalesce(key, F.lit(0)).cast("long").alias("number"), F.coalesce(tie, F.lit("")).alias("tie")).cast(PLACE)
+
+
+def shard_bounds(rows: DataFrame, shards: int | None = None, shard_bytes: int = SHARD_BYTES) -> list[tuple]:
+    """Places that cut the rows (place, size in bytes) into ranges of about shard_bytes, or into about `shards` ranges of
+    equal bytes. Rows of one key are cut apart by their ties; only rows with both in common always stay together.
+
+    Bounds come from a sample that a hash of the place picks, so they depend on the rows alone. Its rows are summed up by
+    place before they come to the driver: a place that very many rows share is one of them.
+    """
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).head()
+    shards = shards or min(MOST_SHARDS, -(-total // shard_bytes))
+    if shards < 2:
+        return []
+    most = max(SAMPLE_ROWS, 20 * shards)
+    picked = rows if n <= most else rows.where(F.pmod(F.xxhash64(F.lit("sample"), "place"), F.lit(1_000_000)) < max(1, int(1_000_000 * most / n)))
+    sample = sorted((*r.place, r["size"]) for r in picked.groupBy("place").agg(F.sum("size").alias("size")).collect())
+    whole, seen, bounds = sum(x[-1] for x in sample), 0, []
+    for *place, size in sample:
+        # a bound stands before the place with which a range would go over its share
+        if seen and (len(bounds) + 1) * whole < (seen + size) * shards and len(bounds) + 1 < shards:
+            bounds.append(tuple(place))
+            while (len(bounds) + 1) * whole < seen * shards and len(bounds) + 1 < shards:
+                shards -= 1  # one place filled several ranges
+        seen += size
+    return bounds
 
 
 def with_texts_mapped(

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptoria.llm.common import cut, shard_bounds, shard_of, with_texts_mapped
+from scriptoria.llm.common import PLACE, cut, place_of, shard_bounds, shard_of, with_texts_mapped
 
 #: Samples in a signature; the error of a likeness s is about sqrt(s * (1 - s) / SAMPLES).
 SAMPLES = 96
@@ -23,6 +23,8 @@ SAMPLES = 96
 POOL_BITS = 18
 #: Terms handled at once, so that a very long text needs no large matrix.
 CHUNK = 2048
+#: Characters of a text by which rows of one key are dealt out.
+TIE = 32
 #: Words whose hashes a worker keeps.
 KEPT_WORDS = 200_000
 
@@ -98,8 +100,10 @@ def sampler(samples: int) -> Sampler:
 
 
 def text_terms(text: str | None) -> Counter:
-    """Words of the text in lower case, each weighted with how often it occurs."""
-    return Counter(WORD.findall((text or "").lower()))
+    """Words of the text in lower case, each weighted with how often it occurs; the characters other than white space of a
+    text that has no words."""
+    low = (text or "").lower()
+    return Counter(WORD.findall(low)) or Counter("".join(low.split()))
 
 
 def likeness(a: bytes, b: bytes) -> float:
@@ -109,7 +113,8 @@ def likeness(a: bytes, b: bytes) -> float:
 
 def fingerprints(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, samples: int = SAMPLES) -> DataFrame:
     """keep's columns (all unless given) and fingerprint, 4 hex digits for each sample. Null and empty texts and those
-    without words have all zeros, which agree with each other and with no other fingerprint."""
+    of white space have all zeros, which agree with each other and with no other fingerprint. Repeated rows have equal
+    fingerprints, texts of any length are read whole, and an empty frame gives an empty one."""
 
     def make():
         made = sampler(samples)
@@ -129,21 +134,22 @@ def edited_fingerprints(df: DataFrame, key_col: str = "doc_id", text_col: str =
     text. near_edited and near_next are the likeness of the row's fingerprint to its edited text's and to the next row's.
     One row alone is its own next. Null texts are empty.
 
-    Texts are shuffled once, into ranges of the key with bounds from a hash-picked sample. A range's last row needs the
-    first row of the following range: a copy of each range's first row goes there as well (one row for each range).
+    Texts are shuffled once, into ranges of the order with about SHARD_BYTES of text each, whose bounds come from a
+    hash-picked sample; rows of one key, or without one, are cut apart by the first TIE characters of their texts. A range's
+    last row needs the first row of the following range: a copy of each range's first row goes there as well.
     """
-    (n,) = (int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4,)
-    docs = df.select(df[key_col].cast("long").alias("k"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("t"))
-    bounds = shard_bounds(docs.select("k"), "k", n)
-    docs = docs.withColumn("shard", shard_of(F.col("k"), bounds))
-    order = [F.col("k").desc_nulls_first(), F.col("t")]
-    firsts = docs.groupBy("shard").agg(F.max("k").alias("top"), F.max(F.col("k").isNull()).alias("none")).orderBy(F.desc("shard")).collect()  # as many rows as shards
+    k, t = df[key_col].cast("long"), F.coalesce(df[text_col].cast("string"), F.lit(""))
+    docs = df.select(k.alias("k"), t.alias("t"), place_of(F.bitwise_not(k), F.left(t, F.lit(TIE)), nulls_first=True).alias("place"))
+    bounds = shard_bounds(docs.select("place", F.octet_length("t").alias("size")))
+    docs = docs.withColumn("shard", shard_of(F.col("place"), bounds))
+    firsts = docs.groupBy("shard").agg(F.min("place").alias("top")).orderBy("shard").collect()  # as many rows as shards, MOST_SHARDS at most
     spark, before = df.sparkSession, [r.shard for r in firsts[-1:] + firsts[:-1]]
-    heads = spark.createDataFrame([(r.shard, None if r.none else r.top, to) for r, to in zip(firsts, before, strict=True)], "s int, top long, to int")
-    copies = docs.join(F.broadcast(heads), (docs.shard == heads.s) & docs.k.eqNullSafe(heads.top)).groupBy("to").agg(F.min(F.struct("t", "k")).alias("x"))
+    heads = spark.createDataFrame([(r.shard, r.top, to) for r, to in zip(firsts, before, strict=True)], f"s int, top {PLACE}, to int")
+    copies = docs.join(F.broadcast(heads), (docs.shard == heads.s) & (docs.place == heads.top)).groupBy("to").agg(F.min(F.struct("t", "k")).alias("x"))
     copies = cut(copies.select(F.col("x.k").alias("k"), F.col("x.t").alias("t"), F.col("to").alias("shard"), F.lit(1).alias("copy")), "heads")
-    rows = docs.withColumn("copy", F.lit(0)).unionByName(copies)
-    dealt = rows.repartition("shard").sortWithinPartitions("shard", "copy", *order).select("shard", "copy", "k", "t")
+    rows = docs.select("k", "t", "shard", F.lit(0).alias("copy")).unionByName(copies)
+    order = [F.col("k").desc_nulls_first(), F.col("t")]
+    dealt = rows.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", "copy", *order).select("shard", "copy", "k", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, held, out, size = sampler(samples), None, [], 0

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -15,7 +14,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptoria.llm.common import cut, shard_bounds, shard_of
+from scriptoria.llm.common import cut, place_of, shard_bounds, shard_of
 
 #: Records of fewer payload bytes are never revisits.
 LEAST_BYTES = 100
@@ -30,14 +29,23 @@ READ_SCHEMA = (
 )
 
 
+def digests(pages: DataFrame) -> DataFrame:
+    """page_id, payload_digest and size of each row of pages (page_id, payload)."""
+    return pages.select("page_id", F.sha2("payload", 256).alias("payload_digest"), F.octet_length("payload").alias("size"))
+
+
 def revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """page_id, payload_digest and refers_to of the rows of pages (page_id, payload) that are revisits.
+    """page_id, payload_digest and refers_to of the rows of pages (page_id, payload) that are revisits."""
+    return revisits_of(digests(pages), least_bytes)
+
+
+def revisits_of(found: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """page_id, payload_digest and refers_to of the rows of digests() that are revisits.
 
     Of equal payloads of least_bytes or more, the smallest page_id is a response and others are revisits of it; rows that
-    repeat that page_id are responses too, and so are rows without one if none of their payload has one. Payloads are
-    read, but only their digests are shuffled.
+    repeat that page_id are responses too, and so are rows without one if none of their payload has one.
     """
-    short = pages.where(F.octet_length("payload") >= least_bytes).select("page_id", F.sha2("payload", 256).alias("payload_digest")).distinct()
+    short = found.where(F.col("size") >= least_bytes).select("page_id", "payload_digest").distinct()
     first = short.groupBy(F.col("payload_digest").alias("digest")).agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
     again = short.join(first, short.payload_digest == first.digest).where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
     return again.select("page_id", "payload_digest", "refers_to")
@@ -76,17 +84,19 @@ def write_warc(
     least_bytes: int = LEAST_BYTES,
     level: int = 5,
     date: datetime = RECORD_DATE,
-) -> list[dict]:
-    """Write a record for each row under path and give the manifest's entries: file, shard, records, bytes, sha256.
-
-    Shards are ranges of the key with bounds from a hash-picked sample of keys; in a shard, records are in the order of
-    (key, digest, url) and go to a new file when the current one has roll_bytes compressed. The same rows make the same
-    files with the same bytes, whatever the cluster. Payload: the html in UTF-8, null as empty; a null url is empty.
-
-    A task writes files under names of its own attempt in path/_temporary; when all have succeeded, the driver renames
-    those that successful tasks named and then writes manifest.json under a temporary name and renames that. Readers go
-    by the manifest, so tasks that are lost or run twice leave nothing that counts, and a job that fails leaves no manifest.
-    The driver holds one entry for each file. path is a URI that pyarrow's file systems open, or a local folder.
+) -> DataFrame:
+    """Write a record for each row under path and give the manifest's rows: file, shard, records, bytes, sha256.
+
+    Shards are ranges of (key, digest) of about SHARD_BYTES of payload, with bounds from a hash-picked sample; in a shard,
+    records are in the order of (key, digest, url) and go to a new file when the current one has roll_bytes compressed. The
+    same rows make the same files with the same bytes, whatever the cluster. Payload: the html in UTF-8, null as empty; a
+    null url is empty; null keys come last; repeated rows are a record each; no rows make a manifest without rows.
+
+    Tasks write files under names of their own attempt in path/_temporary; when all have succeeded, tasks rename the files
+    that successful ones named (a move that is found done counts as done), and then the manifest, a table of JSON lines, is
+    written under a temporary name and renamed to path/manifest.json. Readers go by the manifest, so tasks that are lost or
+    run twice leave nothing that counts, and a job that fails leaves no manifest. path is a URI that pyarrow's file systems
+    open, or a local folder.
     """
     rows = pages.select(
         pages[key_col].cast("long").alias("page_id"),
@@ -94,12 +104,13 @@ def write_warc(
         F.coalesce(pages[html_col].cast("string"), F.lit("")).cast("binary").alias("payload"),
     )
     spark = pages.sparkSession
-    n = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
-    bounds = shard_bounds(rows.select("page_id"), "page_id", n)
+    found = cut(digests(rows), "digests")
+    place = place_of(F.col("page_id"), F.col("payload_digest"))
+    bounds = shard_bounds(found.select(place.alias("place"), "size"), shards)
     # one shuffle of payloads: which rows are revisits travels to their shards as rows of its own, which sort before them
-    again = revisits(rows, least_bytes).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "payload_digest", "refers_to", F.lit(0).alias("full"))
+    again = revisits_of(found, least_bytes).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "payload_digest", "refers_to", F.lit(0).alias("full"))
     full = rows.select("page_id", "url", "payload", F.sha2("payload", 256).alias("payload_digest"), F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("full"))
-    dealt = full.unionByName(again).withColumn("shard", shard_of(F.col("page_id"), bounds)).repartition("shard")
+    dealt = full.unionByName(again).withColumn("shard", shard_of(place, bounds)).repartitionById(len(bounds) + 1, "shard")
     dealt = dealt.sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "payload_digest", "full", "url")
     order = ["shard", "page_id", "url", "payload", "payload_digest", "refers_to", "full"]
     staging = f"{path.rstrip('/')}/_temporary/{uuid.uuid4().hex}"
@@ -121,17 +132,31 @@ def write_warc(
         if attempt:
             yield pa.RecordBatch.from_pylist(attempt, MANIFEST)
 
-    entries = [r.asDict() for r in cut(dealt.select(*order).mapInArrow(run, MANIFEST_DDL), "manifest").orderBy("file").collect()]
-    store, root = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    written = cut(dealt.select(*order).mapInArrow(run, MANIFEST_DDL), "written")
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = opened(path)
+        for batch in batches:
+            for file, temporary in zip(batch["file"].to_pylist(), batch["temporary"].to_pylist(), strict=True):
+                source, target = f"{root}/_temporary/{staging.rpartition('/')[2]}/{temporary}", f"{root}/{file}"
+                if store.get_file_info(source).type == pafs.FileType.File:
+                    store.move(source, target)
+                elif store.get_file_info(target).type != pafs.FileType.File:
+                    raise FileNotFoundError(source)
+            yield batch
+
+    manifest = cut(written.repartition(F.col("file")).mapInArrow(move, MANIFEST_DDL), "manifest").drop("temporary").orderBy("file")
+    store, root = opened(path)
     store.create_dir(root, recursive=True)
-    for e in entries:
-        store.move(f"{root}/_temporary/{staging.rpartition('/')[2]}/{e.pop('temporary')}", f"{root}/{e['file']}")
-    with store.open_output_stream(f"{root}/.manifest.json.tmp") as out:
-        out.write(json.dumps({"format": "WARC/1.1", "files": entries}, indent=1).encode())
-    store.move(f"{root}/.manifest.json.tmp", f"{root}/manifest.json")
+    manifest.write.json(f"{staging}-manifest")
+    store.move(f"{root}/_temporary/{staging.rpartition('/')[2]}-manifest", f"{root}/manifest.json")
     if store.get_file_info(f"{root}/_temporary").type == pafs.FileType.Directory:
         store.delete_dir(f"{root}/_temporary")
-    return entries
+    return manifest
+
+
+def opened(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
 MANIFEST_DDL = "file string, temporary string, shard int, records long, bytes long, sha256 string"
@@ -142,7 +167,7 @@ class Shards:
     """The files of one task's shards, one open at a time."""
 
     def __init__(self, staging: str, attempt: int, roll_bytes: int):
-        self.fs, self.root = pafs.FileSystem.from_uri(staging) if "://" in staging or staging.startswith("file:") else (pafs.LocalFileSystem(), staging)
+        self.fs, self.root = opened(staging)
         self.attempt, self.roll, self.shard, self.part, self.out = attempt, roll_bytes, None, 0, None
         self.fs.create_dir(self.root, recursive=True)
 
@@ -189,13 +214,14 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
     the headers; a revisit has no payload, and its length and digest are those its headers state. Files are read by
     Spark's binary file source, so one file is in memory at a time; roll_bytes bounds it.
     """
-    names = spark.read.text(f"{path}/manifest.json", wholetext=True).select(F.from_json("value", "files array<struct<file:string>>").alias("m"))
-    if names.select(F.size("m.files")).head()[0] == 0:
+    listed = spark.read.schema("file string").json(f"{path}/manifest.json").select(F.col("file").alias("name"))
+    if not listed.head(1):
         return spark.createDataFrame([], READ_SCHEMA)
-    listed = names.select(F.explode("m.files.file").alias("name"))
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("path", "content")
-    # one short row for each file; names outside the manifest do not count
-    files = files.join(F.broadcast(listed), F.substring_index("path", "/", -1) == F.col("name"), "left_semi")
+    name = F.substring_index("path", "/", -1)
+    # names outside the manifest do not count; where there are none, as usual, no content waits for a join
+    if files.select(name.alias("name")).join(listed, "name", "left_anti").head(1):
+        files = files.join(listed, name == F.col("name"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

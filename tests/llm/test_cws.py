@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from scriptoria.llm.common import shard_bounds
 from scriptoria.llm.cws import Sampler, edited_fingerprints, fingerprints, likeness
 
 
@@ -56,3 +57,29 @@ def test_half_of_a_text_is_left(spark):
     rows = [(i, " ".join(f"{i}w{rng.randrange(10**6)}" for _ in range(400))) for i in range(12)]
     for r in edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         assert 0.15 < r.near_edited < 0.55 and r.near_next < 0.1
+
+
+def test_likenesses_against_brute_force(spark):
+    """near_edited and near_next are the shares of agreeing samples, recomputed here from the fingerprints of plain texts."""
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["", "!!! ??", "-- --", "é🙂", " ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(120)))])) for i in range(50)]
+    order = sorted(rows, key=lambda r: -r[0])
+    after = {k: order[(i + 1) % len(order)][1] for i, (k, _) in enumerate(order)}
+    changed = {k: t[: len(t) - len(t) // 2] + after[k][: len(t) // 2] for k, t in rows}
+    plain = {r.t: r.fingerprint for r in fingerprints(spark.createDataFrame([(t,) for t in {*changed.values(), *(t for _, t in rows)}], "t string"), "t").collect()}
+    share = lambda a, b: sum(a[i : i + 4] == b[i : i + 4] for i in range(0, len(a), 4)) / (len(a) // 4)
+    for r in edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        mine, other = plain[dict(rows)[r.doc_id]], plain[changed[r.doc_id]]
+        assert (r.fingerprint, r.edited_fingerprint) == (mine, other)
+        assert r.near_edited == pytest.approx(share(mine, other)) and r.near_next == pytest.approx(share(mine, plain[after[r.doc_id]]))
+    assert share(plain["!!! ??"], plain["-- --"]) < 0.1
+
+
+def test_very_long_text_and_small_shards(spark, monkeypatch):
+    from scriptoria.llm import cws
+
+    monkeypatch.setattr(cws, "shard_bounds", lambda rows: shard_bounds(rows, shard_bytes=2000))
+    rng = random.Random(8)
+    rows = [(rng.choice([None, 4, 4, i]), " ".join(f"w{rng.randrange(90)}" for _ in range(rng.randrange(60)))) for i in range(80)] + [(77, "word " * 400_000)]
+    got = edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted([(r.doc_id, r.n_chars, r.edited_sha256) for r in got], key=str) == brute(rows)
