@@ -86,10 +86,13 @@ def tree_paths(node, names: list[str], bounds: dict[str, tuple[float, float]]) -
 def fit(labelled: DataFrame, text_col: str, label_col: str, key_col: str, most: int = TRAIN_ROWS, lasso: float = LASSO) -> Ensemble:
     """Fit on labelled rows, `most` of them at most: trees over the statistics, their paths as rules, and a logistic
     regression with an L1 penalty over the rules, which leaves most without weight. With no labelled rows, or with one
-    label only, the ensemble is a constant."""
+    label only, the ensemble is a constant. Null texts are empty ones, texts of any length count whole, and labels other
+    than 0 and 1 or null do not count. Repeated rows count as often as they stand there; splits of equal gain go to the
+    statistic that is listed first. Statistics are made where the texts are read and written once; only their short rows
+    are drawn together."""
     stats = statistics(F.col(text_col))
     names, label = list(stats), F.col(label_col).cast("double")
-    rows = cut(bounded_sample(labelled.where(label.isin(0.0, 1.0)), key_col, most).select(label.alias("label"), *[c.cast("double").alias(n) for n, c in stats.items()]).coalesce(8), "statistics")
+    rows = cut(bounded_sample(labelled.where(label.isin(0.0, 1.0)), key_col, most).select(label.alias("label"), *[c.cast("double").alias(n) for n, c in stats.items()]), "statistics").coalesce(8)
     n, positive = rows.agg(F.count("*"), F.sum("label")).head()
     if not n or positive in (0, n):
         rate = ((positive or 0) + 0.5) / (n + 1)
