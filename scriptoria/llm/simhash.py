@@ -179,23 +179,40 @@ def near_duplicates(
     """
     (key,) = fresh(df.select(key_col), "key_")
     docs = cut(fingerprint_texts(df.select(F.col(key_col).alias(key), F.col(text_col).alias("text_")), "text_", [key], shingle), "fingerprints")
-    fps = docs.groupBy(F.col("simhash").alias("fp")).agg(F.min(key).alias("first"))
+    names = component_names(docs, key, max_bits, tile)
+    # a written table on each side, so that the join's shuffles are its own and adaptive execution splits a hot fingerprint
+    return docs.join(names, docs.simhash == names.fp).select(F.col(key).alias(key_col), "simhash", "component_id")
+
+
+def component_names(docs: DataFrame, key: str, max_bits: int = MAX_BITS, tile: int = TILE) -> DataFrame:
+    """For each fingerprint of docs (key, simhash): fp, component_id, first, its own smallest key, and n, how many rows of
+    that key it has."""
+    pairs = docs.groupBy(F.col("simhash").alias("fp"), F.col(key).alias("first")).agg(F.count("*").alias("n"))
+    # nulls come after all keys: a fingerprint's first key is null only if all of its keys are
+    least = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "n"))
+    fps = cut(pairs.groupBy("fp").agg(least.alias("x")).select("fp", "x.first", "x.n"), "fps")
     comp = components(link_fingerprints(fps, max_bits, tile))
     linked = fps.join(comp, fps.fp == comp.node)
     roots = linked.groupBy("root").agg(F.min("first").alias("least"))
     named = comp.join(roots, "root").select("node", "least")
-    names = fps.join(named, fps.fp == named.node, "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return docs.join(names, docs.simhash == names.fp).select(F.col(key).alias(key_col), "simhash", "component_id")
+    return cut(fps.join(named, fps.fp == named.node, "left").select("fp", F.coalesce("least", "first").alias("component_id"), "first", "n"), "names")
 
 
-def keep_first(df: DataFrame, text_col: str = "text", key_col: str = "doc_id", **options) -> DataFrame:
+def keep_first(df: DataFrame, text_col: str = "text", key_col: str = "doc_id", max_bits: int = MAX_BITS, shingle: int = 3, tile: int = TILE) -> DataFrame:
     """The rows of df that stand for their component: those with the smallest key of it, once for each key.
 
-    A row with a null key cannot stand for a component; it stays only if all of its component have null keys.
+    Of rows with one key, only those whose own text is in the component that the key names can stand for it; of several the
+    one with the smallest text stays, ties by a hash of the row. A row with a null key cannot stand for a component; it
+    stays only if all of its component have null keys, and then all of them stay. An empty frame gives an empty one.
     """
-    found = near_duplicates(df, text_col, key_col, **options)
-    stays = found.where(F.col("component_id").isNull() | (F.col(key_col) == F.col("component_id"))).select(key_col).distinct()
-    (name,) = fresh(df, "stays")
-    kept = df.join(stays.withColumnRenamed(key_col, name), F.col(key_col).eqNullSafe(F.col(name)), "left_semi")
-    repeated = found.groupBy(key_col).count().where((F.col("count") > 1) & F.col(key_col).isNotNull())
-    return kept.dropDuplicates([key_col]) if repeated.head(1) else kept
+    (name,) = fresh(df, "simhash_of_row")
+    ours = df.withColumnsRenamed({c: f"{name}_{c}" for c in df.columns if c.lower() == "simhash"})
+    marked = cut(fingerprint_texts(ours, text_col, None, shingle).withColumnRenamed("simhash", name), "marked")
+    names = component_names(marked.select(F.col(key_col).alias("key"), F.col(name).alias("simhash")), "key", max_bits, tile)
+    stays = names.where(F.col("component_id").eqNullSafe(F.col("first")))
+    kept = marked.join(stays.select("fp", F.col("first").alias(f"{name}_key")), (F.col(name) == F.col("fp")) & F.col(key_col).eqNullSafe(F.col(f"{name}_key")), "left_semi")
+    if stays.where("first is not null").groupBy("first").agg(F.sum("n").alias("n")).where("n > 1").head(1):
+        hashed = [c for c, kind in marked.dtypes if "map<" not in kind and "variant" not in kind]
+        one = kept.where(F.col(key_col).isNotNull()).groupBy(key_col).agg(F.min_by(F.struct("*"), F.struct(F.col(text_col), F.xxhash64(*hashed))).alias(name))
+        kept = one.select(f"{name}.*").unionByName(kept.where(F.col(key_col).isNull()))
+    return kept.drop(name).toDF(*df.columns)

@@ -104,3 +104,20 @@ def test_null_keys_repeats_and_empty(spark):
 
 def test_fingerprint_keeps_columns(spark):
     assert fingerprint_texts(spark.createDataFrame([(1, "a b c")], "id long, text string")).columns == ["id", "text", "simhash"]
+
+
+def test_rows_of_one_key_with_different_texts(spark):
+    """Key 5 has a copy of key 1's text and a text of its own: only the latter stands for key 5."""
+    rows = [(1, "a b c d e f", "x", "s"), (5, "a b c d e f", "y", "s"), (5, "quite other words stand in this one", "z", "s"), (5, "quite other words stand in this one", "z", "s"), (None, "a b c d e f", "n", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tag string, simhash string")
+    kept = keep_first(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r.tag, r.simhash) for r in kept.collect()) == [(1, "x", "s"), (5, "z", "s")]
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{i % 997}" for i in range(300_000))
+    df = spark.createDataFrame([(2, text), (1, text), (3, "x" * 1_000_000)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in near_duplicates(df).collect()}
+    assert rows[2].component_id == rows[1].component_id == 1 and rows[3].component_id == 3
+    assert rows[2].simhash & (2**64 - 1) == brute_fingerprint(text)
