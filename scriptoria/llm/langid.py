@@ -10,26 +10,29 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptoria.llm.common import bounded_sample, with_texts_mapped
+from scriptoria.llm.common import cut, with_texts_mapped
 
-#: Labelled documents that a model is fitted on at most, picked by a hash of their key.
-TRAIN_ROWS = 4_000
+#: Labelled documents that a model is fitted on at most, an equal part for each language, picked by a hash of their key.
+TRAIN_ROWS = 20_000
+#: Languages that a model knows at most, those with most documents.
+MOST_LANGS = 256
 #: Words, and n-grams of each length, that the model keeps for each language: its size does not grow with the data.
 KEPT_WORDS, KEPT_GRAMS = 20_000, 8_000
 #: Lengths of n-grams in the order of the backoff.
 LENGTHS = (4, 3, 2, 1)
 #: Unseen words that a worker remembers.
 MEMORY = 200_000
-#: Different words that a task counts before it hands them and their n-grams over.
-HELD = 10_000
+#: Different words or n-grams that a task counts, and their characters, before it hands them over.
+HELD, HELD_CHARS = 100_000, 2_000_000
 #: Words whose evidence counts in full; that of longer texts is scaled down to this many.
 FULL_WORDS = 40
 
-LETTERS = re.compile(r"[^\W\d_]+")
+# numbers that are no digits, such as fractions, raised and Roman ones, are word characters for re but no letters
+LETTERS = re.compile("[^\\W\\d_%s]+" % "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()))
 
 
 def grams(word: str, n: int):
@@ -57,48 +60,85 @@ class Model:
 
 
 COUNTS = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("item", pa.string()), ("n", pa.int64())])
+COUNTS_DDL = "lang string, kind string, item string, n long"
 
 
-def count_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words and n-grams by language, handed over whenever HELD different words have come together."""
-    words: Counter = Counter()
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        # n-grams are counted once for each different word
-        held = Counter({(lang, "w", w): c for (lang, w), c in words.items()})
-        for (lang, w), c in words.items():
-            for n in LENGTHS:
-                kind = str(n)
-                for g in grams(w, n):
-                    held[lang, kind, g] += c
-        words.clear()
-        if held:
-            columns = zip(*[(*key, n) for key, n in held.items()], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, COUNTS.types, strict=True)], schema=COUNTS)
-
-    for batch in batches:
-        for lang, text in zip(batch.column(0), batch.column(1), strict=True):
-            lang = lang.as_py()
-            for w, c in Counter(LETTERS.findall(text.as_py().lower())).items():
-                words[lang, w] += c
-            if len(words) >= HELD:
-                yield from flush()
-    yield from flush()
+def counted(items: Iterator[tuple[tuple[str, str, str], int]]) -> Iterator[pa.RecordBatch]:
+    """Sums of (lang, kind, item), handed over whenever HELD different ones or HELD_CHARS of their characters are held."""
+    held, chars = Counter(), 0
 
+    def flush() -> pa.RecordBatch:
+        columns = zip(*[(*key, n) for key, n in held.items()], strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, COUNTS.types, strict=True)], schema=COUNTS)
 
-def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", most: int = TRAIN_ROWS) -> Model:
-    """Fit a model on rows with a text and a language, `most` of them at most.
+    for key, n in items:
+        chars += 0 if key in held else len(key[2])
+        held[key] += n
+        if len(held) >= HELD or chars >= HELD_CHARS:
+            yield flush()
+            held.clear()
+            chars = 0
+    if held:
+        yield flush()
 
-    Words and n-grams are counted by language in tasks and then over all; each language keeps its most frequent ones. The
-    driver holds the model only: langs * (KEPT_WORDS + 4 * KEPT_GRAMS) entries at most.
-    """
-    rows = bounded_sample(df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()), key_col, most)
 
-    counted = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(count_items, "lang string, kind string, item string, n long")
-    totals = counted.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    mass = {(r.lang, r.kind): r.n for r in totals.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
-    rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.col("n").desc(), "item"))
-    kept = totals.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("kind") == "w", KEPT_WORDS).otherwise(KEPT_GRAMS)).where("n > 1").drop("rank").collect()
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words by language, from (lang, text)."""
+    rows = (row for batch in batches for row in zip(batch.column(0), batch.column(1), strict=True))
+    return counted(((lang, "w", w), n) for lang, text in ((x.as_py(), y.as_py()) for x, y in rows) for w, n in Counter(LETTERS.findall(text.lower())).items())
+
+
+def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of n-grams by language, from the counts of words (lang, kind, item, n)."""
+    rows = (row for batch in batches for row in zip(*(batch.column(i) for i in (0, 2, 3)), strict=True))
+    return counted(((lang, str(k), g), n) for lang, w, n in ((x.as_py(), y.as_py(), z.as_py()) for x, y, z in rows) for k in LENGTHS for g in grams(w, k))
+
+
+def even_sample(df: DataFrame, lang_col: str, key_col: str, most: int) -> DataFrame:
+    """About `most` rows at most, as far as there are so many an equal part of each of the MOST_LANGS languages with most
+    rows, chosen by a hash of the key."""
+    found = df.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
+    if not found:
+        return df.limit(0)
+    grain, share = 1_000_000, most / len(found)
+    rates = F.create_map(*[F.lit(x) for r in found for x in (r.lang, min(grain, int(grain * share / r.n)))])
+    return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key_col)), F.lit(grain)) < F.try_element_at(rates, F.col(lang_col)))
+
+
+def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", most: int = TRAIN_ROWS) -> Model:
+    """Fit a model on rows with a text and a language, `most` of them at most, evenly by language.
+
+    Words are counted by language in tasks and then over all, and the n-grams of the counted words likewise. For each
+    language and kind a table of how many items occur how often gives their sum and the least count with which no more than
+    KEPT_WORDS words or KEPT_GRAMS n-grams are kept: items of one count stay or go together, and those that occur once go.
+    The driver holds that table and the model: MOST_LANGS * (KEPT_WORDS + 4 * KEPT_GRAMS) entries at most. Repeated rows
+    count as often as they stand there; rows without a text or a language do not count; nothing to learn from makes a model
+    that answers `und`.
+    """
+    rows = df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(key_col).alias("key")).where("lang is not null and text is not null")
+    rows = even_sample(rows, "lang", "key", most).select("lang", "text")
+    summed = lambda part: part.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
+    words = cut(summed(rows.mapInArrow(count_words, COUNTS_DDL)), "words")
+    totals = cut(words.unionByName(summed(words.mapInArrow(count_grams, COUNTS_DDL))), "totals")
+
+    mass, often = Counter(), {}
+    for r in totals.groupBy("lang", "kind", "n").agg(F.count("*").alias("items")).collect():
+        mass[r.lang, r.kind] += r.n * r["items"]
+        often.setdefault((r.lang, r.kind), []).append((r.n, r["items"]))
+    least = []
+    for (lang, kind), table in often.items():
+        room, at = KEPT_WORDS if kind == "w" else KEPT_GRAMS, 2
+        for n, items in sorted(table, reverse=True):
+            room -= items
+            if room < 0:
+                at = max(at, n + 1)
+                break
+        least.append((lang, kind, at))
+    if least:
+        bars = df.sparkSession.createDataFrame(least, "lang string, kind string, at_least long")
+        kept = totals.join(F.broadcast(bars), ["lang", "kind"]).where("n >= at_least").select("lang", "kind", "item", "n").collect()  # 5 bars for each language
+    else:
+        kept = []
 
     langs = sorted({lang for lang, _ in mass})
     place = {lang: i for i, lang in enumerate(langs)}
