@@ -5,24 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptoria.llm.common import cut, fresh
+from scriptoria.llm.common import cut, fresh, shard_of
 
 #: A source joins the schedule by a broadcast table of at most this many sources.
 MAX_SOURCES = 1000
 
+#: Blocks at most: beyond, blocks hold more rows, so that the schedule stays of bounded length however large the input is.
+MOST_BLOCKS = 1_000_000
+#: Rows of a schedule that go to every task; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
 #: One period of the schedule. In each slot, of the subtasks that are released, the one with the earliest deadline runs.
-#: Subtask k (from 0) of a source with u of the period's slots has the window [floor(k*period/u), ceil((k+1)*period/u)).
+#: Subtask k (from 0) of a source with u of the period's slots has the window [floor(k*period/u), ceil((k+1)*period/u)). Each
+#: source's next window is kept and changes only when the source runs; deadline and place are compared as one number.
 EARLIEST_DEADLINE = """
 aggregate(
   sequence(0, cast(period as int) - 1),
-  named_struct('done', array_repeat(0, size(active)), 'picks', cast(array() as array<int>)),
+  named_struct(
+    'next', transform(active, x -> named_struct('k', 0L, 'release', 0L, 'deadline', (period + x.units - 1) div x.units)),
+    'picks', cast(array() as array<int>)),
   (s, slot) -> element_at(transform(
-    array(array_min(filter(
-      transform(active, (x, i) -> named_struct(
-        'deadline', ((s.done[i] + 1) * period + x.units - 1) div x.units, 'i', i, 'release', (s.done[i] * period) div x.units)),
-      w -> w.release <= slot)).i),
+    array(cast(array_min(transform(s.next, (w, i) -> if(w.release <= slot, w.deadline * size(active) + i, null))) % size(active) as int)),
     pick -> named_struct(
-      'done', transform(s.done, (d, i) -> if(i = pick, d + 1, d)),
+      'next', transform(s.next, (w, i) -> if(i = pick, named_struct(
+        'k', w.k + 1, 'release', ((w.k + 1) * period) div active[i].units, 'deadline', ((w.k + 2) * period + active[i].units - 1) div active[i].units), w)),
       'picks', concat(s.picks, array(pick)))), 1),
   s -> s.picks)
 """
@@ -30,45 +36,65 @@ aggregate(
 #: Parts of the whole to which weights are taken where a period of COARSE slots would be wrong by a block or more in the end.
 COARSE, FINE = 1000, 10**10
 #: Slots that are collected before they are handed on, so that long schedules are not copied for each slot.
-CHUNK = 256
+CHUNK = 1024
 
 #: The same rule over all blocks, slot by slot and without periods. When a source is used up, the windows of the others begin
-#: anew at the next slot with the shares that they have without it.
+#: anew at the next slot with the shares that they have without it. A pick is (sources used up before) * sources + source.
 EXACT_SCHEDULE = f"""
 aggregate(
   sequence(0L, (n_blocks - 1) div {CHUNK}),
-  named_struct('done', array_repeat(0L, size(all)), 'base', array_repeat(0L, size(all)), 'start', 0L, 'period', whole,
-    'picks', cast(array() as array<PICK>), 'out', cast(array() as array<array<PICK>>)),
+  named_struct(
+    'next', transform(all, x -> named_struct('done', 0L, 'base', 0L, 'release', 0L, 'deadline', (whole + x.units - 1) div x.units)),
+    'start', 0L, 'period', whole, 'gone', 0, 'out', cast(array() as array<array<int>>)),
   (o, chunk) -> element_at(transform(array(aggregate(
-    sequence(chunk * {CHUNK}, least(n_blocks, (chunk + 1) * {CHUNK}) - 1), o,
+    sequence(chunk * {CHUNK}, least(n_blocks, (chunk + 1) * {CHUNK}) - 1),
+    named_struct('next', o.next, 'start', o.start, 'period', o.period, 'gone', o.gone, 'picks', cast(array() as array<int>)),
     (s, slot) -> element_at(transform(
-      array(array_min(filter(
-        transform(all, (x, i) -> if(s.done[i] < x.blocks, named_struct(
-          'deadline', ((s.done[i] - s.base[i] + 1) * s.period + x.units - 1) div x.units, 'i', i, 'release', ((s.done[i] - s.base[i]) * s.period) div x.units), null)),
-        w -> w.release <= slot - s.start))),
-      pick -> element_at(transform(
-        array(transform(s.done, (d, i) -> if(i = pick.i, d + 1, d))),
-        done -> named_struct(
-          'done', done,
-          'base', if(done[pick.i] = all[pick.i].blocks, done, s.base),
-          'start', if(done[pick.i] = all[pick.i].blocks, slot + 1, s.start),
-          'period', if(done[pick.i] = all[pick.i].blocks, s.period - all[pick.i].units, s.period),
-          'picks', concat(s.picks, array(named_struct('source', all[pick.i].source, 'units', all[pick.i].units, 'block', s.done[pick.i], 'slot', slot,
-            'start', s.start, 'period', s.period, 'release', pick.release, 'deadline', pick.deadline))),
-          'out', s.out)), 1)), 1))),
-    e -> named_struct('done', e.done, 'base', e.base, 'start', e.start, 'period', e.period, 'picks', cast(array() as array<PICK>), 'out', concat(e.out, array(e.picks)))), 1),
+      array(cast(array_min(transform(s.next, (w, i) -> if(w.release <= slot, w.deadline * size(all) + i, null))) % size(all) as int)),
+      pick -> if(s.next[pick].done + 1 < all[pick].blocks,
+        named_struct(
+          'next', transform(s.next, (w, i) -> if(i = pick, named_struct('done', w.done + 1, 'base', w.base,
+            'release', s.start + ((w.done + 1 - w.base) * s.period) div all[i].units,
+            'deadline', s.start + ((w.done + 2 - w.base) * s.period + all[i].units - 1) div all[i].units), w)),
+          'start', s.start, 'period', s.period, 'gone', s.gone, 'picks', concat(s.picks, array(s.gone * size(all) + pick))),
+        named_struct(
+          'next', transform(s.next, (w, i) -> if(i = pick or w.done = all[i].blocks,
+            named_struct('done', all[i].blocks, 'base', w.base, 'release', n_blocks, 'deadline', n_blocks),
+            named_struct('done', w.done, 'base', w.done, 'release', slot + 1,
+              'deadline', slot + 1 + (s.period - all[pick].units + all[i].units - 1) div all[i].units))),
+          'start', slot + 1, 'period', s.period - all[pick].units, 'gone', s.gone + 1, 'picks', concat(s.picks, array(s.gone * size(all) + pick))))), 1))),
+    e -> named_struct('next', e.next, 'start', e.start, 'period', e.period, 'gone', e.gone, 'out', concat(o.out, array(e.picks)))), 1),
   o -> o.out)
-""".replace("PICK", "struct<source:string,units:bigint,block:bigint,slot:bigint,start:bigint,period:bigint,release:bigint,deadline:bigint>")
+"""
 
 
 def exact_slots(sources: DataFrame) -> DataFrame:
     """A row for each block: source, units, block, slot, start, period, release, deadline.
 
-    Each slot depends on the one before, so one task goes over the blocks; it reads the sources' rows only.
+    Each slot depends on the one before, so one task goes over the blocks, MOST_BLOCKS at most; it reads the sources' rows
+    only and says which source runs. What follows from that (a block's number, and where its windows begin) is added to the
+    rows in parallel.
     """
     one = sources.agg(F.sort_array(F.collect_list(F.struct("source", "units", "blocks"))).alias("all"), F.sum("units").alias("whole"), F.sum("blocks").alias("n_blocks"))
-    chunks = one.where("n_blocks > 0").select(F.explode(F.expr(EXACT_SCHEDULE)).alias("chunk"))
-    return chunks.select(F.explode("chunk").alias("x")).select("x.*")
+    chunks = one.where("n_blocks > 0").select("all", F.posexplode(F.expr(EXACT_SCHEDULE)).alias("chunk", "picks"))
+    sized = chunks.select("chunk", "picks", F.size("all").alias("m"))
+    picks = cut(sized.select("chunk", "m", F.posexplode("picks").alias("at", "pick")).select(
+        (F.col("chunk").cast("long") * CHUNK + F.col("at")).alias("slot"), (F.col("pick") % F.col("m")).alias("i"), F.floor(F.col("pick") / F.col("m")).cast("int").alias("gone")), "picks")
+    listed = one.select(F.posexplode("all").alias("i", "x")).select("i", "x.source", "x.units")
+    block = F.row_number().over(Window.partitionBy("i").orderBy("slot")) - 1
+    rows = picks.withColumn("block", block.cast("long"))
+    base = picks.groupBy("i", "gone").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("i").orderBy("gone").rowsBetween(Window.unboundedPreceding, -1))
+    base = base.select("i", "gone", F.coalesce(before, F.lit(0)).cast("long").alias("base"))
+    # a phase for each source that is used up: those left in it share its slots; MAX_SOURCES rows at most
+    ends = picks.groupBy("i").agg(F.max("gone").alias("last")).join(F.broadcast(listed), "i")
+    left = F.sum("units").over(Window.orderBy(F.desc("last")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    phases = picks.groupBy("gone").agg(F.min("slot").alias("start")).join(F.broadcast(ends.select(F.col("last").alias("gone"), left.alias("period"))), "gone")
+    out = rows.join(F.broadcast(listed), "i").join(F.broadcast(phases), "gone").join(base, ["i", "gone"])
+    return out.select(
+        "source", "units", "block", "slot", "start", "period",
+        F.expr("((block - base) * period) div units").alias("release"), F.expr("((block - base + 1) * period + units - 1) div units").alias("deadline"),
+    )
 
 
 def source_table(counts: DataFrame, weights: dict[str, float] | None, temperature: float, block_rows: int, resolution: int) -> DataFrame:
@@ -96,7 +122,7 @@ def source_table(counts: DataFrame, weights: dict[str, float] | None, temperatur
     )
 
 
-def period_patterns(sources: DataFrame) -> DataFrame:
+def period_patterns(sources: DataFrame, tasks: int) -> DataFrame:
     """The slots of each phase's period.
 
     A phase is a run of periods with the same sources alive; at its end a source is used up, and what is left shares the
@@ -113,13 +139,16 @@ def period_patterns(sources: DataFrame) -> DataFrame:
         .withColumn("active", F.expr("filter(all, x -> x.life >= ends)"))
         .withColumn("period", F.expr("aggregate(active, 0L, (a, x) -> a + x.units)"))
         .withColumn("first_slot", F.expr("aggregate(all, 0L, (a, x) -> a + least(x.blocks, x.units * first_period))"))
-        .repartition("phase")
+        .select("phase", "first_period", "last_period", "active", "period", "first_slot")
+        .repartitionById(tasks, F.col("phase") % tasks)
         .withColumn("picks", F.expr(EARLIEST_DEADLINE))
     )
-    slots = phases.select("phase", "first_period", "last_period", "period", "first_slot", "active", F.posexplode("picks").alias("rank", "i"))
-    slots = slots.withColumn("x", F.expr("active[i]")).drop("active")
+    # a slot's row has its own source only
+    chosen = F.expr("transform(picks, i -> named_struct('i', i, 'source', active[i].source, 'units', active[i].units, 'blocks', active[i].blocks))")
+    slots = phases.select("phase", "first_period", "last_period", "period", "first_slot", chosen.alias("chosen"))
+    slots = slots.select("phase", "first_period", "last_period", "period", "first_slot", F.posexplode("chosen").alias("rank", "x")).select("*", "x.*").drop("x")
     k = F.row_number().over(Window.partitionBy("phase", "i").orderBy("rank")) - 1
-    slots = slots.select("phase", "first_period", "last_period", "period", "first_slot", "x.source", "x.units", "x.blocks", k.cast("long").alias("k"), F.col("rank").cast("long").alias("rank"))
+    slots = slots.select("phase", "first_period", "last_period", "period", "first_slot", "source", "units", "blocks", k.cast("long").alias("k"), F.col("rank").cast("long").alias("rank"))
     there = (F.col("last_period") * F.col("units") + F.col("k") < F.col("blocks")).cast("int")
     before = F.sum(there).over(Window.partitionBy("phase").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
     return slots.select(
@@ -135,7 +164,7 @@ def mix_sources(
     key_col: str = "doc_id",
     weights: dict[str, float] | None = None,
     temperature: float = 0.5,
-    block_rows: int = 16,
+    block_rows: int | None = None,
     resolution: int | None = None,
     buckets: int = 256,
 ) -> DataFrame:
@@ -157,7 +186,8 @@ def mix_sources(
     A null source is a source of its own; sources that weights leaves out, or gives zero or less, get the smallest share.
     Rows with equal keys stand next to each other, in any order. An empty frame gives an empty one. Skew: rows are
     numbered within (source, bucket), with prefix sums over the buckets, so a source with most rows is spread over
-    `buckets` tasks. The sources' table goes to every task: more than MAX_SOURCES sources are refused with ValueError.
+    `buckets` tasks. The sources' table goes to every task: more than MAX_SOURCES sources are refused with ValueError. A
+    schedule of up to BROADCAST_ROWS rows goes to every task as well; a longer one is joined by source and block.
     """
     spark, made = df.sparkSession, ["mix_block", "mix_units", "mix_period", "mix_release", "mix_deadline", "mix_slot", "mix_start", "mix_position"]
     df = df.drop(*made)
@@ -165,9 +195,14 @@ def mix_sources(
     rows = df.withColumn(src, F.col(source_col).cast("string")).withColumn(order, F.md5(F.coalesce(F.col(key_col).cast("string"), F.lit(""))))
     rows = rows.withColumn(bucket, F.expr(f"cast(conv(substr({order}, 1, 4), 16, 10) as int) * {int(buckets)} div 65536"))
     counts = cut(rows.groupBy(F.col(src).alias("source"), F.col(bucket).alias("bucket")).agg(F.count("*").alias("n")), "counts")
+    if block_rows is None:
+        n_rows, block_rows = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], 16
+        while n_rows > block_rows * MOST_BLOCKS:
+            block_rows *= 2
     sources = cut(source_table(counts, weights, temperature, block_rows, resolution or COARSE).coalesce(1), "sources")
-    whole = sources.agg(F.sum("units").alias("period"), F.sum("blocks").alias("n_blocks"), F.count("*").alias("n"))
-    seen = sources.crossJoin(whole).agg(F.max("n").alias("n"), F.max(F.abs(F.col("units") / F.col("period") - F.col("share")) * F.col("n_blocks")).alias("wrong")).first()
+    whole = sources.agg(F.sum("units").alias("period"), F.sum("blocks").alias("n_blocks"), F.count("*").alias("n"), F.array_sort(F.collect_set("life")).alias("lives"))
+    wrong = F.max(F.abs(F.col("units") / F.col("period") - F.col("share")) * F.col("n_blocks"))
+    seen = sources.crossJoin(whole).agg(F.max("n").alias("n"), wrong.alias("wrong"), F.first("lives").alias("lives")).first()
     if (n := seen.n or 0) > MAX_SOURCES:
         raise ValueError(f"{n} sources; at most {MAX_SOURCES} can be mixed, so merge small ones first")
     exact = resolution is None and (seen.wrong or 0) >= 1
@@ -175,17 +210,18 @@ def mix_sources(
         sources = cut(source_table(counts, weights, temperature, block_rows, FINE).coalesce(1), "sources")
         slots = cut(exact_slots(sources), "slots")
     else:
-        patterns = cut(period_patterns(sources).coalesce(1), "patterns")
+        slots = cut(period_patterns(sources, max(1, min(200, len(seen.lives or [])))), "patterns")
+    short = slots.count() <= BROADCAST_ROWS
+    to_all = F.broadcast if short else lambda frame: frame
 
     before = F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    lives = sources.agg(F.array_sort(F.collect_set("life")).alias("lives"))
     offsets = counts.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(sources), counts["source"].eqNullSafe(sources["source"]))
-    offsets = offsets.select(counts["source"].alias("o_source"), F.col("bucket").alias("o_bucket"), "before", F.col("units").alias("o_units")).crossJoin(F.broadcast(lives))
-    names = fresh(rows, "o_source", "o_bucket", "before", "o_units", "lives")
+    offsets = offsets.select(counts["source"].alias("o_source"), F.col("bucket").alias("o_bucket"), "before", F.col("units").alias("o_units"))
+    names = fresh(rows, "o_source", "o_bucket", "before", "o_units")
     offsets = offsets.toDF(*names)
-    o_source, o_bucket, o_before, o_units, o_lives = names
+    o_source, o_bucket, o_before, o_units = names
 
-    # at most MAX_SOURCES * buckets short rows, and at most sources * resolution pattern rows for each phase
+    # at most MAX_SOURCES * buckets short rows
     numbered = rows.withColumn(place, F.row_number().over(Window.partitionBy(src, bucket).orderBy(order, key_col)) - 1)
     numbered = numbered.join(F.broadcast(offsets), numbered[src].eqNullSafe(offsets[o_source]) & (numbered[bucket] == offsets[o_bucket]))
     number, period_no, phase, k = fresh(numbered, "number", "period_no", "phase_no", "k_no")
@@ -193,7 +229,7 @@ def mix_sources(
         numbered = numbered.withColumn(number, F.col(o_before) + F.col(place)).withColumn("mix_block", F.expr(f"{number} div {block_rows}"))
         x = slots.toDF(*(xn := fresh(numbered, *slots.columns)))
         of = dict(zip(slots.columns, xn, strict=True))
-        placed = numbered.join(x, numbered[src].eqNullSafe(x[of["source"]]) & (numbered["mix_block"] == x[of["block"]]))
+        placed = numbered.join(to_all(x), numbered[src].eqNullSafe(x[of["source"]]) & (numbered["mix_block"] == x[of["block"]]))
         for name in ("units", "period", "release", "deadline", "slot", "start"):
             placed = placed.withColumn(f"mix_{name}", F.col(of[name]))
         return placed.withColumn("mix_position", F.col("mix_slot") * block_rows + F.col(number) % block_rows).select(*df.columns, *made)
@@ -203,12 +239,12 @@ def mix_sources(
         .withColumn("mix_units", F.col(o_units))
         .withColumn(period_no, F.expr(f"mix_block div {o_units}"))
         .withColumn(k, F.expr(f"mix_block % {o_units}"))
-        .withColumn(phase, F.expr(f"size(filter({o_lives}, l -> l <= {period_no}))"))
+        .withColumn(phase, shard_of(F.col(period_no), seen.lives or []))  # lives that are over
     )
-    p = patterns.toDF(*[f"p_{c}" for c in patterns.columns])
+    p = slots.toDF(*[f"p_{c}" for c in slots.columns])
     p = p.toDF(*(pn := fresh(numbered, *p.columns)))
-    of = dict(zip(patterns.columns, pn, strict=True))
-    placed = numbered.join(F.broadcast(p), numbered[src].eqNullSafe(p[of["source"]]) & (numbered[phase] == p[of["phase"]]) & (numbered[k] == p[of["k"]]))
+    of = dict(zip(slots.columns, pn, strict=True))
+    placed = numbered.join(to_all(p), numbered[src].eqNullSafe(p[of["source"]]) & (numbered[phase] == p[of["phase"]]) & (numbered[k] == p[of["k"]]))
     start = F.col(of["first_slot"]) + (F.col(period_no) - F.col(of["first_period"])) * F.col(of["period"])
     rank = F.when(F.col(period_no) == F.col(of["last_period"]), F.col(of["rank_last"])).otherwise(F.col(of["rank"]))
     return (

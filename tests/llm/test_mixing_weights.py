@@ -20,3 +20,47 @@ def test_blocks_follow_the_target_weights(spark, sizes, weights):
         assert not whole or all(abs(done[s] - (slot - start) * weights.get(s, 0) / whole) < 1.001 for s in done)
         if not left[source]:
             start, done = slot, {s: 0 for s in done if left[s]}
+
+
+def test_uneven_sources_up_to_the_first_exhaustion(spark):
+    """One period that is not full: no source is a block or more away from its share before the first one is used up."""
+    sizes = {"a": 700, "b": 410, "c": 95, "d": 30, None: 11}
+    names = [s for s, n in sizes.items() for _ in range(n)]
+    found = mix_sources(spark.createDataFrame(list(enumerate(names)), "doc_id long, source string"), block_rows=4, buckets=8).collect()
+    blocks = {(r.source, r.mix_block): r for r in found}
+    order = sorted(blocks.values(), key=lambda r: r.mix_slot)
+    assert [r.mix_slot for r in order] == list(range(len(order)))
+    left, done = {s: -(-n // 4) for s, n in sizes.items()}, dict.fromkeys(sizes, 0)
+    root = sum(n**0.5 for n in sizes.values())
+    for slot, r in enumerate(order, 1):
+        done[r.source] += 1
+        assert all(abs(done[s] - slot * n**0.5 / root) < 1.01 for s, n in sizes.items()), slot
+        if done[r.source] == left[r.source]:
+            break
+
+
+def test_shuffled_schedule_gives_the_same(spark, monkeypatch):
+    from scriptoria.llm import mixing
+
+    df = spark.createDataFrame([(i, "big" if i % 3 else f"s{i % 7}") for i in range(900)], "doc_id long, source string")
+    for options in ({}, {"weights": {"big": 9999, "s1": 1}, "block_rows": 1}):
+        one = {(r.doc_id, r.mix_position) for r in mix_sources(df, **options).collect()}
+        monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+        assert {(r.doc_id, r.mix_position) for r in mix_sources(df, **options).collect()} == one
+        monkeypatch.undo()
+
+
+def test_blocks_grow_with_the_rows(spark, monkeypatch):
+    from scriptoria.llm import mixing
+
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 10)
+    df = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(1000)], "doc_id long, source string")
+    rows = mix_sources(df).collect()
+    assert len({(r.source, r.mix_block) for r in rows}) <= 11 and len({r.mix_position for r in rows}) == 1000
+
+
+def test_many_sources(spark):
+    """Several hundred sources of uneven sizes are mixed in the time of a test."""
+    rows = [(i, f"s{int(i**0.75) % 600}") for i in range(20_000)]
+    found = mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), buckets=16).collect()
+    assert len(found) == len(rows) and len({r.mix_position for r in found}) == len(rows)
