@@ -105,7 +105,7 @@ def write_warc(
     )
     spark = pages.sparkSession
     found = cut(digests(rows), "digests")
-    place = place_of(F.col("page_id"), F.col("payload_digest"))
+    place = place_of(F.col("page_id"), F.left("payload_digest", F.lit(16)))
     bounds = shard_bounds(found.select(place.alias("place"), "size"), shards)
     # one shuffle of payloads: which rows are revisits travels to their shards as rows of its own, which sort before them
     again = revisits_of(found, least_bytes).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "payload_digest", "refers_to", F.lit(0).alias("full"))
