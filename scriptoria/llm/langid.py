@@ -26,13 +26,23 @@ KEPT_WORDS, KEPT_GRAMS = 20_000, 8_000
 LENGTHS = (4, 3, 2, 1)
 #: Unseen words that a worker remembers.
 MEMORY = 200_000
-#: Different words or n-grams that a task counts, and their characters, before it hands them over.
-HELD, HELD_CHARS = 100_000, 2_000_000
+#: Different words that a task counts, and characters that it reads, before it hands counts over.
+HELD, HELD_CHARS = 100_000, 8_000_000
+#: Letters from which on a word is a long one.
+LONG = 64
 #: Words whose evidence counts in full; that of longer texts is scaled down to this many.
 FULL_WORDS = 40
 
-# numbers that are no digits, such as fractions, raised and Roman ones, are word characters for re but no letters
-LETTERS = re.compile("[^\\W\\d_%s]+" % "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()))
+RUNS = re.compile(r"[^\W\d_]+")
+#: Numbers that are no digits, such as fractions, raised and Roman ones: word characters for re, but no letters. SEARCH finds
+#: texts that may have some; characters beyond the first plane are one range there, as a long list of them would be slow.
+ODD = {ord(c): " " for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()}
+SEARCH = re.compile("[%s\U00010000-\U0010ffff]" % "".join(chr(c) for c in ODD if c < 0x10000))
+
+
+def words_in(text: str) -> list[str]:
+    """The runs of letters of a text in lower case."""
+    return RUNS.findall((text.translate(ODD) if not text.isascii() and SEARCH.search(text) else text).lower())
 
 
 def grams(word: str, n: int):
@@ -63,35 +73,57 @@ COUNTS = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("item", pa.st
 COUNTS_DDL = "lang string, kind string, item string, n long"
 
 
-def counted(items: Iterator[tuple[tuple[str, str, str], int]]) -> Iterator[pa.RecordBatch]:
-    """Sums of (lang, kind, item), handed over whenever HELD different ones or HELD_CHARS of their characters are held."""
-    held, chars = Counter(), 0
-
-    def flush() -> pa.RecordBatch:
-        columns = zip(*[(*key, n) for key, n in held.items()], strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, COUNTS.types, strict=True)], schema=COUNTS)
-
-    for key, n in items:
-        chars += 0 if key in held else len(key[2])
-        held[key] += n
-        if len(held) >= HELD or chars >= HELD_CHARS:
-            yield flush()
-            held.clear()
-            chars = 0
-    if held:
-        yield flush()
+def handed_over(held: dict[tuple[str, str], Counter]) -> Iterator[pa.RecordBatch]:
+    """The counts by (lang, kind) as rows; they are zero after that."""
+    for (lang, kind), counts in held.items():
+        if counts:
+            n = len(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * n), pa.array([kind] * n), pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], schema=COUNTS)
+    held.clear()
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words by language, from (lang, text)."""
-    rows = (row for batch in batches for row in zip(batch.column(0), batch.column(1), strict=True))
-    return counted(((lang, "w", w), n) for lang, text in ((x.as_py(), y.as_py()) for x, y in rows) for w, n in Counter(LETTERS.findall(text.lower())).items())
+    """Counts of words by language, from (lang, text), handed over after HELD different words or HELD_CHARS read."""
+    held, chars = {}, 0
+    for batch in batches:
+        for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+            lang, text = lang.as_py(), text.as_py()
+            held.setdefault((lang, "w"), Counter()).update(words_in(text))
+            chars += len(text)
+            if chars >= HELD_CHARS or sum(map(len, held.values())) >= HELD:
+                yield from handed_over(held)
+                chars = 0
+    yield from handed_over(held)
 
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of n-grams by language, from the counts of words (lang, kind, item, n)."""
-    rows = (row for batch in batches for row in zip(*(batch.column(i) for i in (0, 2, 3)), strict=True))
-    return counted(((lang, str(k), g), n) for lang, w, n in ((x.as_py(), y.as_py(), z.as_py()) for x, y, z in rows) for k in LENGTHS for g in grams(w, k))
+    """Counts of n-grams by language, from counts of words (lang, kind, item, n), handed over after each word of HELD
+    characters or more, or after so many."""
+    held, chars = {}, 0
+    for batch in batches:
+        for lang, w, n in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+            for k in LENGTHS:
+                counts = held.setdefault((lang, str(k)), Counter())
+                for g in grams(w, k):
+                    counts[g] += n
+            chars += len(w)
+            if chars >= HELD:
+                yield from handed_over(held)
+                chars = 0
+    yield from handed_over(held)
+
+
+#: n-grams (kind, item) of a word that is not long.
+GRAMS = f"""flatten(transform(array({", ".join(map(str, LENGTHS))}), k -> if(length(item) + if(k > 1, 2, 0) < k, array(),
+  transform(sequence(1, length(item) + if(k > 1, 3, 1) - k), i -> named_struct('kind', string(k), 'item', substring(if(k > 1, '^' || item || '$', item), i, k))))))"""
+
+
+def summed_grams(words: DataFrame) -> DataFrame:
+    """Counts of n-grams from those of words: by expressions for words of up to LONG letters, and longer ones, whose n-grams
+    would be too large an array, in Python, which holds a part of them at a time."""
+    short = words.where(F.length("item") <= LONG).select("lang", "n", F.explode(F.expr(GRAMS)).alias("g")).select("lang", "g.kind", "g.item", "n")
+    long = words.where(F.length("item") > LONG).mapInArrow(count_grams, COUNTS_DDL)
+    return short.unionByName(long).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
 
 
 def even_sample(df: DataFrame, lang_col: str, key_col: str, most: int) -> DataFrame:
@@ -117,9 +149,8 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
     """
     rows = df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(key_col).alias("key")).where("lang is not null and text is not null")
     rows = even_sample(rows, "lang", "key", most).select("lang", "text")
-    summed = lambda part: part.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    words = cut(summed(rows.mapInArrow(count_words, COUNTS_DDL)), "words")
-    totals = cut(words.unionByName(summed(words.mapInArrow(count_grams, COUNTS_DDL))), "totals")
+    words = cut(rows.mapInArrow(count_words, COUNTS_DDL).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "words")
+    totals = cut(words.unionByName(summed_grams(words)), "totals")
 
     mass, often = Counter(), {}
     for r in totals.groupBy("lang", "kind", "n").agg(F.count("*").alias("items")).collect():
@@ -163,7 +194,7 @@ class Predictor:
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         model = self.model
-        counts = Counter(LETTERS.findall(text.lower())) if text else None
+        counts = Counter(words_in(text)) if text else None
         if not counts or not model.langs:
             return "und", 0.0
         known, memory, words = model.words, self.memory, 0

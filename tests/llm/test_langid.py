@@ -140,3 +140,18 @@ def test_counts_are_handed_over(spark, model, monkeypatch):
     monkeypatch.setattr(langid, "HELD", 1)
     parts = [r for b in langid.count_words(iter(batches)) for r in b.to_pylist()]
     assert len(parts) == 4 and sum(r["n"] for r in parts) == whole.total() == 5
+
+
+def test_grams_by_expressions_and_by_loops(spark, monkeypatch):
+    from scriptoria.llm import langid
+
+    rows = [(lang, "w", w, n) for lang in ("aa", "bb") for n, w in enumerate(["k", "lo", "mił", "über", "漢字漢", "k" * 64, "ab" * 40, "x" * 200_000], 1)]
+    words = spark.createDataFrame(rows, langid.COUNTS_DDL)
+    want = Counter()
+    for lang, _, w, n in rows:
+        for k in langid.LENGTHS:
+            for g in langid.grams(w, k):
+                want[lang, str(k), g] += n
+    assert {(r.lang, r.kind, r.item): r.n for r in langid.summed_grams(words).collect()} == want
+    monkeypatch.setattr(langid, "LONG", 0)
+    assert {(r.lang, r.kind, r.item): r.n for r in langid.summed_grams(words).collect()} == want
