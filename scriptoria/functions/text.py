@@ -74,9 +74,8 @@ def normalized_for_match(text: Column) -> Column:
 
 def search_tokens(text: Column) -> Column:
     """Folded tokens for search: no stop words, one letter only if a digit, numbers whole, others cut to six characters."""
-    stops = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)])
     words = F.regexp_extract_all(fold(text), F.lit("[a-z0-9§]+"), F.lit(0))
-    kept = F.filter(words, lambda t: ~F.array_contains(stops, t) & ((F.length(t) > 1) | t.rlike("[0-9]")))
+    kept = F.filter(words, lambda t: ~t.isin(*dict.fromkeys(STOP_WORDS)) & ((F.length(t) > 1) | t.rlike("[0-9]")))
     return F.transform(kept, lambda t: F.when(t.rlike("^[0-9]"), t).otherwise(F.substring(t, 1, 6)))
 
 
@@ -151,15 +150,16 @@ def wanted_stems(claim: Column) -> Column:
 
 def closest_passage(claim: Column, text: Column) -> Column:
     """(score, passage): the sentence, or two neighbouring ones at 0.05 less, with the largest share of the claim's content
-    stems; null for claims of fewer than three stems or texts without sentences. Ties go to the earlier and shorter one."""
+    stems; null for claims of fewer than three stems or texts without sentences. Ties (to nine digits) go to the earlier and
+    shorter one."""
 
     def best(x: Column) -> Column:
         n = F.size(x.parts)
 
         def at(i: Column) -> Column:
             share = lambda have: F.size(F.array_intersect(x.want, have)) / F.size(x.want)
-            one = F.struct(share(F.get(x.stems, i)).alias("score"), (-2 * i).alias("order"), F.get(x.parts, i).alias("passage"))
-            two = F.struct((share(F.concat(F.get(x.stems, i), F.get(x.stems, i + 1))) - 0.05).alias("score"), (-2 * i - 1).alias("order"), F.concat(F.get(x.parts, i), F.get(x.parts, i + 1)).alias("passage"))
+            one = F.struct(F.round(share(F.get(x.stems, i)), 9).alias("score"), (-2 * i).alias("order"), F.get(x.parts, i).alias("passage"))
+            two = F.struct(F.round(share(F.concat(F.get(x.stems, i), F.get(x.stems, i + 1))) - 0.05, 9).alias("score"), (-2 * i - 1).alias("order"), F.concat(F.get(x.parts, i), F.get(x.parts, i + 1)).alias("passage"))
             return F.when(i + 1 < n, F.array(one, two)).otherwise(F.array(one))
 
         found = F.array_max(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), at)))

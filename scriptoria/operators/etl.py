@@ -23,29 +23,86 @@ DROPPED_TAGS = "script style head nav svg".split()
 ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "sect": "§", "ndash": "–", "mdash": "—", "bdquo": "„", "rdquo": "”", "ldquo": "“", "amp": "&"}
 
 
+def code_point(number: Column) -> Column:
+    """The character of a code point, null if there is none."""
+    fits = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+    return F.when(fits, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+
+
 def decoded_entities(text: Column) -> Column:
-    """Named entities; the ampersand last, so that nothing is decoded twice."""
-    for name, char in ENTITIES.items():
-        text = F.regexp_replace(text, f"(?i)&{name};", char)
-    return text
+    """Named and numeric entities, in one pass over the text, so that nothing is decoded twice; unknown ones stay."""
+    named = F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv])
 
+    def decoded(piece: Column) -> Column:
+        hexed = F.conv(F.regexp_extract(piece, "^&#[xX]([0-9a-fA-F]{1,8});$", 1), 16, 10).cast("long")
+        decimal = F.regexp_extract(piece, "^&#([0-9]{1,9});$", 1)
+        known = F.try_element_at(named, F.lower(F.regexp_extract(piece, "^&([A-Za-z]+);$", 1)))
+        one = F.when(piece.rlike("^&#[xX]"), code_point(hexed)).when(decimal != "", code_point(F.try_to_number(decimal, F.lit("999999999")).cast("long"))).otherwise(known)
+        return F.when(F.length(piece) > 2, F.coalesce(F.when(F.left(piece, F.lit(1)) == "&", one), piece)).otherwise(piece)
+
+    pieces = F.regexp_extract_all(text, F.lit(r"&(?:#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z]+);|[^&]+|&"), F.lit(0))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, decoded), "")).otherwise(text)
+
+
+BLOCK = "struct<kind:string,level:int,text:string>"
+
+
+def a_block(kind: str, level: Column, body: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), level.cast("int").alias("level"), body.alias("text")).cast(BLOCK)
 
-def html_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key, ord, tag and text of a page's blocks: headings and paragraphs.
+
+def html_parts(html: Column) -> Column:
+    """Array of (tag, text): the stretches of a page that a tag begins, in order; tag is '' if that opens no block.
 
     Comments, scripts, styles, heads, navigation and drawings go. Every block tag becomes a mark with its name; the text
     after a mark is a block if the tag opened one, without the tags inside it. Text outside of blocks does not count.
     """
-    body = F.regexp_replace(F.col(html), r"(?s)<!--.*?-->", "")
+    body = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
     for tag in DROPPED_TAGS:
         body = F.regexp_replace(body, rf"(?is)<{tag}\b.*?</{tag}>", "")
     body = F.regexp_replace(body, r"(?i)<br\s*/?>", " ")
     marked = F.regexp_replace(body, rf"(?i)<(/?)({BLOCK_TAGS}|{END_TAGS})\b[^>]*>", "\u0001$1$2\u0002")
-    parts = pages.select(key, F.posexplode(F.split(marked, "\u0001")).alias("ord", "part"))
-    tag = F.lower(F.regexp_extract("part", f"^({BLOCK_TAGS}|(?i:{BLOCK_TAGS}))\u0002", 1))
-    inner = F.regexp_replace(F.col("part"), "^[^\u0002]*\u0002", "")
-    rows = parts.withColumn("tag", tag).where("tag != ''").withColumn("text", T.collapsed(decoded_entities(F.regexp_replace(inner, "<[^>]+>", ""))))
-    return rows.where("text != ''").select(key, "ord", "tag", "text")
+
+    def part(x: Column) -> Column:
+        tag = F.lower(F.regexp_extract(x, f"^((?i:{BLOCK_TAGS}))\u0002", 1))
+        inner = F.regexp_replace(F.regexp_replace(x, "^[^\u0002]*\u0002", ""), "<[^>]+>", "")
+        return F.struct(tag.alias("tag"), F.when(tag != "", T.collapsed(decoded_entities(inner))).alias("text"))
+
+    return F.transform(F.split(marked, "\u0001"), part)
+
+
+def html_blocks(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key, ord, tag and text of a page's blocks: headings and paragraphs (see html_parts)."""
+    parts = pages.select(key, F.posexplode(html_parts(F.col(html))).alias("ord", "x"))
+    return parts.where("x.tag != '' and x.text != ''").select(key, "ord", "x.tag", "x.text")
+
+
+def html_block_array(html: Column) -> Column:
+    """The blocks of a page as an array."""
+    kept = F.filter(html_parts(html), lambda x: (x.tag != "") & (x.text != ""))
+    level = lambda x: F.regexp_extract(x.tag, "^h([1-6])$", 1)
+    return F.transform(kept, lambda x: F.when(level(x) != "", a_block("heading", level(x).try_cast("int"), x.text)).otherwise(a_block("para", F.lit(None), x.text)))
+
+
+# The marks of headings, list items, pictures, links, strong, slanted and literal words in Markdown.
+MD_LINE = r"(?m)^[ \t]*(#{1,6}[ \t]+\S.*|(?:[-*+]|\d+[.)])[ \t]+.*)$"
+MD_INLINE = ((r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"(\*\*|__)(.+?)\1", "$2"), (r"(\*|_)(.+?)\1", "$2"), (r"`([^`]+)`", "$1"))
+
+
+def markdown_block_array(text: Column) -> Column:
+    """The blocks of a Markdown text: a line that is a heading or a list item is one, and so is what stands between these
+    and empty lines."""
+    unix = F.regexp_replace(text, "\r\n?", "\n")
+    parts = F.split(F.regexp_replace(unix, MD_LINE, "\u0001$1\u0001"), "\u0001|\n[ \t]*\n")
+
+    def made(part: Column) -> Column:
+        marks = F.length(F.regexp_extract(part, r"^(#{1,6})\s", 1))
+        bare = F.when(marks > 0, F.regexp_replace(part, r"^#{1,6}\s+|\s*#*\s*$", "")).otherwise(part)
+        for pattern, left in MD_INLINE:
+            bare = F.regexp_replace(bare, pattern, left)
+        return F.when(marks > 0, a_block("heading", marks, T.collapsed(bare))).otherwise(a_block("para", F.lit(None), T.collapsed(bare)))
+
+    return F.filter(F.transform(parts, made), lambda x: x.text != "")
 
 
 def html_title(html: Column) -> Column:
@@ -74,26 +131,36 @@ def heading_level(line: Column) -> Column:
     return F.when(line.rlike(FIRST_LEVEL), 1).when(number != "", F.least(F.lit(3), depth + 1)).otherwise(2)
 
 
-def text_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, ord, kind (heading or para), level and text of a plain text's blocks.
+def text_parts(text: Column) -> Column:
+    """For each paragraph of a plain text the array of its blocks.
 
     Empty lines part paragraphs. A paragraph of list items only is a block for each item; a line alone that looks like a
     heading is one, and so is a first line of fewer than 80 characters without an end mark.
     """
-    unix = F.regexp_replace(F.col(text), "\r\n?", "\n")
-    parts = docs.select(key, F.posexplode(F.split(unix, r"\n\s*\n")).alias("part", "body"))
-    lines = F.filter(F.transform(F.split("body", "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
-    parts = parts.select(key, "part", lines.alias("lines")).where(F.size("lines") > 0)
-    first, n = F.get("lines", F.lit(0)), F.size("lines")
-    block = lambda kind, level, body: F.struct(F.lit(kind).alias("kind"), level.cast("int").alias("level"), body.alias("text"))
-    none, joined = F.lit(None), lambda xs: F.array_join(xs, " ")
-    made = (
-        F.when((n > 1) & F.forall("lines", lambda x: x.rlike(LIST_ITEM)), F.transform("lines", lambda x: block("para", none, x)))
-        .when((n == 1) & looks_like_heading(first), F.array(block("heading", heading_level(first), first)))
-        .when((n > 1) & looks_like_heading(first) & (F.length(first) < 80) & ~first.rlike("[.:,;]$"), F.array(block("heading", heading_level(first), first), block("para", none, joined(F.slice("lines", 2, n)))))
-        .otherwise(F.array(block("para", none, joined(F.col("lines")))))
-    )
-    rows = parts.select(key, "part", F.posexplode(made).alias("at", "b"))
+    joined, none = lambda xs: F.array_join(xs, " "), F.lit(None)
+
+    def made(lines: Column) -> Column:
+        first, n = F.get(lines, F.lit(0)), F.size(lines)
+        heading = F.array(a_block("heading", heading_level(first), first))
+        return (
+            F.when(n == 0, F.array().cast(f"array<{BLOCK}>"))
+            .when((n > 1) & F.forall(lines, lambda x: x.rlike(LIST_ITEM)), F.transform(lines, lambda x: a_block("para", none, x)))
+            .when((n == 1) & looks_like_heading(first), heading)
+            .when((n > 1) & looks_like_heading(first) & (F.length(first) < 80) & ~first.rlike("[.:,;]$"), F.concat(heading, F.array(a_block("para", none, joined(F.slice(lines, F.lit(2), F.greatest(n, F.lit(1))))))))
+            .otherwise(F.array(a_block("para", none, joined(lines))))
+        )
+
+    def lines_of(body: Column) -> Column:
+        return F.filter(F.transform(F.split(body, "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+
+    unix = F.regexp_replace(text, "\r\n?", "\n")
+    return F.transform(F.transform(F.split(unix, r"\n\s*\n"), lines_of), made)
+
+
+def text_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, ord (paragraph, place in it), kind (heading or para), level and text of a plain text's blocks (see text_parts)."""
+    parts = docs.select(key, F.posexplode(text_parts(F.col(text))).alias("part", "made"))
+    rows = parts.select(key, "part", F.posexplode("made").alias("at", "b"))
     return rows.select(key, F.struct("part", "at").alias("ord"), "b.kind", "b.level", "b.text")
 
 
@@ -179,11 +246,19 @@ def chunk_blocks(blocks: DataFrame, key: str) -> DataFrame:
 
 
 def split_text(text: str, most: int) -> list[str]:
-    """Pieces of at most `most` characters, cut at paragraph or sentence ends as far as there are any."""
+    """Pieces of at most `most` characters, cut at paragraph or sentence ends as far as there are any. Sentences are joined
+    by a blank, paragraphs by what stands between them."""
     if len(text) <= most:
         return [text]
-    units = [u for unit in CUT.split(text) for u in sliced(unit, most, most)]
-    return [t for group in filled(units, most, 1) if (t := " ".join(group).strip())]
+    pieces = [""]
+    for unit in filter(None, CUT.split(text)):
+        if len(unit) > most:
+            pieces += [*(unit[i : i + most] for i in range(0, len(unit), most)), ""]
+        elif pieces[-1] and len(pieces[-1]) + 1 + len(unit) > most:
+            pieces.append(unit)
+        else:
+            pieces[-1] += (" " if pieces[-1] and not pieces[-1].endswith("\n") else "") + unit
+    return [t for piece in pieces if (t := piece.strip())]
 
 
 def exact_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -10,7 +10,7 @@ from scriptoria.plans import bindings as B
 from scriptoria.plans.bindings import TABLES
 from scriptoria.plans.registry import query
 
-SOURCES = "chunk AS (SELECT p_partkey AS chunk_id, p_brand AS document, p_size > 20 AS processed FROM part), citation AS (SELECT CASE WHEN l_quantity > 25 THEN 'material' ELSE 'topic_field' END AS owner_type, l_orderkey % 400 AS owner_id, l_partkey AS chunk_id FROM lineitem WHERE l_linenumber = 1)"
+SOURCES = "chunk AS (SELECT p_partkey AS chunk_id, p_brand AS document, p_size > 20 AS processed FROM part), citation AS (SELECT CASE WHEN l_quantity > 25 THEN 'material' ELSE 'topic_field' END AS owner_type, l_orderkey % 400 AS owner_id, l_partkey AS chunk_id FROM lineitem)"
 
 
 def chunk(spark, sf_dir):
@@ -18,7 +18,7 @@ def chunk(spark, sf_dir):
 
 
 def citation(spark, sf_dir):
-    rows = B.read(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    rows = B.read(spark, sf_dir, "lineitem")
     return rows.select(F.when(F.col("l_quantity") > 25, "material").otherwise("topic_field").alias("owner_type"), (F.col("l_orderkey") % 400).alias("owner_id"), F.col("l_partkey").alias("chunk_id"))
 
 

@@ -32,7 +32,7 @@ def tokenize_terms(spark, sf_dir):
 
 @query(f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({search_tokens_sql('text')}) AS term FROM documents) GROUP BY term")
 def doc_freq(spark, sf_dir):
-    return S.document_frequency(S.postings(docs(spark, sf_dir), "doc_id", "text"))
+    return S.document_frequency(docs(spark, sf_dir), "text")
 
 
 @query(f"""WITH d AS (SELECT doc_id, {search_tokens_sql('text')} AS tokens FROM documents), c AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM d),
@@ -46,14 +46,14 @@ def bm25_topk(spark, sf_dir):
     return found.select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"""WITH t AS (SELECT p_partkey, list_distinct({search_tokens_sql("p_type || ' ' || p_brand")}) AS tokens FROM part), a AS (SELECT * FROM t WHERE p_partkey <= 60), b AS (SELECT p_partkey AS other_id, tokens AS others FROM t WHERE p_partkey > 60),
-s AS (SELECT p_partkey, other_id, len(list_intersect(tokens, others)) / (len(tokens) + len(others) - len(list_intersect(tokens, others))) AS score FROM a, b)
-SELECT p_partkey, other_id, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, other_id) AS INTEGER) AS rank FROM s WHERE score >= 0.5) WHERE rank <= 3""")
+@query(f"""WITH t AS (SELECT p_partkey, list_sort(list_distinct({search_tokens_sql("p_type || ' ' || p_brand")})) AS tokens FROM part),
+n AS (SELECT tokens, min(p_partkey) AS first_id, count(*) AS n_rows FROM t WHERE len(tokens) > 0 GROUP BY tokens),
+s AS (SELECT a.first_id, b.first_id AS other_id, a.n_rows, b.n_rows AS other_rows, len(list_intersect(a.tokens, b.tokens)) / (len(a.tokens) + len(b.tokens) - len(list_intersect(a.tokens, b.tokens))) AS score FROM n a JOIN n b ON a.first_id < b.first_id)
+SELECT first_id, other_id, n_rows, other_rows, round(score, 6) AS score FROM s WHERE score >= 0.5""")
 def jaccard_similar_pairs(spark, sf_dir):
-    """Part names against a catalogue of others: the 60 first parts stand for newly extracted topics."""
+    """All pairs of similar part names, each name by the smallest part that has it."""
     parts = B.read(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_type", "p_brand").alias("name"))
-    left, right = parts.where("p_partkey <= 60"), parts.where("p_partkey > 60").withColumnRenamed("p_partkey", "other_id")
-    return S.similar_names(left, right, "p_partkey", "other_id", "name").withColumn("score", F.round("score", 6))
+    return S.similar_classes(parts, "p_partkey", "name", 0.5).withColumn("score", F.round("score", 6))
 
 
 @query(f"""WITH t AS (SELECT p_partkey, list_sort(list_distinct({search_tokens_sql("p_type || ' ' || p_brand")})) AS tokens FROM part), n AS (SELECT DISTINCT tokens FROM t WHERE len(tokens) > 0),
@@ -122,6 +122,23 @@ def unsupported_facts(spark, sf_dir):
     return claims(spark, sf_dir).select("o_orderkey", F.explode(T.unsupported_facts(F.col("claim"), F.col("source"))).alias("fact"))
 
 
+BARE, FACTLESS = r"(?i)\bart\.\s*\d+[a-z]*(\s*§\s*\d+)?", r"(?i)\bart\.\s*\d+[a-z]*(\s*§\s*\d+[a-z]?)?(\s*(pkt|ust\.)\s*\d+)?"
+
+
+@query(f"""WITH c AS (SELECT o_orderkey, o_custkey AS topic_id, o_orderstatus AS field_type, o_orderkey % 50 AS document_id, {CLAIM} AS claim FROM orders), {provisions_sql('p', 'o_orderkey', 'claim', 'c')},
+k AS (SELECT o_orderkey, list_sort(list(act || ':' || article || coalesce('§' || paragraph, '') || coalesce('pkt' || point, ''))) AS keys FROM p GROUP BY o_orderkey),
+w AS (SELECT o_orderkey, topic_id, field_type, document_id, coalesce(keys, []) AS keys, list_distinct(list_filter({search_tokens_sql(f"regexp_replace(claim, '{BARE}', ' ', 'g')")}, lambda t: NOT regexp_matches(t, '^[0-9]') AND t <> '§')) AS words,
+  list_sort(list_distinct(list_concat(list_transform(regexp_extract_all(regexp_replace(claim, '{FACTLESS}', ' ', 'g'), '\\d+(?:[.,]\\d+)?'), lambda x: replace(x, ',', '.')), {WORD_NUMBERS}))) AS numbers FROM c LEFT JOIN k USING (o_orderkey))
+SELECT a.topic_id, a.field_type, a.o_orderkey AS claim_id, b.o_orderkey AS other_id, CASE WHEN a.keys <> b.keys THEN 'provision_number' ELSE 'content' END AS kind
+FROM w a JOIN w b ON a.topic_id = b.topic_id AND a.field_type = b.field_type AND a.o_orderkey < b.o_orderkey AND a.document_id <> b.document_id
+WHERE len(a.words) > 0 AND len(b.words) > 0 AND (a.keys <> b.keys OR a.numbers <> b.numbers) AND len(list_intersect(a.words, b.words)) / (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))) >= 0.8""")
+def conflict_pairs(spark, sf_dir):
+    """Claims of one topic and part, from different documents, that use the same words and state different facts."""
+    o = B.read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("topic_id"), F.col("o_orderstatus").alias("field_type"), (F.col("o_orderkey") % 50).alias("document_id"))
+    rows = o.join(claims(spark, sf_dir), "o_orderkey").select("topic_id", "field_type", F.col("o_orderkey").alias("claim_id"), "document_id", F.col("claim").alias("text"))
+    return S.conflicting_claims(rows)
+
+
 CONTENT = "[" + ", ".join(f"'{w}'" for w in sorted({w.translate(str.maketrans(T.MARKED, T.PLAIN)) for w in T.CONTENT_STOP_WORDS})) + "]"
 CUT5 = "CASE WHEN regexp_matches(t, '^[0-9]') THEN t ELSE substring(t, 1, 5) END"
 
@@ -130,20 +147,34 @@ def stems_sql(text: str) -> str:
     return f"list_transform(regexp_extract_all({FOLD.format(text)}, '[\\p{{L}}\\p{{N}}]+'), lambda t: {CUT5})"
 
 
-CLOSEST_PAIRS = "SELECT b.item_id, b.text AS claim, d.doc_id, d.text AS source FROM benchmark b JOIN documents d ON d.doc_id = b.item_id * 7 % 200"
+CLOSEST_PAIRS = "SELECT a.conv_id, a.turn, a.text AS claim, b.text AS source FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1"
+
 
+def closest_sql(keys: str, pair: str) -> str:
+    return f"""WITH pair AS ({pair}),
+want AS (SELECT {keys}, list_distinct(list_transform(list_filter(regexp_extract_all({FOLD.format('claim')}, '[\\p{{L}}\\p{{N}}]+'), lambda t: length(t) >= 3 AND NOT list_contains({CONTENT}, t)), lambda t: {CUT5})) AS want FROM pair),
+parts AS (SELECT {keys}, list_filter(regexp_extract_all(source, '[^.!?;\\n]+(?:[.!?;]+|$)'), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g')) <> '') AS parts FROM pair),
+one AS (SELECT {keys}, parts[i] AS passage, 2 * i AS place, 0.0 AS less FROM (SELECT {keys}, parts, unnest(range(1, len(parts) + 1)) AS i FROM parts)),
+two AS (SELECT {keys}, parts[i] || parts[i + 1] AS passage, 2 * i + 1 AS place, 0.05 AS less FROM (SELECT {keys}, parts, unnest(range(1, len(parts))) AS i FROM parts)),
+scored AS (SELECT {keys}, passage, place, len(list_intersect(want, list_distinct({stems_sql('passage')}))) / len(want) - less AS score FROM (FROM one UNION ALL FROM two) JOIN want USING ({keys}) WHERE len(want) >= 3)
+SELECT {keys}, round(greatest(score, 0), 6) AS score, trim(regexp_replace(passage, '\\s+', ' ', 'g')) AS passage FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY round(score, 9) DESC, place) AS rank FROM scored) WHERE rank = 1"""
 
-@query(f"""WITH pair AS ({CLOSEST_PAIRS}),
-want AS (SELECT item_id, list_distinct(list_transform(list_filter(regexp_extract_all({FOLD.format('claim')}, '[\\p{{L}}\\p{{N}}]+'), lambda t: length(t) >= 3 AND NOT list_contains({CONTENT}, t)), lambda t: {CUT5})) AS want FROM pair),
-parts AS (SELECT item_id, list_filter(regexp_extract_all(source, '[^.!?;\\n]+(?:[.!?;]+|$)'), lambda s: trim(regexp_replace(s, '\\s+', ' ', 'g')) <> '') AS parts FROM pair),
-one AS (SELECT item_id, parts[i] AS passage, 2 * i AS place, 0.0 AS less FROM (SELECT item_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM parts)),
-two AS (SELECT item_id, parts[i] || parts[i + 1] AS passage, 2 * i + 1 AS place, 0.05 AS less FROM (SELECT item_id, parts, unnest(range(1, len(parts))) AS i FROM parts)),
-scored AS (SELECT item_id, passage, place, len(list_intersect(want, list_distinct({stems_sql('passage')}))) / len(want) - less AS score FROM (FROM one UNION ALL FROM two) JOIN want USING (item_id) WHERE len(want) >= 3)
-SELECT item_id, round(greatest(score, 0), 6) AS score, trim(regexp_replace(passage, '\\s+', ' ', 'g')) AS passage FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, place) AS rank FROM scored) WHERE rank = 1""")
+
+@query(closest_sql("conv_id, turn", CLOSEST_PAIRS))
 def closest_passage(spark, sf_dir):
-    bench = B.read(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("claim"), (F.col("item_id") * 7 % 200).alias("doc_id"))
-    rows = bench.join(docs(spark, sf_dir), "doc_id").select("item_id", T.closest_passage(F.col("claim"), F.col("text")).alias("p"))
-    return rows.where("p is not null").select("item_id", F.round("p.score", 6).alias("score"), "p.passage")
+    """Each turn of a conversation against the turn before it."""
+    c = B.read(spark, sf_dir, "conversations")
+    before = c.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("source"))
+    rows = c.select("conv_id", "turn", F.col("text").alias("claim")).join(before, ["conv_id", "turn"])
+    rows = rows.select("conv_id", "turn", T.closest_passage(F.col("claim"), F.col("source")).alias("p"))
+    return rows.where("p is not null").select("conv_id", "turn", F.round("p.score", 6).alias("score"), "p.passage")
+
+
+@query(f"SELECT * FROM ({closest_sql('o_orderkey', f'SELECT o_orderkey, {CLAIM} AS claim, {SOURCE} AS source FROM orders')}) WHERE score >= 0.7")
+def supporting_passage(spark, sf_dir):
+    """The closest passage where it has seven tenths of the claim's stems."""
+    rows = claims(spark, sf_dir).select("o_orderkey", T.closest_passage(F.col("claim"), F.col("source")).alias("p"))
+    return rows.where("p.score >= 0.7 - 1e-9").select("o_orderkey", F.round("p.score", 6).alias("score"), "p.passage")
 
 
 @query()
@@ -168,10 +199,15 @@ def fuzzy_same_word(spark, sf_dir):
     return B.read(spark, sf_dir, "nation").select("n_nationkey", T.same_word(name, answer).alias("same"))
 
 
+# The names again, apart from the operator's.
+NAMED_SQL = "MAP {'amp': '&', 'lt': '<', 'gt': '>', 'quot': '\"', 'apos': '''', 'nbsp': ' ', 'sect': '§', 'ndash': '–', 'mdash': '—', 'bdquo': '„', 'rdquo': '”', 'ldquo': '“'}"
+
+
 def decoded_sql(text: str) -> str:
-    for name, char in E.ENTITIES.items():
-        text = f"regexp_replace({text}, '(?i)&{name};', '{char.replace(chr(39), chr(39) * 2)}', 'g')"
-    return f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
+    number = "CASE WHEN regexp_matches(x, '^&#[xX]') THEN CAST('0x' || substring(x, 4, length(x) - 4) AS BIGINT) ELSE CAST(substring(x, 3, length(x) - 3) AS BIGINT) END"
+    one = f"CASE WHEN regexp_matches(x, '^&#([xX][0-9a-fA-F]{{1,6}}|[0-9]{{1,7}});$') THEN chr(CAST({number} AS INTEGER)) WHEN regexp_matches(x, '^&[A-Za-z]+;$') THEN coalesce({NAMED_SQL}[lower(x[2:-2])], x) ELSE x END"
+    pieces = f"regexp_extract_all({text}, '&(?:#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z]+);|[^&]+|&')"
+    return f"trim(regexp_replace(array_to_string(list_transform({pieces}, lambda x: {one}), ''), '\\s+', ' ', 'g'))"
 
 
 def body_sql(html: str) -> str:

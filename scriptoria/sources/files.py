@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html as html_lib
 import io
 import re
 import zipfile
@@ -13,13 +12,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptoria.operators import etl
+
+#: What a file holds before its texts are parted: form says by which rule, and ready parts have a kind and level.
+PARTS = "path string, error string, form string, parts array<struct<page:int,kind:string,level:int,body:string>>"
 BLOCKS = "path string, status string, error string, ord int, kind string, level int, text string, page int"
 
-# Tags whose text is a block, and parts of a page that are left out.
-BLOCK = re.compile(r"<(h[1-6]|p|li|blockquote|td|th|dt|dd|div|caption|figcaption)\b[^>]*>(.*?)(?=</?(?:h[1-6]|p|li|blockquote|td|th|dt|dd|div|caption|figcaption|ul|ol|table|tr)\b|\Z)", re.S | re.I)
-DROPPED = re.compile(r"<!--.*?-->|<(script|style|head|nav|svg)\b.*?</\1>", re.S | re.I)
 # RTF destinations whose text is none of the document's.
-RTF_HIDDEN = {"fonttbl", "colortbl", "stylesheet", "info", "pict", "header", "footer", "themedata", "listtable", "listoverridetable", "generator", "datastore"}
+RTF_HIDDEN = set("fonttbl colortbl stylesheet info pict header footer listtable listoverridetable rsidtbl generator xmlnstbl themedata colorschememapping latentstyles datastore mmathPr".split())
+# RTF words that stand for a character.
+RTF_SIGNS = {"par": "\n", "line": "\n", "sect": "\n", "page": "\n", "tab": " ", "emdash": "—", "endash": "–", "lquote": "'", "rquote": "'", "ldblquote": '"', "rdblquote": '"'}
 
 
 def decoded(data: bytes) -> str:
@@ -32,46 +34,15 @@ def decoded(data: bytes) -> str:
 
 def block(text: str, kind: str = "para", level: int | None = None, page: int | None = None) -> dict | None:
     text = re.sub(r"\s+", " ", text).strip()
-    return {"kind": kind, "level": level, "text": text, "page": page} if text else None
-
-
-def html_blocks(text: str, page: int | None = None) -> list[dict]:
-    body = re.sub(r"<br\s*/?>", " ", DROPPED.sub("", text), flags=re.I)
-    out = []
-    for m in BLOCK.finditer(body):
-        tag, inner = m[1].lower(), html_lib.unescape(re.sub("<[^>]+>", "", m[2]))
-        out.append(block(inner, "heading", int(tag[1]), page) if re.fullmatch("h[1-6]", tag) else block(inner, page=page))
-    return [b for b in out if b]
-
-
-def markdown_blocks(text: str) -> list[dict]:
-    """Headings by #, paragraphs by empty lines, each list item a paragraph."""
-    out, para = [], []
-
-    def plain(s: str) -> str:
-        s = re.sub(r"\[([^\]]+)\]\([^)]*\)", r"\1", re.sub(r"!\[[^\]]*\]\([^)]*\)", "", s))
-        s = re.sub(r"(\*|_)(.+?)\1", r"\2", re.sub(r"(\*\*|__)(.+?)\1", r"\2", s))
-        return re.sub(r"`([^`]+)`", r"\1", s)
-
-    def flush():
-        out.append(block(" ".join(para)))
-        para.clear()
-
-    for line in map(str.strip, re.sub("\r\n?", "\n", text).split("\n")):
-        if m := re.match(r"(#{1,6})\s+(.*?)\s*#*$", line):
-            flush()
-            out.append(block(plain(m[2]), "heading", len(m[1])))
-        elif not line or re.match(r"([-*+]|\d+[.)])\s+", line):
-            flush()
-            out.append(block(plain(line)))
-        else:
-            para.append(plain(line))
-    flush()
-    return [b for b in out if b]
+    return {"page": page, "kind": kind, "level": level, "body": text} if text else None
 
 
 def rtf_text(data: bytes) -> str:
-    """The text of an RTF file: groups, escapes in the code page, \\uN with what stands in for it, paragraphs."""
+    """The text of an RTF file, a line for each paragraph or line: groups, escapes in the code page that the file names (or
+    Latin-1), \\uN with what stands in for it, and words for signs."""
+    if not data.startswith(rb"{\rtf"):
+        raise ValueError("not an RTF file")
+    page = "cp1250" if rb"\ansicpg1250" in data else "latin-1"
     source, out, stack, hidden, skip, instead = data.decode("latin-1"), [], [], False, 0, 1
     for m in re.finditer(r"\\([a-z]{1,32})(-?\d+)? ?|\\'([0-9a-fA-F]{2})|\\([^a-z])|([{}])|([^\\{}\r\n]+)|[\r\n]", source, re.I):
         word, number, code, sign, brace, run = m.groups()
@@ -88,15 +59,13 @@ def rtf_text(data: bytes) -> str:
         elif word == "u":
             out.append(chr(int(number or 0) % 65536))
             skip = instead
-        elif word in ("par", "line", "sect", "page"):
-            out.append("\n\n" if word != "line" else "\n")
-        elif word == "tab":
-            out.append("\t")
+        elif word in RTF_SIGNS:
+            out.append(RTF_SIGNS[word])
         elif code:
             if skip:
                 skip -= 1
             else:
-                out.append(bytes.fromhex(code).decode("cp1250", "replace"))
+                out.append(bytes.fromhex(code).decode(page, "replace"))
         elif sign:
             out.append({"~": " ", "_": "-", "-": "\u00ad"}.get(sign, sign if sign in "\\{}" else ""))
         elif run:
@@ -134,56 +103,68 @@ def docx_blocks(data: bytes) -> list[dict]:
     return [b for b in out if b]
 
 
-def epub_blocks(data: bytes) -> list[dict]:
-    """Chapters in the order of the spine; a block's page is its chapter's number."""
-    out = []
+def epub_chapters(data: bytes) -> list[dict]:
+    """Chapters in the order of the spine; a chapter's number is its page."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         package = re.search(r'full-path="([^"]+)"', z.read("META-INF/container.xml").decode())[1]
         opf = ElementTree.fromstring(z.read(package))
         hrefs = {n.get("id"): n.get("href") for n in opf.iter() if n.tag.endswith("}item")}
         spine = [hrefs[n.get("idref")] for n in opf.iter() if n.tag.endswith("}itemref")]
         folder = package.rpartition("/")[0]
-        for number, href in enumerate(spine, 1):
-            out += html_blocks(decoded(z.read(f"{folder}/{href}" if folder else href)), number)
-    return out
+        return [whole(z.read(f"{folder}/{href}" if folder else href), number) for number, href in enumerate(spine, 1)]
 
 
-def plain_blocks(text: str) -> list[dict]:
-    return [b for b in (block(p) for p in re.split(r"\n\s*\n", re.sub("\r\n?", "\n", text))) if b]
+def whole(data: bytes, page: int | None = None) -> dict:
+    return {"page": page, "kind": None, "level": None, "body": decoded(data)}
 
 
-PARSERS = {
-    "md": lambda d: markdown_blocks(decoded(d)), "markdown": lambda d: markdown_blocks(decoded(d)), "txt": lambda d: plain_blocks(decoded(d)),
-    "html": lambda d: html_blocks(decoded(d)), "htm": lambda d: html_blocks(decoded(d)), "xhtml": lambda d: html_blocks(decoded(d)),
-    "rtf": lambda d: plain_blocks(rtf_text(d)), "odt": odt_blocks, "docx": docx_blocks, "epub": epub_blocks,
-}
+#: By ending: the rule that parts the texts, and what takes them out of the file.
+READERS = {
+    **dict.fromkeys(("md", "markdown"), ("md", lambda d: [whole(d)])),
+    "txt": ("txt", lambda d: [whole(d)]),
+    **dict.fromkeys(("html", "htm", "xhtml"), ("html", lambda d: [whole(d)])),
+    "epub": ("html", epub_chapters),
+    "rtf": ("ready", lambda d: [b for b in map(block, rtf_text(d).split("\n")) if b]),
+    "odt": ("ready", odt_blocks),
+    "docx": ("ready", docx_blocks),
+}
 
 
-def parsed_file(path: str, data: bytes) -> list[dict]:
-    """Rows of BLOCKS for one file; a file that cannot be read is a row with status error, and never fails the job."""
+def opened_file(path: str, data: bytes) -> dict:
+    """A row of PARTS for one file; a file that cannot be read is a row with an error, and never fails the job."""
     ending = path.rpartition(".")[2].lower()
     try:
-        if ending not in PARSERS:
+        if ending not in READERS:
             raise ValueError(f"no reader for .{ending}")
-        blocks = PARSERS[ending](data)
-        if not blocks:
-            raise ValueError("no text")
-        return [{"path": path, "status": "ok", "error": None, "ord": i, **b} for i, b in enumerate(blocks)]
+        form, read = READERS[ending]
+        return {"path": path, "error": None, "form": form, "parts": read(data)}
     except Exception as e:  # a broken file may fail in any way
-        return [{"path": path, "status": "error", "error": f"{type(e).__name__}: {e}"[:200], "ord": None, "kind": None, "level": None, "text": None, "page": None}]
+        return {"path": path, "error": f"{type(e).__name__}: {e}"[:200], "form": None, "parts": []}
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of all files under a path."""
+    """Blocks of all files under a path. Files are opened in tasks; texts, pages and Markdown are parted by expressions, the
+    same as for tables. A file without text is a row with an error, like one that cannot be read."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in BLOCKS.split(", ")]
         for batch in batches:
             for p, data in zip(batch["path"], batch["content"], strict=True):
-                rows = pd.DataFrame(parsed_file(p, data), columns=names)
-                yield rows.astype({"ord": "Int32", "level": "Int32", "page": "Int32"})
+                yield pd.DataFrame([opened_file(p, data)])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "content").mapInPandas(run, BLOCKS)
-
-
+    opened = files.select("path", "content").mapInPandas(run, PARTS)
+
+    def parted(part):
+        ready = F.array(F.struct(part.kind.alias("kind"), part.level.alias("level"), part.body.alias("text")).cast(etl.BLOCK))
+        made = (
+            F.when(F.col("form") == "html", etl.html_block_array(part.body))
+            .when(F.col("form") == "md", etl.markdown_block_array(part.body))
+            .when(F.col("form") == "txt", F.flatten(etl.text_parts(part.body)))
+            .otherwise(ready)
+        )
+        return F.transform(made, lambda b: F.struct(b.kind.alias("kind"), b.level.alias("level"), b.text.alias("text"), part.page.alias("page")))
+
+    rows = opened.select("path", "error", F.posexplode_outer(F.flatten(F.transform("parts", parted))).alias("ord", "b"))
+    error = F.coalesce("error", F.when(F.col("b").isNull(), F.lit("ValueError: no text")))
+    status = F.when(error.isNull(), "ok").otherwise("error")
+    return rows.select("path", status.alias("status"), error.alias("error"), "ord", "b.kind", "b.level", "b.text", "b.page")

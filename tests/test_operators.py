@@ -111,6 +111,12 @@ def test_split_text_loses_nothing(most):
     assert all(len(p) <= most for p in parts) and "".join(parts).replace(" ", "").replace("\n", "") == text.replace(" ", "").replace("\n", "")
 
 
+def test_split_text_keeps_what_parts_paragraphs():
+    assert E.split_text("Ala ma\n\nKot ma. Pies też. Koniec", 26) == ["Ala ma\n\nKot ma. Pies też.", "Koniec"]
+    assert E.split_text("Ala ma.\n\nKot ma. Pies też. Koniec", 26) == ["Ala ma. Kot ma. Pies też.", "Koniec"]
+    assert E.split_text("a. " + "b" * 25 + " c. d", 10) == ["a.", "b" * 10, "b" * 10, "b" * 5 + " c.", "d"]
+
+
 def test_version_diff(spark):
     old = spark.createDataFrame([(1, i, h, f"c{i}") for i, h in enumerate("abbc")], "d long, ord int, text_hash string, chunk_id string")
     new = spark.createDataFrame([(1, i, h) for i, h in enumerate("xba")], "d long, ord int, text_hash string")

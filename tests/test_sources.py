@@ -15,13 +15,13 @@ def packed(files):
     return out.getvalue()
 
 
-PAGE = "<html><head><title>t</title><style>p{}</style></head><body><!-- <p>no</p> --><h1>Wykład &amp; reszta</h1><p>Pierwszy <b>aka</b>pit<br>dalej</p>loose<ul><li>jeden</li></ul></body></html>"
+PAGE = "<html><head><title>t</title><style>p{}</style></head><body><!-- <p>no</p> --><h1>Wykład &amp; reszta</h1><p>Pierwszy <b>aka</b>pit<br>dalej &#8222;x&#x2019; &amp;lt; &zzz; &#0;</p>loose<ul><li>jeden</li></ul></body></html>"
 OFFICE, WORD = "urn:oasis:names:tc:opendocument:xmlns:text:1.0", "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 FILES = {
     "a.html": PAGE.encode(),
     "b.md": "# Tytuł\n\nakapit z **mocnym** [łączem](x)\ndalej\n- punkt\n".encode(),
-    "c.txt": "pierwszy\n\ndrugi ąę".encode("cp1250"),
-    "d.rtf": rb"{\rtf1\ansi{\fonttbl{\f0 Arial;}}Zdanie \'b9 i \u322?.\par Drugie{\*\hidden x}\line koniec}",
+    "c.txt": "WSTĘP DO PRAWA\n\npierwszy\n\n1. raz\n2. dwa\n\ndrugi ąę".encode("cp1250"),
+    "d.rtf": rb"{\rtf1\ansi\ansicpg1250{\fonttbl{\f0 Arial;}}Zdanie \'b9 i \u322?.\par Drugie{\*\hidden x}\line koniec \emdash\ldblquote c\rdblquote}",
     "e.odt": packed({"content.xml": f'<o xmlns:text="{OFFICE}"><text:h text:outline-level="2">Tytuł</text:h><text:p>Akapit</text:p></o>'}),
     "f.docx": packed({"word/document.xml": f'<w:d xmlns:w="{WORD}"><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Tytuł</w:t></w:r></w:p><w:p><w:r><w:t>Aka</w:t></w:r><w:r><w:t>pit</w:t></w:r></w:p></w:d>'}),
     "g.epub": packed({"META-INF/container.xml": '<c><rootfile full-path="o/p.opf"/></c>', "o/p.opf": '<p xmlns="u"><item id="x" href="2.xhtml"/><item id="y" href="1.xhtml"/><itemref idref="y"/><itemref idref="x"/></p>', "o/1.xhtml": "<p>raz</p>", "o/2.xhtml": "<p>dwa</p>"}),
@@ -39,10 +39,10 @@ def folder(tmp_path):
 def test_formats(spark, folder):
     rows = read_blocks(spark, folder).collect()
     by = lambda name: [(r.kind, r.level, r.text, r.page) for r in sorted((r for r in rows if r.path.endswith(name)), key=lambda r: r.ord)]
-    assert by("a.html") == [("heading", 1, "Wykład & reszta", None), ("para", None, "Pierwszy akapit dalej", None), ("para", None, "jeden", None)]
+    assert by("a.html") == [("heading", 1, "Wykład & reszta", None), ("para", None, "Pierwszy akapit dalej „x’ &lt; &zzz; &#0;", None), ("para", None, "jeden", None)]
     assert by("b.md") == [("heading", 1, "Tytuł", None), ("para", None, "akapit z mocnym łączem dalej", None), ("para", None, "- punkt", None)]
-    assert [x[2] for x in by("c.txt")] == ["pierwszy", "drugi ąę"]
-    assert [x[2] for x in by("d.rtf")] == ["Zdanie ą i ł.", "Drugie koniec"]
+    assert by("c.txt") == [("heading", 2, "WSTĘP DO PRAWA", None), ("para", None, "pierwszy", None), ("para", None, "1. raz", None), ("para", None, "2. dwa", None), ("para", None, "drugi ąę", None)]
+    assert [x[2] for x in by("d.rtf")] == ["Zdanie ą i ł.", "Drugie", 'koniec —"c"']
     assert by("e.odt") == [("heading", 2, "Tytuł", None), ("para", None, "Akapit", None)]
     assert by("f.docx") == [("heading", 1, "Tytuł", None), ("para", None, "Akapit", None)]
     assert [(x[2], x[3]) for x in by("g.epub")] == [("raz", 1), ("dwa", 2)]
