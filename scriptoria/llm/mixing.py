@@ -39,16 +39,17 @@ COARSE, FINE = 1000, 10**10
 CHUNK = 1024
 
 #: The same rule over all blocks, slot by slot and without periods. When a source is used up, the windows of the others begin
-#: anew at the next slot with the shares that they have without it. A pick is (sources used up before) * sources + source.
+#: anew at the next slot with the shares that they have without it. A pick is ((sources used up before) *
+#: sources + source) * blocks + the source's block.
 EXACT_SCHEDULE = f"""
 aggregate(
   sequence(0L, (n_blocks - 1) div {CHUNK}),
   named_struct(
     'next', transform(all, x -> named_struct('done', 0L, 'base', 0L, 'release', 0L, 'deadline', (whole + x.units - 1) div x.units)),
-    'start', 0L, 'period', whole, 'gone', 0, 'out', cast(array() as array<array<int>>)),
+    'start', 0L, 'period', whole, 'gone', 0, 'out', cast(array() as array<array<bigint>>)),
   (o, chunk) -> element_at(transform(array(aggregate(
     sequence(chunk * {CHUNK}, least(n_blocks, (chunk + 1) * {CHUNK}) - 1),
-    named_struct('next', o.next, 'start', o.start, 'period', o.period, 'gone', o.gone, 'picks', cast(array() as array<int>)),
+    named_struct('next', o.next, 'start', o.start, 'period', o.period, 'gone', o.gone, 'picks', cast(array() as array<bigint>)),
     (s, slot) -> element_at(transform(
       array(cast(array_min(transform(s.next, (w, i) -> if(w.release <= slot, w.deadline * size(all) + i, null))) % size(all) as int)),
       pick -> if(s.next[pick].done + 1 < all[pick].blocks,
@@ -56,13 +57,13 @@ aggregate(
           'next', transform(s.next, (w, i) -> if(i = pick, named_struct('done', w.done + 1, 'base', w.base,
             'release', s.start + ((w.done + 1 - w.base) * s.period) div all[i].units,
             'deadline', s.start + ((w.done + 2 - w.base) * s.period + all[i].units - 1) div all[i].units), w)),
-          'start', s.start, 'period', s.period, 'gone', s.gone, 'picks', concat(s.picks, array(s.gone * size(all) + pick))),
+          'start', s.start, 'period', s.period, 'gone', s.gone, 'picks', concat(s.picks, array((s.gone * size(all) + pick) * n_blocks + s.next[pick].done))),
         named_struct(
           'next', transform(s.next, (w, i) -> if(i = pick or w.done = all[i].blocks,
             named_struct('done', all[i].blocks, 'base', w.base, 'release', n_blocks, 'deadline', n_blocks),
             named_struct('done', w.done, 'base', w.done, 'release', slot + 1,
               'deadline', slot + 1 + (s.period - all[pick].units + all[i].units - 1) div all[i].units))),
-          'start', slot + 1, 'period', s.period - all[pick].units, 'gone', s.gone + 1, 'picks', concat(s.picks, array(s.gone * size(all) + pick))))), 1))),
+          'start', slot + 1, 'period', s.period - all[pick].units, 'gone', s.gone + 1, 'picks', concat(s.picks, array((s.gone * size(all) + pick) * n_blocks + s.next[pick].done))))), 1))),
     e -> named_struct('next', e.next, 'start', e.start, 'period', e.period, 'gone', e.gone, 'out', concat(o.out, array(e.picks)))), 1),
   o -> o.out)
 """
@@ -76,21 +77,19 @@ def exact_slots(sources: DataFrame) -> DataFrame:
     rows in parallel.
     """
     one = sources.agg(F.sort_array(F.collect_list(F.struct("source", "units", "blocks"))).alias("all"), F.sum("units").alias("whole"), F.sum("blocks").alias("n_blocks"))
-    chunks = one.where("n_blocks > 0").select("all", F.posexplode(F.expr(EXACT_SCHEDULE)).alias("chunk", "picks"))
-    sized = chunks.select("chunk", "picks", F.size("all").alias("m"))
-    picks = cut(sized.select("chunk", "m", F.posexplode("picks").alias("at", "pick")).select(
-        (F.col("chunk").cast("long") * CHUNK + F.col("at")).alias("slot"), (F.col("pick") % F.col("m")).alias("i"), F.floor(F.col("pick") / F.col("m")).cast("int").alias("gone")), "picks")
+    chunks = one.where("n_blocks > 0").select("n_blocks", F.size("all").alias("m"), F.posexplode(F.expr(EXACT_SCHEDULE)).alias("chunk", "picks"))
+    code = F.expr("pick div n_blocks")
+    picks = cut(chunks.select("chunk", "m", "n_blocks", F.posexplode("picks").alias("at", "pick")).select(
+        (F.col("chunk").cast("long") * CHUNK + F.col("at")).alias("slot"), (F.col("pick") % F.col("n_blocks")).alias("block"),
+        (code % F.col("m")).cast("int").alias("i"), F.floor(code / F.col("m")).cast("int").alias("gone")), "picks")
     listed = one.select(F.posexplode("all").alias("i", "x")).select("i", "x.source", "x.units")
-    block = F.row_number().over(Window.partitionBy("i").orderBy("slot")) - 1
-    rows = picks.withColumn("block", block.cast("long"))
-    base = picks.groupBy("i", "gone").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("i").orderBy("gone").rowsBetween(Window.unboundedPreceding, -1))
-    base = base.select("i", "gone", F.coalesce(before, F.lit(0)).cast("long").alias("base"))
-    # a phase for each source that is used up: those left in it share its slots; MAX_SOURCES rows at most
+    base = picks.groupBy("i", "gone").agg(F.min("block").alias("base"))
+    # a phase for each source that is used up: those left in it share its slots. MAX_SOURCES rows at most, and in base one for
+    # each source that runs in a phase, which is less than one for each block
     ends = picks.groupBy("i").agg(F.max("gone").alias("last")).join(F.broadcast(listed), "i")
     left = F.sum("units").over(Window.orderBy(F.desc("last")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
     phases = picks.groupBy("gone").agg(F.min("slot").alias("start")).join(F.broadcast(ends.select(F.col("last").alias("gone"), left.alias("period"))), "gone")
-    out = rows.join(F.broadcast(listed), "i").join(F.broadcast(phases), "gone").join(base, ["i", "gone"])
+    out = picks.join(F.broadcast(listed), "i").join(F.broadcast(phases), "gone").join(F.broadcast(base), ["i", "gone"])
     return out.select(
         "source", "units", "block", "slot", "start", "period",
         F.expr("((block - base) * period) div units").alias("release"), F.expr("((block - base + 1) * period + units - 1) div units").alias("deadline"),
