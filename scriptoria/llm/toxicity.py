@@ -21,8 +21,8 @@ TRAIN_ROWS = 20_000
 LEARNED_TERMS = 200
 #: Tokens to each side of a hit that its context consists of.
 CONTEXT = 6
-#: Words whose verdict a worker remembers.
-MEMORY = 400_000
+#: Words whose verdict a worker remembers, and states of the automaton that it keeps before it begins anew.
+MEMORY, MOST_STATES = 400_000, 100_000
 
 # Terms of abuse that the lexicon starts from, and the words of its contexts.
 SEED_TERMS = """
@@ -75,6 +75,10 @@ class FuzzyLexicon:
             self.ends[node] = term
         self.alphabet = {c for t in self.terms for c in t}
         self.longest = max((len(t) + allowed_errors(t) for t in self.terms), default=0)
+        self.forget()
+
+    def forget(self) -> None:
+        """Begin with the start state only."""
         self.numbers: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
@@ -116,6 +120,8 @@ class FuzzyLexicon:
         """The term with the fewest edits to the word, and their number, or None; ties go to the term that sorts first."""
         if len(word) > self.longest:
             return None
+        if len(self.states) > MOST_STATES:
+            self.forget()
         at = self.start
         for c in word:
             if at < 0:
@@ -222,7 +228,8 @@ def weighed(df: DataFrame, text_col: str, terms: Iterable[str], keep: list[str],
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -> Model:
     """Lexicon and weights from a bounded frame of labelled rows (see TRAIN_ROWS). Labels other than 0 and 1 do not count.
-    Without both labels the weights are set by hand: any plain hit is toxic."""
+    Without both labels the weights are set by hand: any plain hit is toxic. Null texts are empty, long ones are read whole,
+    repeated rows count as often as they stand there, and no rows make the lexicon of the seed terms with weights by hand."""
     label = F.col(label_col).cast("double")
     rows = cut(labelled.where(label.isin(0.0, 1.0)).select(F.col(text_col).alias("text"), label.alias("label")), "labelled")
     n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).head()
@@ -238,7 +245,8 @@ def score_toxicity(df: DataFrame, model: Model, text_col: str = "text", keep: li
     """keep's columns (all unless given), score (0 to 1) and predicted (1 from 0.5 on).
 
     Null and empty texts have no hits and get the score of that. Only the text is looked at. A whole text is read; only
-    texts with a hit are read a second time for contexts. Columns of these names are replaced.
+    texts with a hit are read a second time for contexts. Repeated rows get equal scores, an empty frame gives an empty one.
+    Columns of these names are replaced.
     """
     keep = [c for c in (df.columns if keep is None else keep) if c not in ("score", "predicted")]
     names = fresh(df, *[f"tox_{n}" for n in FEATURES])

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -74,3 +75,61 @@ def test_held_out(spark):
     held = [(labels[r.doc_id].toxic, r) for r in rows if r.held_out and r.doc_id in labels]
     assert sum(t == r.predicted for t, r in held) / len(held) > 0.93
     assert all(r.held_out == labels[r.doc_id].h for r in rows if r.doc_id in labels)
+
+
+def brute_features(text, terms):
+    """Features from their description, with plain edit distances."""
+    from scriptoria.llm import toxicity as X
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    tokens = X.TOKEN.findall((text or "").lower())
+    edits = {}
+    for t in set(tokens):
+        near = [d for term in terms if (d := distance(t, term)) <= X.allowed_errors(term)]
+        if near and t not in X.QUOTES:
+            edits[t] = min(near)
+    inside, sums, strongest, n_words = False, [0.0, 0.0, 0.0], 0.0, 0
+    for i, t in enumerate(tokens):
+        if t in X.QUOTES:
+            inside = not inside
+            continue
+        n_words += 1
+        if t in edits:
+            around = [tokens[j] for j in range(max(0, i - X.CONTEXT), min(len(tokens), i + X.CONTEXT + 1)) if j != i]
+            marks = [x for x in around if x in X.QUOTES]
+            quote = (0.5 if inside and marks else 0) + (0.4 if set(around) & X.REPORT_WORDS else 0) + (0.2 if len(marks) >= 2 else 0)
+            abuse = (0.5 if set(around) & X.ADDRESS_WORDS else 0) + (0.2 if "!" in around else 0) + (0.5 if set(around) & set(edits) else 0)
+            weight = max(0.1, 1 + abuse - quote) * {0: 1.0, 1: 0.6, 2: 0.4}[edits[t]]
+            sums[1 if edits[t] else 0] += weight
+            sums[2] += quote
+            strongest = max(strongest, weight)
+    return (*(math.log1p(x) for x in sums), min(1.0, 10 * (sums[0] + sums[1]) / max(1, n_words)), strongest)
+
+
+def test_features_against_brute_force():
+    from scriptoria.llm import toxicity as X
+
+    rng = random.Random(12)
+    terms = ("idiot", "moronic", "scum", "worthless")
+    pieces = ["idiot", "idoit", "idi0t", "moronc", "scum", "skum", "worthles", "you", "said", '"', "!", "the", "a", "house", "x", "'", "."]
+    weigher = X.Weigher(terms)
+    for text in [None, "", '"'] + [" ".join(rng.choices(pieces, k=rng.randrange(1, 40))) for _ in range(300)]:
+        assert weigher(text) == pytest.approx(brute_features(text, terms)), text
+
+
+def test_automaton_begins_anew(monkeypatch):
+    from scriptoria.llm import toxicity as X
+
+    words = ["idiot", "idoit", "house", "moronic", "mornic", "xyz"] * 3
+    want = [X.FuzzyLexicon(("idiot", "moronic")).match(w) for w in words]
+    monkeypatch.setattr(X, "MOST_STATES", 3)
+    lexicon = X.FuzzyLexicon(("idiot", "moronic"))
+    assert [lexicon.match(w) for w in words] == want and len(lexicon.states) < 40
