@@ -246,3 +246,74 @@ def abstract_from_index(index: Column) -> Column:
 
 def estimated_tokens(text: Column) -> Column:
     return F.ceil(F.length(text) / 2.5)
+
+
+def same_phrase(expected: Column, answer: Column) -> Column:
+    """Whether an answer has three in five of the words (three letters or more) of a phrase; a phrase without such words is
+    compared as one word. A null answer is an empty one."""
+    answer = F.coalesce(answer, F.lit(""))
+    words = lambda x: F.filter(F.split(plain_word(x), " "), lambda w: F.length(w) >= 3)
+    want, have = words(expected), words(answer)
+    found = F.size(F.filter(want, lambda w: F.exists(have, lambda h: same_word(w, h))))
+    return F.when(F.size(want) == 0, same_word(expected, answer)).otherwise(found >= 0.6 * F.size(want))
+
+
+def recalled(expected: Column, answers: Column) -> Column:
+    """For each expected word, whether the answer in its place names it; missing answers are wrong."""
+    return F.transform(expected, lambda e, i: same_word(e, F.coalesce(F.get(answers, i), F.lit(""))))
+
+
+# Codes by their normalised abbreviation: title, usual abbreviation.
+CODES = {
+    "kc": ("Kodeks cywilny", "k.c."),
+    "kk": ("Kodeks karny", "k.k."),
+    "kpc": ("Kodeks postępowania cywilnego", "k.p.c."),
+    "kpk": ("Kodeks postępowania karnego", "k.p.k."),
+    "kro": ("Kodeks rodzinny i opiekuńczy", "k.r.o."),
+    "kp": ("Kodeks pracy", "k.p."),
+    "kpa": ("Kodeks postępowania administracyjnego", "k.p.a."),
+    "ksh": ("Kodeks spółek handlowych", "k.s.h."),
+    "kw": ("Kodeks wykroczeń", "k.w."),
+    "kkw": ("Kodeks karny wykonawczy", "k.k.w."),
+    "konst": ("Konstytucja Rzeczypospolitej Polskiej", "Konstytucja RP"),
+}
+
+
+def act_title(abbreviation: Column) -> Column:
+    """The title of a code by its abbreviation in any spelling; null if it is none."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for key, (title, _) in CODES.items() for x in (key, title)]), normalized_act(abbreviation))
+
+
+def act_abbreviation(title: Column) -> Column:
+    """The abbreviation of the code that a title names, the longest name first; null if it names none."""
+    by_length = sorted(CODES.values(), key=lambda c: -len(c[0]))
+    return F.coalesce(*[F.when(F.contains(F.lower(title), F.lit(name.lower())), F.lit(short)) for name, short in by_length])
+
+
+# What is read out for abbreviations of codes, and patterns of further ones with their words.
+SPOKEN_CODES = {
+    "k.c.": "kodeksu cywilnego", "k.k.": "kodeksu karnego", "k.p.c.": "kodeksu postępowania cywilnego", "k.p.k.": "kodeksu postępowania karnego",
+    "k.r.o.": "kodeksu rodzinnego i opiekuńczego", "k.p.": "kodeksu pracy", "k.p.a.": "kodeksu postępowania administracyjnego",
+    "k.s.h.": "kodeksu spółek handlowych", "k.w.": "kodeksu wykroczeń",
+}
+SPOKEN = {
+    r"(?i)\bart\.\s*": "artykuł ", r"§\s*": "paragraf ", r"(?i)\bust\.\s*": "ustęp ", r"(?i)\bpkt\s*": "punkt ", r"\bnp\.": "na przykład",
+    r"\bm\.in\.": "między innymi", r"\bitd\.": "i tak dalej", r"\btzw\.": "tak zwany", r"\bSN\b": "Sąd Najwyższy", r"\bTK\b": "Trybunał Konstytucyjny",
+}
+
+
+def spoken(text: Column) -> Column:
+    """A text for reading aloud, its legal abbreviations in full."""
+    for short, full in SPOKEN_CODES.items():
+        text = F.replace(text, F.lit(short), F.lit(full))
+    for pattern, full in SPOKEN.items():
+        text = F.regexp_replace(text, pattern.replace(r"\s", "[\\s\u00a0\u202f]"), full)
+    return collapsed(text)
+
+
+# How model servers say that a prompt is too long.
+CONTEXT_ERROR = r"(?i)context (length|window|size|overflow)|n_ctx|exceeds the (available )?context|prompt is (too )?long|tokens to keep|too many tokens|maximum context"
+
+
+def is_context_error(message: Column) -> Column:
+    return F.coalesce(message.rlike(CONTEXT_ERROR), F.lit(False))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptoria.operators.recall import exam_urgency, recall_probability
+from scriptoria.operators.recall import exam_urgency, recall_probability, study_day_start
 
 #: A new item costs this much more than a known one.
 NEW_COST = 1.6
@@ -173,3 +173,49 @@ def exam_weight(rows: DataFrame, key: str) -> DataFrame:
         F.when(F.col("acts") > 0, 0.3).otherwise(0.0), F.when(F.col("books") > 0, 0.2).otherwise(0.0),
     )
     return sums.select(key, F.round(weight, 2).alias("weight"))
+
+
+def first_gaps(items: DataFrame, material: str, sub_key: str, item: str) -> DataFrame:
+    """Of the unseen items of each material the first by the number in its key, so that c2 comes before c10; ties go to the
+    key and then to the item. One aggregate, combined before its shuffle."""
+    number = F.regexp_extract(sub_key, r"(\d+)", 1).try_cast("bigint")
+    first = F.min(F.struct(F.coalesce(number, F.lit(-1).cast("bigint")).alias("number"), F.col(sub_key), F.col(item))).alias("first")
+    return items.groupBy(material).agg(first).select(material, f"first.{item}", f"first.{sub_key}")
+
+
+def backlog(planned: DataFrame, by: list[str], cost: str, full_budget: float) -> DataFrame:
+    """From a list with taken (see first_fit): the deferred items, and the days that all due ones take, 0 if none waits."""
+    sums = planned.groupBy(*by).agg(F.count_if(~F.col("taken")).alias("deferred"), F.sum(cost).alias("due"))
+    days = F.when(F.col("deferred") > 0, F.ceil(F.col("due") / max(60.0, full_budget))).otherwise(0).cast("bigint")
+    return sums.select(*by, "deferred", days.alias("backlog_days"))
+
+
+def buried(log: DataFrame, items: DataFrame) -> DataFrame:
+    """Until when an item waits because another item of its material was answered: the end of the study day of the last such
+    answer that counts. Items without an answered sibling have no row."""
+    last = log.where("counted").groupBy("item_id").agg(F.max("ts").alias("last"))
+    known = items.select("item_id", "material_id").join(last, "item_id", "left")
+    # of each material the two items answered last: an item waits for the first of them that it is not itself
+    answered = known.where("last IS NOT NULL").withColumn("n", F.row_number().over(Window.partitionBy("material_id").orderBy(F.desc("last"), "item_id"))).where("n <= 2")
+    two = answered.groupBy("material_id").agg(F.max(F.when(F.col("n") == 1, F.col("item_id"))).alias("top"), F.max(F.when(F.col("n") == 1, F.col("last"))).alias("one"), F.max(F.when(F.col("n") == 2, F.col("last"))).alias("two"))
+    at = F.when(F.col("item_id") == F.col("top"), F.col("two")).otherwise(F.col("one"))
+    rows = known.join(two, "material_id").withColumn("at", at).where("at IS NOT NULL")
+    return rows.select("item_id", (study_day_start(F.col("at")) + F.expr("interval 1 day")).alias("buried_until"))
+
+
+def rating_preview(items: DataFrame, days: Column, scheduler: Scheduler = Scheduler()) -> DataFrame:
+    """For each item (item_id, stability, difficulty; stability 0 if new) answered `days` after its last answer, its stability
+    and interval in days after each of the four ratings. The same model as Scheduler.step, in columns."""
+    p = scheduler
+    rows = items.withColumn("days", days).withColumn("rating", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3, 4)])))
+    s, r = F.col("stability"), F.col("rating")
+    d = F.least(F.lit(10.0), F.greatest(F.lit(1.0), F.col("difficulty") - 0.8 * (r - 3) * (10 - F.col("difficulty")) / 9))
+    lost = 1 - F.pow(1 + F.lit(0.9 ** (1 / p.decay) - 1) * F.col("days") / s, F.lit(p.decay))
+    a, b, c, e = p.lapse
+    lapsed = F.least(s, a * F.pow(d, F.lit(-b)) * (F.pow(s + 1, F.lit(c)) - 1) * F.exp(e * lost))
+    bonus = F.when(r == 2, p.hard).when(r == 4, p.easy).otherwise(1.0)
+    grown = s * (1 + F.exp(F.lit(p.growth)) * (11 - d) * F.pow(s, F.lit(-p.saturation)) * (F.exp(lost * p.recall_gain) - 1) * bonus)
+    fresh = F.get(F.array(*[F.lit(x) for x in p.initial]), r - 1)
+    after = F.when(s <= 0, fresh).when(r == 1, lapsed).otherwise(grown)
+    longer = (p.retention ** (1 / p.decay) - 1) / (0.9 ** (1 / p.decay) - 1)
+    return rows.withColumn("after", after).select("item_id", "rating", F.col("after").alias("stability"), F.greatest(F.lit(1.0), F.rint(F.col("after") * longer)).cast("bigint").alias("interval"))
