@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and pipeline over the driver's tables."""
+"""The queries op1 to op13 over the driver's tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptoria.llm.common import bounded_sample, fold_of, table
+from scriptoria.llm.common import bounded_sample, fold_of, scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -98,6 +98,39 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold_of("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptoria.llm.pii import BASE_KINDS, base_only, find_pii
+    from scriptoria.llm.secrets import of_kind, spans_text
+
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("pii_spans")
+    counts = [F.size(of_kind(spans, kind)).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
+    scores = F.array_join(F.transform(spans, lambda s: F.round(s.score * 100).cast("int").cast("string")), ",")
+    return found.select("doc_id", *counts, F.sha2(spans_text(base_only(spans)), 256).alias("base_sha256"), spans_text(spans).alias("spans"), scores.alias("scores"))
+
+
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptoria.llm.ranked import index_documents, search
+
+    with scratch(spark):
+        index = index_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+        found = search(index, table(spark, sf_dir, "benchmark").select("item_id", "text"), k=20)
+    return found.select("item_id", "rank", F.col("key").alias("doc_id"), "score")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptoria.llm.merkle import fold, merkle_proofs, proof_digest, row_digest
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    fields = [F.col(c) for c in docs.columns]
+    tampered = [*fields[:-1], F.replace("text", F.lit("\n"), F.lit(""))]
+    docs = docs.select("doc_id", "source", row_digest(fields).alias("own"), F.when(fold_of("doc_id", 2) == 0, row_digest(tampered)).alias("other"))
+    docs = docs.withColumn("other", F.coalesce("other", "own"))
+    proofs = merkle_proofs(docs, "own", "source", "doc_id", keep=["doc_id", "other"])
+    out = proofs.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), fold(F.col("other"), F.col("path")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
