@@ -11,13 +11,14 @@ import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptoria.llm.common import cut, delete_at_exit, shared_dir
@@ -25,13 +26,15 @@ from scriptoria.llm.common import cut, delete_at_exit, shared_dir
 #: A block ends after so many documents, or so many different terms of its documents.
 BLOCK_DOCS, BLOCK_POSTINGS = 32, 200_000
 #: Bytes of blocks that a task scores together, and that it hands back at once.
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 4_000_000
 #: Queries, and cells of terms x queries, that a pass over the index takes together: both bound what is sent to the tasks.
 GROUP_QUERIES, GROUP_CELLS = 256, 4_000_000
 #: Blocks by which a first threshold of each query is found.
 PILOT_BLOCKS = 4
 #: Bytes of a text whose words are listed at once.
 PIECE_BYTES = 1_000_000
+#: Blocks that Spark hands to a task's Python at once: rows of the index are long.
+ARROW_ROWS = 64
 #: Sums below this are exact as doubles.
 EXACT = 2**53
 
@@ -68,8 +71,8 @@ class Index:
 
 
 _BLOCKS = (
-    "block long, keys array<bigint>, starts array<int>, places array<int>, counts array<int>, parts array<bigint>, "
-    "terms array<binary>, found_in array<int>, maxima array<bigint>"
+    "block long, keys array<bigint>, starts array<int>, places array<int>, counts array<int>, parts array<int>, "
+    "terms array<binary>, found_in array<int>, maxima array<int>"
 )
 
 
@@ -134,7 +137,7 @@ def index_documents(docs: DataFrame, key_col: str = "doc_id", text_col: str = "t
 
 def _schema() -> pa.Schema:
     ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
-    kinds = {"block": pa.int64(), "keys": longs, "starts": ints, "places": ints, "counts": ints, "parts": longs, "terms": pa.list_(pa.binary()), "found_in": ints, "maxima": longs}
+    kinds = {"block": pa.int64(), "keys": longs, "starts": ints, "places": ints, "counts": ints, "parts": ints, "terms": pa.list_(pa.binary()), "found_in": ints, "maxima": ints}
     return pa.schema(list(kinds.items()))
 
 
@@ -326,14 +329,33 @@ def search(index: Index, items: DataFrame, k: int = 20, item_col: str = "item_id
     schema, folder = f"{item_col} {kind.simpleString()}, rank int, key long, score long", shared_dir(index.blocks.sparkSession)
     spark.createDataFrame([], schema).write.parquet(f"{folder}/none")
     for number, group in enumerate(groups_of(items, item_col, text_col)):
-        weighted = group.weighted(weights_of(_frequencies(index, group), index.n_docs))
-        thresholds = np.zeros(len(group.items), np.int64)
-        if pilot := _pilot_blocks(index, group, weighted):
-            first = index.blocks.where(F.col("block").isin(*pilot))
-            for row in _ranked(_scored(first, group, weighted, k, thresholds), k).where(F.col("rank") == k).collect():
-                thresholds[row["query"]] = row["score"]
-        names = spark.createDataFrame(list(enumerate(group.items)), f"query long, {item_col} {kind.simpleString()}")
-        found = _ranked(_scored(index.blocks, group, weighted, k, thresholds), k).join(F.broadcast(names), "query")  # a group is bounded
-        found.select(item_col, F.col("rank").cast("int").alias("rank"), "key", "score").write.parquet(f"{folder}/group{number}")
+        with short_batches(spark):
+            _search_group(index, group, k, item_col, kind.simpleString(), f"{folder}/group{number}")
     delete_at_exit(spark, folder)
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
+
+
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside gets ARROW_ROWS rows at once from Spark; the session's own setting is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(ARROW_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _search_group(index: Index, group: Asked, k: int, item_col: str, kind: str, path: str) -> None:
+    """Writes a group's ranks."""
+    spark = index.blocks.sparkSession
+    weighted = group.weighted(weights_of(_frequencies(index, group), index.n_docs))
+    thresholds = np.zeros(len(group.items), np.int64)
+    if pilot := _pilot_blocks(index, group, weighted):
+        first = index.blocks.where(F.col("block").isin(*pilot))
+        for row in _ranked(_scored(first, group, weighted, k, thresholds), k).where(F.col("rank") == k).collect():
+            thresholds[row["query"]] = row["score"]
+    names = spark.createDataFrame(list(enumerate(group.items)), f"query long, {item_col} {kind}")
+    found = _ranked(_scored(index.blocks, group, weighted, k, thresholds), k).join(F.broadcast(names), "query")  # a group is bounded
+    found.select(item_col, F.col("rank").cast("int").alias("rank"), "key", "score").write.parquet(path)
