@@ -44,6 +44,7 @@ def _letters() -> tuple[str, str]:
 
 
 MARKED, PLAIN = _letters()
+FOLDED_CONTENT_STOP_WORDS = sorted({w.translate(str.maketrans(MARKED, PLAIN)) for w in CONTENT_STOP_WORDS})
 
 
 def fold(text: Column) -> Column:
@@ -143,7 +144,7 @@ def sentences(text: Column) -> Column:
 
 def wanted_stems(claim: Column) -> Column:
     """Distinct stems of a claim's content words."""
-    stops = F.array(*[F.lit(w) for w in sorted({w.translate(str.maketrans(MARKED, PLAIN)) for w in CONTENT_STOP_WORDS})])
+    stops = F.array(*[F.lit(w) for w in FOLDED_CONTENT_STOP_WORDS])
     words = F.filter(F.regexp_extract_all(fold(claim), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: (F.length(w) >= 3) & ~F.array_contains(stops, w))
     return F.array_distinct(F.transform(words, lambda t: F.when(t.rlike("^[0-9]"), t).otherwise(F.substring(t, 1, 5))))
 

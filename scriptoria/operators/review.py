@@ -6,10 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptoria.functions import text as T
-from scriptoria.operators.search import located
-
-#: Characters next to a fragment in which a quote may still be found.
-EDGE = 1200
 
 
 def review_queue(materials: DataFrame, citations: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -80,21 +76,6 @@ def checked_materials(materials: DataFrame) -> DataFrame:
     return materials.withColumn("problem", problem).withColumn("warnings", warnings).withColumn("check", F.when(problem.isNull(), "valid").otherwise("invalid"))
 
 
-def validated_fields(fields: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Extracted fields (field_id, chunk_id, text, quote) with the place of their quote in the chunk, or in the edge of the
-    one before or after it; rejected with a reason if the quote is nowhere or states facts that the chunks do not have."""
-    w = Window.partitionBy("document").orderBy("ord")
-    near = chunks.select("chunk_id", F.col("text").alias("here"), F.substring(F.lag("text").over(w), -EDGE, EDGE).alias("before"), F.substring(F.lead("text").over(w), 1, EDGE).alias("after"))
-    rows = fields.join(near, "chunk_id")
-    for side in ("here", "before", "after"):
-        rows = rows.withColumn(f"in_{side}", located(F.col("quote"), F.col(side)))
-    where = F.when(F.col("in_here.start").isNotNull(), "here").when(F.col("in_before.start").isNotNull(), "before").when(F.col("in_after.start").isNotNull(), "after")
-    passage = F.coalesce("in_here.text", "in_before.text", "in_after.text")
-    invented = F.filter(T.unsupported_facts(F.col("text"), F.concat_ws(" ", "before", "here", "after")), lambda x: x != "")
-    reason = F.when(where.isNull(), "quote not found").when(F.size(invented) > 0, F.concat(F.lit("not in the source: "), F.array_join(invented, ", ")))
-    return rows.select("field_id", "chunk_id", where.alias("place"), passage.alias("passage"), reason.alias("reason"), reason.isNull().alias("accepted"))
-
-
 def retention(status: Column, target: Column, overall: float, maintenance: float = 0.8) -> Column:
     return F.when(status == "maintenance", F.least(F.coalesce(target, F.lit(maintenance)), F.lit(maintenance))).otherwise(F.coalesce(target, F.lit(overall)))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scriptoria.functions import text as T
 from scriptoria.operators import etl as E
+from scriptoria.operators import quotes as Q
 from scriptoria.operators import search as S
 from scriptoria.plans import bindings as B
 from scriptoria.plans.registry import query
@@ -187,7 +188,7 @@ def closest_passage_all(spark, sf_dir):
 @query()
 def locate_quote(spark, sf_dir):
     """Benchmark passages located in all documents, word for word or nearly; needs alignment, so no SQL."""
-    return S.located_quotes(B.read(spark, sf_dir, "benchmark"), docs(spark, sf_dir), "item_id", "doc_id", "text")
+    return Q.located_quotes(B.read(spark, sf_dir, "benchmark"), docs(spark, sf_dir), "item_id", "doc_id", "text")
 
 
 @query("""WITH w AS (SELECT n_nationkey, n_name AS expected, CASE n_nationkey % 5 WHEN 0 THEN lower(n_name) WHEN 1 THEN substring(n_name, 1, length(n_name) - 1) WHEN 2 THEN n_name || 'XY' WHEN 3 THEN reverse(n_name) ELSE 'é' || n_name END AS answer FROM nation),

@@ -15,15 +15,6 @@ def test_page_lines(spark):
     assert len(got) == 9
 
 
-def test_validated_fields(spark):
-    chunks = spark.createDataFrame([("c1", "d", 0, "Termin wynosi 20 lat dla posiadacza w dobrej wierze."), ("c2", "d", 1, "W złej wierze termin wynosi 30 lat i biegnie od objęcia rzeczy."), ("c3", "e", 0, "Inny dokument.")], "chunk_id string, document string, ord int, text string")
-    fields = spark.createDataFrame([(1, "c1", "Termin to 20 lat", "termin wynosi 20 lat"), (2, "c1", "Termin to 30 lat", "W zlej wierze termin wynosi 30 lat"), (3, "c2", "Termin to 25 lat", "termin wynosi 30 lat"), (4, "c3", "x", "termin wynosi 20 lat dla posiadacza")], "field_id int, chunk_id string, text string, quote string")
-    rows = {r.field_id: r for r in V.validated_fields(fields, chunks).collect()}
-    assert (rows[1].place, rows[1].passage, rows[1].accepted) == ("here", "Termin wynosi 20 lat", True)
-    assert (rows[2].place, rows[2].accepted) == ("after", True)
-    assert rows[3].reason == "not in the source: 25" and rows[4].reason == "quote not found"
-
-
 def test_small_rules(spark):
     df = spark.createDataFrame([("maintenance", 0.9), ("maintenance", None), ("active", None), ("active", 0.95)], "s string, t double")
     assert [r[0] for r in df.select(V.retention(F.col("s"), F.col("t"), 0.9)).collect()] == [0.8, 0.8, 0.9, 0.95]
