@@ -5,43 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptoria.llm.common import cut, fresh, shard_of
+from scriptoria.llm.common import cut, fresh
 
 #: A source joins the schedule by a broadcast table of at most this many sources.
 MAX_SOURCES = 1000
 
-#: Blocks at most: beyond, blocks hold more rows, so that the schedule stays of bounded length however large the input is.
-MOST_BLOCKS = 1_000_000
-#: Rows of a schedule that go to every task; a larger one is joined by a shuffle.
+#: Rows of a block, and parts of the whole to which weights are taken.
+BLOCK_ROWS, PARTS = 64, 10**10
+#: Rows that a task numbers at once, about; sources are cut into as many buckets as that asks for, BUCKETS at least.
+BUCKET_ROWS, BUCKETS = 100_000, 256
+#: Rows of a table that go to every task; a larger one is joined by a shuffle. Either way the rows that come out are the same.
 BROADCAST_ROWS = 200_000
 
-#: One period of the schedule. In each slot, of the subtasks that are released, the one with the earliest deadline runs.
-#: Subtask k (from 0) of a source with u of the period's slots has the window [floor(k*period/u), ceil((k+1)*period/u)). Each
-#: source's next window is kept and changes only when the source runs; deadline and place are compared as one number.
-EARLIEST_DEADLINE = """
-aggregate(
-  sequence(0, cast(period as int) - 1),
-  named_struct(
-    'next', transform(active, x -> named_struct('k', 0L, 'release', 0L, 'deadline', (period + x.units - 1) div x.units)),
-    'picks', cast(array() as array<int>)),
-  (s, slot) -> element_at(transform(
-    array(cast(array_min(transform(s.next, (w, i) -> if(w.release <= slot, w.deadline * size(active) + i, null))) % size(active) as int)),
-    pick -> named_struct(
-      'next', transform(s.next, (w, i) -> if(i = pick, named_struct(
-        'k', w.k + 1, 'release', ((w.k + 1) * period) div active[i].units, 'deadline', ((w.k + 2) * period + active[i].units - 1) div active[i].units), w)),
-      'picks', concat(s.picks, array(pick)))), 1),
-  s -> s.picks)
-"""
-
-#: Parts of the whole to which weights are taken where a period of COARSE slots would be wrong by a block or more in the end.
-COARSE, FINE = 1000, 10**10
 #: Slots that are collected before they are handed on, so that long schedules are not copied for each slot.
 CHUNK = 1024
 
-#: The same rule over all blocks, slot by slot and without periods. When a source is used up, the windows of the others begin
-#: anew at the next slot with the shares that they have without it. A pick is ((sources used up before) *
-#: sources + source) * blocks + the source's block.
-EXACT_SCHEDULE = f"""
+#: All blocks, slot by slot: of the blocks that are released, the one with the earliest deadline runs, the first source of
+#: equals. Block k (from 0) of a source with u of PARTS has the window [floor(k*PARTS/u), ceil((k+1)*PARTS/u)); each source's
+#: next window is kept and changes only when the source runs. When a source is used up, the windows of the others begin anew at
+#: the next slot with the shares that they have without it. A pick is ((sources used up before) * sources + source) * blocks +
+#: the source's block.
+SCHEDULE = f"""
 aggregate(
   sequence(0L, (n_blocks - 1) div {CHUNK}),
   named_struct(
@@ -69,36 +53,34 @@ aggregate(
 """
 
 
-def exact_slots(sources: DataFrame) -> DataFrame:
+def all_slots(sources: DataFrame) -> DataFrame:
     """A row for each block: source, units, block, slot, start, period, release, deadline.
 
-    Each slot depends on the one before, so one task goes over the blocks, MOST_BLOCKS at most; it reads the sources' rows
+    Each slot depends on the one before, so one task goes over the blocks, a few longs for each; it reads the sources' rows
     only and says which source runs. What follows from that (a block's number, and where its windows begin) is added to the
     rows in parallel.
     """
     one = sources.agg(F.sort_array(F.collect_list(F.struct("source", "units", "blocks"))).alias("all"), F.sum("units").alias("whole"), F.sum("blocks").alias("n_blocks"))
-    chunks = one.where("n_blocks > 0").select("n_blocks", F.size("all").alias("m"), F.posexplode(F.expr(EXACT_SCHEDULE)).alias("chunk", "picks"))
+    chunks = one.where("n_blocks > 0").select("n_blocks", F.size("all").alias("m"), F.posexplode(F.expr(SCHEDULE)).alias("chunk", "picks"))
     code = F.expr("pick div n_blocks")
     picks = cut(chunks.select("chunk", "m", "n_blocks", F.posexplode("picks").alias("at", "pick")).select(
         (F.col("chunk").cast("long") * CHUNK + F.col("at")).alias("slot"), (F.col("pick") % F.col("n_blocks")).alias("block"),
         (code % F.col("m")).cast("int").alias("i"), F.floor(code / F.col("m")).cast("int").alias("gone")), "picks")
     listed = one.select(F.posexplode("all").alias("i", "x")).select("i", "x.source", "x.units")
     base = picks.groupBy("i", "gone").agg(F.min("block").alias("base"))
-    # a phase for each source that is used up: those left in it share its slots. MAX_SOURCES rows at most, and in base one for
-    # each source that runs in a phase, which is less than one for each block
+    # a phase for each source that is used up: those left in it share its slots. MAX_SOURCES rows at most
     ends = picks.groupBy("i").agg(F.max("gone").alias("last")).join(F.broadcast(listed), "i")
     left = F.sum("units").over(Window.orderBy(F.desc("last")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
     phases = picks.groupBy("gone").agg(F.min("slot").alias("start")).join(F.broadcast(ends.select(F.col("last").alias("gone"), left.alias("period"))), "gone")
-    out = picks.join(F.broadcast(listed), "i").join(F.broadcast(phases), "gone").join(F.broadcast(base), ["i", "gone"])
+    out = picks.join(F.broadcast(listed), "i").join(F.broadcast(phases), "gone").join(base, ["i", "gone"])
     return out.select(
         "source", "units", "block", "slot", "start", "period",
         F.expr("((block - base) * period) div units").alias("release"), F.expr("((block - base + 1) * period + units - 1) div units").alias("deadline"),
     )
 
 
-def source_table(counts: DataFrame, weights: dict[str, float] | None, temperature: float, block_rows: int, resolution: int) -> DataFrame:
-    """One row per source: rows, blocks, units of a period, life, the number of periods in which it takes part, and share,
-    the target (null if no source has a weight).
+def source_table(counts: DataFrame, weights: dict[str, float] | None, temperature: float, block_rows: int) -> DataFrame:
+    """One row per source: n_rows, blocks and units, its weight in PARTS of the whole, 1 at least.
 
     counts has (source, bucket, n). Without weights, a source's weight is its row count to the power temperature.
     """
@@ -110,51 +92,8 @@ def source_table(counts: DataFrame, weights: dict[str, float] | None, temperatur
         weight = F.greatest(F.coalesce(F.try_element_at(listed, F.coalesce(F.col("source").cast("string"), F.lit(""))), F.lit(0.0)), F.lit(0.0))
     sources = sources.withColumn("weight", weight)
     total = sources.agg(F.sum("weight").alias("total"))
-    return (
-        sources.crossJoin(F.broadcast(total))  # one row of totals
-        .withColumn("blocks", F.ceil(F.col("n_rows") / block_rows))
-        .withColumn("units", F.greatest(F.lit(1), F.round(F.try_divide(F.col("weight") * resolution, "total"))).cast("long"))
-        .withColumn("units", F.coalesce("units", F.lit(1)).cast("long"))
-        .withColumn("life", F.ceil(F.col("blocks") / F.col("units")))
-        .withColumn("share", F.try_divide("weight", "total"))
-        .select("source", "n_rows", "blocks", "units", "life", "share")
-    )
-
-
-def period_patterns(sources: DataFrame, tasks: int) -> DataFrame:
-    """The slots of each phase's period.
-
-    A phase is a run of periods with the same sources alive; at its end a source is used up, and what is left shares the
-    slots in proportion to its units. In a phase's last period a source may have fewer blocks than units: slots without a
-    block are closed up (rank_last). Rows: phase, source, k, release, deadline, rank, rank_last, and of the phase: first
-    period, last period, period length, first slot.
-    """
-    one = sources.agg(F.sort_array(F.collect_list(F.struct("source", "units", "life", "blocks"))).alias("all"))
-    phases = (
-        one.withColumn("lives", F.expr("array_sort(array_distinct(transform(all, x -> x.life)))"))
-        .select("all", "lives", F.posexplode("lives").alias("phase", "ends"))
-        .withColumn("first_period", F.expr("if(phase = 0, 0L, lives[phase - 1])"))
-        .withColumn("last_period", F.col("ends") - 1)
-        .withColumn("active", F.expr("filter(all, x -> x.life >= ends)"))
-        .withColumn("period", F.expr("aggregate(active, 0L, (a, x) -> a + x.units)"))
-        .withColumn("first_slot", F.expr("aggregate(all, 0L, (a, x) -> a + least(x.blocks, x.units * first_period))"))
-        .select("phase", "first_period", "last_period", "active", "period", "first_slot")
-        .repartitionById(tasks, F.col("phase") % tasks)
-        .withColumn("picks", F.expr(EARLIEST_DEADLINE))
-    )
-    # a slot's row has its own source only
-    chosen = F.expr("transform(picks, i -> named_struct('i', i, 'source', active[i].source, 'units', active[i].units, 'blocks', active[i].blocks))")
-    slots = phases.select("phase", "first_period", "last_period", "period", "first_slot", chosen.alias("chosen"))
-    slots = slots.select("phase", "first_period", "last_period", "period", "first_slot", F.posexplode("chosen").alias("rank", "x")).select("*", "x.*").drop("x")
-    k = F.row_number().over(Window.partitionBy("phase", "i").orderBy("rank")) - 1
-    slots = slots.select("phase", "first_period", "last_period", "period", "first_slot", "source", "units", "blocks", k.cast("long").alias("k"), F.col("rank").cast("long").alias("rank"))
-    there = (F.col("last_period") * F.col("units") + F.col("k") < F.col("blocks")).cast("int")
-    before = F.sum(there).over(Window.partitionBy("phase").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
-    return slots.select(
-        "phase", "source", "k", "first_period", "last_period", "period", "first_slot", "rank",
-        F.coalesce(before, F.lit(0)).cast("long").alias("rank_last"),
-        F.expr("(k * period) div units").alias("release"), F.expr("((k + 1) * period + units - 1) div units").alias("deadline"),
-    )
+    units = F.greatest(F.lit(1), F.coalesce(F.round(F.try_divide(F.col("weight") * PARTS, "total")), F.lit(1))).cast("long")
+    return sources.crossJoin(F.broadcast(total)).select("source", "n_rows", F.ceil(F.col("n_rows") / block_rows).alias("blocks"), units.alias("units"))  # one row of totals
 
 
 def mix_sources(
@@ -163,95 +102,53 @@ def mix_sources(
     key_col: str = "doc_id",
     weights: dict[str, float] | None = None,
     temperature: float = 0.5,
-    block_rows: int | None = None,
-    resolution: int | None = None,
-    buckets: int = 256,
+    block_rows: int = BLOCK_ROWS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Give each row its place in a mixture of the sources.
 
-    Rows of a source are put in the order of the MD5 of their key and cut into blocks of block_rows. Each block is a
-    subtask with a release slot and a deadline slot from its source's share of a period; earliest-deadline-first over
-    these windows fills every slot of the period, so at each slot a source's number of blocks differs from its share by
-    less than one block. A period has about `resolution` slots, and every source at least one, so weights hold to one
-    part in `resolution`. Unless resolution is given, it is COARSE where that rounding adds up to less than one block over
-    all slots; for larger inputs or smaller weights there are no periods, the windows are those of the weights themselves
-    (to one part in FINE), and mix_start is the slot after which the last source was used up. When a source is used up, the
-    others share its slots in proportion. No row is dropped or repeated.
-
-    Added: mix_block (the source's block, from 0), mix_units and mix_period (share = units / period), mix_release and
-    mix_deadline (slots from the start of the row's period), mix_slot, mix_start (first slot of that period) and
-    mix_position (slot * block_rows + place in the block; unique if keys are). A column of such a name is replaced.
-
-    A null source is a source of its own; sources that weights leaves out, or gives zero or less, get the smallest share.
-    Rows with equal keys stand next to each other, in any order. An empty frame gives an empty one. Skew: rows are
-    numbered within (source, bucket), with prefix sums over the buckets, so a source with most rows is spread over
-    `buckets` tasks. The sources' table goes to every task: more than MAX_SOURCES sources are refused with ValueError. A
-    schedule of up to BROADCAST_ROWS rows goes to every task as well; a longer one is joined by source and block.
+    Rows of a source are put in the order of the MD5 of their key and cut into blocks of block_rows. Each block has a release
+    slot and a deadline slot from its source's weight, to one part in PARTS, and earliest-deadline-first over these windows
+    fills every slot: at each slot a source's number of blocks differs from its share by less than one block, however many
+    slots there are. When a source is used up, the others share its slots in proportion from the next slot on. No row is
+    dropped or repeated, and places depend on the rows and arguments alone.
+
+    Added: mix_block (the source's block, from 0), mix_units and mix_period (share = units / period), mix_slot, mix_start (the
+    slot after which the last source was used up), mix_release and mix_deadline (slots from mix_start) and mix_position
+    (slot * block_rows + place in the block; unique if keys are). A column of such a name is replaced.
+
+    A null source is a source of its own; sources that weights leaves out, or gives zero or less, get one part of PARTS, so
+    they come last. Rows with equal keys stand next to each other, in any order. An empty frame gives an empty one. Skew: rows
+    are numbered within (source, bucket), with prefix sums over the buckets, so a source with most rows is spread over as
+    many tasks as its rows ask for. The sources' table goes to every task: more than MAX_SOURCES sources are refused with
+    ValueError. One task makes the schedule: choose block_rows so that there are some ten million blocks at most.
     """
-    spark, made = df.sparkSession, ["mix_block", "mix_units", "mix_period", "mix_release", "mix_deadline", "mix_slot", "mix_start", "mix_position"]
+    made = ["mix_block", "mix_units", "mix_period", "mix_release", "mix_deadline", "mix_slot", "mix_start", "mix_position"]
     df = df.drop(*made)
+    buckets = buckets or max(BUCKETS, -(-df.count() // BUCKET_ROWS))
     src, bucket, order, place = fresh(df, "m_source", "m_bucket", "m_order", "m_place")
     rows = df.withColumn(src, F.col(source_col).cast("string")).withColumn(order, F.md5(F.coalesce(F.col(key_col).cast("string"), F.lit(""))))
-    rows = rows.withColumn(bucket, F.expr(f"cast(conv(substr({order}, 1, 4), 16, 10) as int) * {int(buckets)} div 65536"))
+    rows = rows.withColumn(bucket, F.expr(f"cast(conv(substr({order}, 1, 8), 16, 10) as bigint) * {int(buckets)} div 4294967296"))
     counts = cut(rows.groupBy(F.col(src).alias("source"), F.col(bucket).alias("bucket")).agg(F.count("*").alias("n")), "counts")
-    if block_rows is None:
-        n_rows, block_rows = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], 16
-        while n_rows > block_rows * MOST_BLOCKS:
-            block_rows *= 2
-    sources = cut(source_table(counts, weights, temperature, block_rows, resolution or COARSE).coalesce(1), "sources")
-    whole = sources.agg(F.sum("units").alias("period"), F.sum("blocks").alias("n_blocks"), F.count("*").alias("n"), F.array_sort(F.collect_set("life")).alias("lives"))
-    wrong = F.max(F.abs(F.col("units") / F.col("period") - F.col("share")) * F.col("n_blocks"))
-    seen = sources.crossJoin(whole).agg(F.max("n").alias("n"), wrong.alias("wrong"), F.first("lives").alias("lives")).first()
-    if (n := seen.n or 0) > MAX_SOURCES:
+    sources = cut(source_table(counts, weights, temperature, block_rows).coalesce(1), "sources")
+    if (n := sources.count()) > MAX_SOURCES:
         raise ValueError(f"{n} sources; at most {MAX_SOURCES} can be mixed, so merge small ones first")
-    exact = resolution is None and (seen.wrong or 0) >= 1
-    if exact:
-        sources = cut(source_table(counts, weights, temperature, block_rows, FINE).coalesce(1), "sources")
-        slots = cut(exact_slots(sources), "slots")
-    else:
-        slots = cut(period_patterns(sources, max(1, min(200, len(seen.lives or [])))), "patterns")
-    short = slots.count() <= BROADCAST_ROWS
-    to_all = F.broadcast if short else lambda frame: frame
+    slots = cut(all_slots(sources), "slots")
+
+    def to_all(frame: DataFrame, n_rows: int) -> DataFrame:
+        return F.broadcast(frame) if n_rows <= BROADCAST_ROWS else frame
 
     before = F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.withColumn("before", F.coalesce(before, F.lit(0))).join(F.broadcast(sources), counts["source"].eqNullSafe(sources["source"]))
-    offsets = offsets.select(counts["source"].alias("o_source"), F.col("bucket").alias("o_bucket"), "before", F.col("units").alias("o_units"))
-    names = fresh(rows, "o_source", "o_bucket", "before", "o_units")
-    offsets = offsets.toDF(*names)
-    o_source, o_bucket, o_before, o_units = names
+    o_source, o_bucket, o_before = fresh(rows, "o_source", "o_bucket", "before")
+    offsets = counts.select(F.col("source").alias(o_source), F.col("bucket").alias(o_bucket), F.coalesce(before, F.lit(0)).alias(o_before))
 
-    # at most MAX_SOURCES * buckets short rows
     numbered = rows.withColumn(place, F.row_number().over(Window.partitionBy(src, bucket).orderBy(order, key_col)) - 1)
-    numbered = numbered.join(F.broadcast(offsets), numbered[src].eqNullSafe(offsets[o_source]) & (numbered[bucket] == offsets[o_bucket]))
-    number, period_no, phase, k = fresh(numbered, "number", "period_no", "phase_no", "k_no")
-    if exact:
-        numbered = numbered.withColumn(number, F.col(o_before) + F.col(place)).withColumn("mix_block", F.expr(f"{number} div {block_rows}"))
-        x = slots.toDF(*(xn := fresh(numbered, *slots.columns)))
-        of = dict(zip(slots.columns, xn, strict=True))
-        placed = numbered.join(to_all(x), numbered[src].eqNullSafe(x[of["source"]]) & (numbered["mix_block"] == x[of["block"]]))
-        for name in ("units", "period", "release", "deadline", "slot", "start"):
-            placed = placed.withColumn(f"mix_{name}", F.col(of[name]))
-        return placed.withColumn("mix_position", F.col("mix_slot") * block_rows + F.col(number) % block_rows).select(*df.columns, *made)
-    numbered = (
-        numbered.withColumn(number, F.col(o_before) + F.col(place))
-        .withColumn("mix_block", F.expr(f"{number} div {block_rows}"))
-        .withColumn("mix_units", F.col(o_units))
-        .withColumn(period_no, F.expr(f"mix_block div {o_units}"))
-        .withColumn(k, F.expr(f"mix_block % {o_units}"))
-        .withColumn(phase, shard_of(F.col(period_no), seen.lives or []))  # lives that are over
-    )
-    p = slots.toDF(*[f"p_{c}" for c in slots.columns])
-    p = p.toDF(*(pn := fresh(numbered, *p.columns)))
-    of = dict(zip(slots.columns, pn, strict=True))
-    placed = numbered.join(to_all(p), numbered[src].eqNullSafe(p[of["source"]]) & (numbered[phase] == p[of["phase"]]) & (numbered[k] == p[of["k"]]))
-    start = F.col(of["first_slot"]) + (F.col(period_no) - F.col(of["first_period"])) * F.col(of["period"])
-    rank = F.when(F.col(period_no) == F.col(of["last_period"]), F.col(of["rank_last"])).otherwise(F.col(of["rank"]))
-    return (
-        placed.withColumn("mix_period", F.col(of["period"]))
-        .withColumn("mix_release", F.col(of["release"]))
-        .withColumn("mix_deadline", F.col(of["deadline"]))
-        .withColumn("mix_start", start)
-        .withColumn("mix_slot", start + rank)
-        .withColumn("mix_position", F.col("mix_slot") * block_rows + F.col(number) % block_rows)
-        .select(*df.columns, *made)
-    )
+    numbered = numbered.join(to_all(offsets, counts.count()), numbered[src].eqNullSafe(offsets[o_source]) & (numbered[bucket] == offsets[o_bucket]))
+    (number,) = fresh(numbered, "number")
+    numbered = numbered.withColumn(number, F.col(o_before) + F.col(place)).withColumn("mix_block", F.expr(f"{number} div {int(block_rows)}"))
+    x = slots.toDF(*(xn := fresh(numbered, *slots.columns)))
+    of = dict(zip(slots.columns, xn, strict=True))
+    placed = numbered.join(to_all(x, slots.count()), numbered[src].eqNullSafe(x[of["source"]]) & (numbered["mix_block"] == x[of["block"]]))
+    for name in ("units", "period", "release", "deadline", "slot", "start"):
+        placed = placed.withColumn(f"mix_{name}", F.col(of[name]))
+    return placed.withColumn("mix_position", F.col("mix_slot") * block_rows + F.col(number) % block_rows).select(*df.columns, *made)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from scriptoria.llm import pii
+from scriptoria.llm.mixing import BLOCK_ROWS, PARTS
 from scriptoria.llm.secrets import ALLOWED, BASE_KINDS, CANDIDATE, STRETCH, THRESHOLDS, WINDOW
 
 
@@ -49,26 +50,20 @@ WARC_SQL = """WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html
 f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) END AS first FROM d)
 SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to, url, true AS intact FROM f"""
 
-MIX_SQL = """WITH RECURSIVE s AS (SELECT source, count(*) AS n, CAST(ceil(count(*) / 16) AS BIGINT) AS blocks FROM documents GROUP BY source),
-u AS (SELECT source, blocks, CAST(greatest(1, round(pow(n, 0.5) * 1000 / sum(pow(n, 0.5)) OVER ())) AS BIGINT) AS units FROM s),
-l AS (SELECT *, CAST(ceil(blocks / units) AS BIGINT) AS life FROM u),
-ends AS (SELECT life AS stop, row_number() OVER (ORDER BY life) - 1 AS phase, coalesce(lag(life) OVER (ORDER BY life), 0) AS start FROM (SELECT DISTINCT life FROM l)),
-phases AS (SELECT phase, start AS first_period, stop - 1 AS last_period, (SELECT sum(least(blocks, units * start)) FROM l) AS first_slot, (SELECT sum(units) FROM l WHERE life >= stop) AS period,
-  (SELECT list({'source': source, 'units': units, 'blocks': blocks} ORDER BY source NULLS FIRST) FROM l WHERE life >= stop) AS active FROM ends),
-run(phase, slot, done, pick) AS (SELECT phase, CAST(-1 AS BIGINT), list_transform(active, lambda x: CAST(0 AS BIGINT)), CAST(NULL AS BIGINT) FROM phases
-  UNION ALL SELECT phase, slot + 1, list_transform(range(1, len(done) + 1), lambda i: done[i] + CASE WHEN i = chosen THEN 1 ELSE 0 END), chosen FROM (
-    SELECT r.phase, r.slot, r.done, list_min(list_filter(list_transform(range(1, len(r.done) + 1), lambda i: {'deadline': ((r.done[i] + 1) * p.period + p.active[i].units - 1) // p.active[i].units, 'i': i, 'release': r.done[i] * p.period // p.active[i].units}),
-      lambda w: w.release <= r.slot + 1)).i AS chosen FROM run r JOIN phases p USING (phase) WHERE r.slot + 1 < p.period)),
-slots AS (SELECT phase, slot, p.active[pick].source AS source, p.active[pick].units AS units, p.active[pick].blocks AS blocks, p.period, p.first_period, p.last_period, p.first_slot,
-  row_number() OVER (PARTITION BY phase, pick ORDER BY slot) - 1 AS k FROM run JOIN phases p USING (phase) WHERE slot >= 0),
-pattern AS (SELECT *, count(*) FILTER (last_period * units + k < blocks) OVER (PARTITION BY phase ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS closed FROM slots),
-d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS number FROM documents),
-b AS (SELECT d.doc_id, d.source, number, number // 16 AS block, number // 16 // units AS period_no, number // 16 % units AS k FROM d JOIN l ON l.source IS NOT DISTINCT FROM d.source),
-f AS (SELECT b.doc_id, b.source, b.number, b.block, p.units, p.period, b.k * p.period // p.units AS release, ((b.k + 1) * p.period + p.units - 1) // p.units AS deadline,
-  p.first_slot + (b.period_no - p.first_period) * p.period AS start, CASE WHEN b.period_no = p.last_period THEN p.closed ELSE p.slot END AS place
-  FROM b JOIN pattern p ON p.source IS NOT DISTINCT FROM b.source AND p.k = b.k AND b.period_no BETWEEN p.first_period AND p.last_period)
-SELECT doc_id, source, block AS mix_block, units AS mix_units, CAST(period AS BIGINT) AS mix_period, CAST(release AS BIGINT) AS mix_release, CAST(deadline AS BIGINT) AS mix_deadline, CAST(start + place AS BIGINT) AS mix_slot,
-  CAST(start AS BIGINT) AS mix_start, CAST((start + place) * 16 + number % 16 AS BIGINT) AS mix_position FROM f"""
+MIX_SQL = f"""WITH RECURSIVE s AS (SELECT source, count(*) AS n, CAST(ceil(count(*) / {BLOCK_ROWS}) AS BIGINT) AS blocks FROM documents GROUP BY source),
+u AS (SELECT source, blocks, CAST(greatest(1, round(pow(n, 0.5) * {PARTS} / sum(pow(n, 0.5)) OVER ())) AS BIGINT) AS units FROM s),
+l AS (SELECT list({{'source': source, 'units': units, 'blocks': blocks}} ORDER BY source NULLS FIRST) AS srcs, CAST(sum(units) AS BIGINT) AS whole, CAST(sum(blocks) AS BIGINT) AS n_blocks FROM u),
+run(slot, done, base, since, period, pick, ran) AS (SELECT CAST(-1 AS BIGINT), list_transform(srcs, lambda x: CAST(0 AS BIGINT)), list_transform(srcs, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT), whole, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM l
+  UNION ALL SELECT slot, list_transform(done, lambda d, i: CASE WHEN i = p THEN d + 1 ELSE d END), CASE WHEN gone THEN list_transform(done, lambda d, i: CASE WHEN i = p THEN d + 1 ELSE d END) ELSE base END,
+    CASE WHEN gone THEN slot + 1 ELSE since END, CASE WHEN gone THEN period - srcs[p].units ELSE period END, p, done[p] FROM (
+    SELECT *, done[p] + 1 = srcs[p].blocks AS gone FROM (SELECT r.slot + 1 AS slot, done, base, since, period, srcs,
+      list_min(list_filter(list_transform(range(1, len(srcs) + 1), lambda i: {{'deadline': since + ((done[i] + 1 - base[i]) * period + srcs[i].units - 1) // srcs[i].units, 'i': i, 'release': since + ((done[i] - base[i]) * period) // srcs[i].units, 'left': srcs[i].blocks - done[i]}}),
+        lambda w: w.left > 0 AND w.release <= r.slot + 1)).i AS p FROM run r, l WHERE r.slot + 1 < n_blocks))),
+seen AS (SELECT slot, srcs[pick].source AS source, srcs[pick].units AS units, ran AS block, pick, coalesce(lag(since) OVER (ORDER BY slot), 0) AS start, coalesce(lag(period) OVER (ORDER BY slot), 0) AS period, lag(base) OVER (ORDER BY slot) AS base FROM run, l),
+slots AS (SELECT *, (block - base[pick]) * period // units AS release, ((block - base[pick] + 1) * period + units - 1) // units AS deadline FROM seen WHERE slot >= 0),
+d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS number FROM documents)
+SELECT d.doc_id, d.source, block AS mix_block, units AS mix_units, CAST(period AS BIGINT) AS mix_period, CAST(release AS BIGINT) AS mix_release, CAST(deadline AS BIGINT) AS mix_deadline, CAST(slot AS BIGINT) AS mix_slot,
+  CAST(start AS BIGINT) AS mix_start, CAST(slot * {BLOCK_ROWS} + number % {BLOCK_ROWS} AS BIGINT) AS mix_position FROM d JOIN slots p ON p.source IS NOT DISTINCT FROM d.source AND p.block = d.number // {BLOCK_ROWS}"""
 
 
 def _context_score(kind: pii.Kind) -> str:
