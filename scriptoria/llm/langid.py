@@ -20,6 +20,8 @@ from scriptoria.llm.common import cut, with_texts_mapped
 TRAIN_ROWS = 20_000
 #: Languages that a model knows at most, those with most documents.
 MOST_LANGS = 256
+#: Rows that a language has in the sample at least, about, if it has so many.
+LEAST_PART = 30
 #: Words, and n-grams of each length, that the model keeps for each language: its size does not grow with the data.
 KEPT_WORDS, KEPT_GRAMS = 20_000, 8_000
 #: Lengths of n-grams in the order of the backoff.
@@ -52,12 +54,20 @@ def grams(word: str, n: int):
 
 @dataclass
 class Model:
-    """Rows of log probabilities by language; words maps a word, and grams[n] an n-gram, to its row."""
+    """Log probabilities by item and language; words maps a word, and grams[n] an n-gram, to its row.
+
+    A row has the languages that know the item: places[starts[row]:starts[row + 1]], and what each gains over floors[kinds[row]],
+    which all languages have for items of that kind that they do not know.
+    """
 
     langs: list[str]
     words: dict[str, int]
     grams: dict[int, dict[str, int]]
-    table: np.ndarray
+    starts: np.ndarray
+    places: np.ndarray
+    gains: np.ndarray
+    kinds: np.ndarray
+    floors: np.ndarray
     default: np.ndarray
 
     def rows_of(self, word: str) -> list[int]:
@@ -68,6 +78,15 @@ class Model:
                 return found
         return []
 
+    def total(self, rows: list[int], weights: list[float]) -> np.ndarray:
+        """By language, the sum of rows times their weights."""
+        rows, weights = np.asarray(rows), np.asarray(weights, float)
+        sizes = self.starts[rows + 1] - self.starts[rows]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1]) + np.repeat(self.starts[rows] - (ends - sizes), sizes)
+        known = np.bincount(self.places[at], self.gains[at] * np.repeat(weights, sizes), len(self.langs))
+        return known + np.bincount(self.kinds[rows], weights, len(self.floors)) @ self.floors
+
 
 COUNTS = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("item", pa.string()), ("n", pa.int64())])
 COUNTS_DDL = "lang string, kind string, item string, n long"
@@ -126,29 +145,32 @@ def summed_grams(words: DataFrame) -> DataFrame:
     return short.unionByName(long).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
 
 
-def even_sample(df: DataFrame, lang_col: str, key_col: str, most: int) -> DataFrame:
-    """About `most` rows at most, as far as there are so many an equal part of each of the MOST_LANGS languages with most
-    rows, chosen by a hash of the key."""
-    found = df.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
+def even_sample(df: DataFrame, lang_col: str, key_col: str, most: int, most_langs: int = MOST_LANGS) -> DataFrame:
+    """About `most` rows at most, as far as there are so many an equal part of each of the most_langs languages with most
+    rows, and LEAST_PART of each at least, chosen by a hash of the key. Hashes have 62 bits, so a language keeps its part however
+    many rows it has."""
+    found = df.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
     if not found:
         return df.limit(0)
-    grain, share = 1_000_000, most / len(found)
-    rates = F.create_map(*[F.lit(x) for r in found for x in (r.lang, min(grain, int(grain * share / r.n)))])
-    return df.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key_col)), F.lit(grain)) < F.try_element_at(rates, F.col(lang_col)))
+    grain, share = 1 << 62, max(LEAST_PART, -(-most // len(found)))
+    rates = F.create_map(*[F.lit(x) for r in found for x in (r.lang, min(grain, -(-grain * share // r.n)))])
+    return df.where(F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col(key_col)), 2) < F.try_element_at(rates, F.col(lang_col)))
 
 
-def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", most: int = TRAIN_ROWS) -> Model:
+def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", most: int = TRAIN_ROWS, most_langs: int = MOST_LANGS) -> Model:
     """Fit a model on rows with a text and a language, `most` of them at most, evenly by language.
 
     Words are counted by language in tasks and then over all, and the n-grams of the counted words likewise. For each
     language and kind a table of how many items occur how often gives their sum and the least count with which no more than
     KEPT_WORDS words or KEPT_GRAMS n-grams are kept: items of one count stay or go together, and those that occur once go.
-    The driver holds that table and the model: MOST_LANGS * (KEPT_WORDS + 4 * KEPT_GRAMS) entries at most. Repeated rows
-    count as often as they stand there; rows without a text or a language do not count; nothing to learn from makes a model
-    that answers `und`.
+    The driver holds that table and the model, which keeps the items that a language has, not a row of all languages for each:
+    most_langs * (KEPT_WORDS + 4 * KEPT_GRAMS) entries of 12 bytes at most, and the items' texts. Languages beyond the
+    most_langs with most rows are not learned: raise it where there are more. Repeated rows count as often as they stand there;
+    rows without a text or a language do not count; texts of any length are counted whole; an empty table, or nothing to
+    learn from, makes a model that answers `und`.
     """
     rows = df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(key_col).alias("key")).where("lang is not null and text is not null")
-    rows = even_sample(rows, "lang", "key", most).select("lang", "text")
+    rows = even_sample(rows, "lang", "key", most, most_langs).select("lang", "text")
     words = cut(rows.mapInArrow(count_words, COUNTS_DDL).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "words")
     totals = cut(words.unionByName(summed_grams(words)), "totals")
 
@@ -173,19 +195,21 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
 
     langs = sorted({lang for lang, _ in mass})
     place = {lang: i for i, lang in enumerate(langs)}
-    items = sorted({(r.kind, r.item) for r in kept})
-    at = {x: i for i, x in enumerate(items)}
-    counts = np.zeros((len(items), len(langs)))
-    for r in kept:
-        counts[at[r.kind, r.item], place[r.lang]] = r.n
-    table = np.empty_like(counts)
-    for kind in ("w", *map(str, LENGTHS)):
-        mine = np.array([i for (k, _), i in at.items() if k == kind], int)
-        total = np.array([mass.get((lang, kind), 0) for lang in langs], float)
-        table[mine] = np.log((counts[mine] + 0.5) / (total + 0.5 * max(1, len(mine))))
-    maps = {kind: {i: at[k, i] for k, i in items if k == kind} for kind in ("w", *map(str, LENGTHS))}
+    kept = sorted((r.kind, r.item, place[r.lang], r.n) for r in kept)
+    every = ("w", *map(str, LENGTHS))
+    maps, starts, kinds = {kind: {} for kind in every}, [], []
+    for i, (kind, item, _, _) in enumerate(kept):
+        if item not in maps[kind]:
+            maps[kind][item] = len(starts)
+            starts.append(i)
+            kinds.append(every.index(kind))
+    totals_of = np.array([[mass.get((lang, kind), 0) for lang in langs] for kind in every], float).reshape(len(every), len(langs))
+    floors = np.log(0.5 / (totals_of + 0.5 * np.array([[max(1, len(maps[kind]))] for kind in every])))
+    gains = np.log((np.array([n for *_, n in kept], float) + 0.5) / 0.5)
+    places = np.array([p for _, _, p, _ in kept], np.int32)
     docs = np.array([mass.get((lang, "w"), 0) for lang in langs], float)
-    return Model(langs, maps["w"], {n: maps[str(n)] for n in LENGTHS}, table, np.log((docs + 1) / (docs.sum() + len(langs))) if langs else docs)
+    default = np.log((docs + 1) / (docs.sum() + len(langs))) if langs else docs
+    return Model(langs, maps["w"], {n: maps[str(n)] for n in LENGTHS}, np.array([*starts, len(kept)], np.int64), places, gains, np.array(kinds, np.int64), floors, default)
 
 
 class Predictor:
@@ -217,7 +241,7 @@ class Predictor:
         if not rows:
             total = model.default
         else:
-            total = np.asarray(weights) @ model.table[rows]
+            total = model.total(rows, weights)
             total = total * (min(words, FULL_WORDS) / words)
         best = int(total.argmax())
         return model.langs[best], float(1 / np.exp(total - total[best]).sum()) if math.isfinite(total[best]) else 0.0

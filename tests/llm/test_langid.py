@@ -155,3 +155,15 @@ def test_grams_by_expressions_and_by_loops(spark, monkeypatch):
     assert {(r.lang, r.kind, r.item): r.n for r in langid.summed_grams(words).collect()} == want
     monkeypatch.setattr(langid, "LONG", 0)
     assert {(r.lang, r.kind, r.item): r.n for r in langid.summed_grams(words).collect()} == want
+
+
+def test_no_language_falls_out_of_the_sample_for_its_size(spark):
+    """A rate far below one in a million still gives a language its part."""
+    from scriptoria.llm.langid import even_sample
+
+    df = spark.range(40_000_010).selectExpr("id AS doc_id", "IF(id < 40000000, 'en', 'xx') AS lang")
+    picked = {r.lang: r["count"] for r in even_sample(df, "lang", "doc_id", 4).groupBy("lang").count().collect()}
+    assert picked["xx"] == 10 and 10 < picked["en"] < 60
+    many = {r.lang: r["count"] for r in even_sample(df, "lang", "doc_id", 400).groupBy("lang").count().collect()}
+    assert 120 < many["en"] < 300 and many["xx"] == 10
+    assert even_sample(df, "lang", "doc_id", 4, most_langs=1).where("lang = 'xx'").count() == 0
