@@ -99,8 +99,10 @@ def normalized_act(act: Column) -> Column:
 
 def provisions(text: Column) -> Column:
     """References to provisions: array of (article, paragraph, point, act, raw); a range of up to 20 gives each article."""
-    part = lambda g: F.regexp_extract_all(text, F.lit(PROVISION), F.lit(g))
-    zipped = F.arrays_zip(*[part(g).alias(n) for g, n in enumerate(("raw", "first", "last", "paragraph", "point", "act"))])
+    # the text is searched once, and the parts of a reference in what was found of it
+    part = lambda raw, g: F.regexp_extract(raw, PROVISION, g)
+    names = ("first", "last", "paragraph", "point", "act")
+    zipped = F.transform(F.regexp_extract_all(text, F.lit(PROVISION), F.lit(0)), lambda raw: F.struct(raw.alias("raw"), *[part(raw, g).alias(n) for g, n in enumerate(names, 1)]))
 
     def articles(p: Column) -> Column:
         low, high = p["first"].try_cast("int"), p["last"].try_cast("int")
@@ -298,16 +300,16 @@ SPOKEN_CODES = {
     "k.s.h.": "kodeksu spółek handlowych", "k.w.": "kodeksu wykroczeń",
 }
 SPOKEN = {
-    r"(?i)\bart\.\s*": "artykuł ", r"§\s*": "paragraf ", r"(?i)\bust\.\s*": "ustęp ", r"(?i)\bpkt\s*": "punkt ", r"\bnp\.": "na przykład",
+    r"(?i)\bart\.\s*": "artykuł ", r"(?i)\bust\.\s*": "ustęp ", r"(?i)\bpkt\s*": "punkt ", r"\bnp\.": "na przykład",
     r"\bm\.in\.": "między innymi", r"\bitd\.": "i tak dalej", r"\btzw\.": "tak zwany", r"\bSN\b": "Sąd Najwyższy", r"\bTK\b": "Trybunał Konstytucyjny",
 }
 
 
-def spoken(text: Column) -> Column:
-    """A text for reading aloud, its legal abbreviations in full."""
+def spoken(text: Column, more: dict[str, str] | None = None) -> Column:
+    """A text for reading aloud, its legal abbreviations in full. more has further patterns with the words for them."""
     for short, full in SPOKEN_CODES.items():
         text = F.replace(text, F.lit(short), F.lit(full))
-    for pattern, full in SPOKEN.items():
+    for pattern, full in (SPOKEN | (more or {})).items():
         text = F.regexp_replace(text, pattern.replace(r"\s", "[\\s\u00a0\u202f]"), full)
     return collapsed(text)
 

@@ -52,14 +52,13 @@ def recall_scores(spark, sf_dir):
 SAID = "CLAIM"
 for _short, _full in (("k.c.", "kodeksu cywilnego"), ("k.k.", "kodeksu karnego"), ("k.p.c.", "kodeksu postępowania cywilnego"), ("k.p.", "kodeksu pracy")):
     SAID = f"replace({SAID}, '{_short}', '{_full}')"
-for _pattern, _full in ((r"(?i)\bart\.\s*", "artykuł "), (r"§\s*", "paragraf "), (r"(?i)\bust\.\s*", "ustęp "), (r"(?i)\bpkt\s*", "punkt "), (r"\bnp\.", "na przykład"), (r"\bSN\b", "Sąd Najwyższy")):
+for _pattern, _full in ((r"(?i)\bart\.\s*", "artykuł "), (r"(?i)\bust\.\s*", "ustęp "), (r"(?i)\bpkt\s*", "punkt "), (r"\bnp\.", "na przykład"), (r"\bSN\b", "Sąd Najwyższy")):
     SAID = f"regexp_replace({SAID}, '{_pattern}', '{_full}', 'g')"
 
 
 @query(f"WITH c AS (SELECT o_orderkey, {CLAIM} || '  Ust. 2 pkt 1, np. wyrok SN' AS said FROM orders) SELECT o_orderkey, trim(regexp_replace({SAID.replace('CLAIM', 'said')}, '\\s+', ' ', 'g')) AS spoken FROM c")
 def spoken_claims(spark, sf_dir):
-    B.read(spark, sf_dir, "orders").createOrReplaceTempView("scriptoria_orders")
-    rows = spark.sql(f"SELECT o_orderkey, {CLAIM} AS claim FROM scriptoria_orders")
+    rows = B.read(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{CLAIM} AS claim")
     return rows.select("o_orderkey", T.spoken(F.concat("claim", F.lit("  Ust. 2 pkt 1, np. wyrok SN"))).alias("spoken"))
 
 
