@@ -320,3 +320,33 @@ CONTEXT_ERROR = r"(?i)context (length|window|size|overflow)|n_ctx|exceeds the (a
 
 def is_context_error(message: Column) -> Column:
     return F.coalesce(message.rlike(CONTEXT_ERROR), F.lit(False))
+
+
+# The generator of the seeded shuffle, whose product is a double, and the mask of its 31 bits.
+SHUFFLE_FACTOR, SHUFFLE_STEP, SHUFFLE_MASK = 1103515245, 12345, 0x7FFFFFFF
+
+
+def shuffled(items: Column, seed: Column) -> Column:
+    """An array in an order that a seed fixes; 0 and null are the seed 1. From the last place down, each item changes places with
+    one at or before it that the generator names. The same seed gives the same order wherever it runs."""
+
+    def step(s: Column, i: Column) -> Column:
+        product = s.x.cast("double") * float(SHUFFLE_FACTOR) + float(SHUFFLE_STEP)
+        x = product.cast("bigint").bitwiseAND(F.lit(SHUFFLE_MASK))
+
+        def exchanged(y: Column) -> Column:
+            j = F.least(F.floor(y / float(SHUFFLE_MASK) * (i + 1)).cast("int"), i)
+            a = s.a
+            return F.struct(y.alias("x"), F.transform(a, lambda v, k: F.when(k == i, F.get(a, j)).when(k == j, F.get(a, i)).otherwise(v)).alias("a"))
+
+        return F.get(F.transform(F.array(x), exchanged), F.lit(0))
+
+    first = F.when(F.coalesce(seed, F.lit(0)) == 0, F.lit(1)).otherwise(seed).cast("bigint")
+    start = F.struct(first.alias("x"), items.alias("a"))
+    return F.when(F.size(items) < 2, items).otherwise(F.aggregate(F.sequence(F.size(items) - 1, F.lit(1), F.lit(-1)), start, step, lambda s: s.a))
+
+
+def drawn(pool: Column, n: int, seed: Column, avoid: Column) -> Column:
+    """n items of a pool in an order that the seed fixes, without those to avoid if enough are left; all, if there are fewer."""
+    fresh = F.filter(pool, lambda w: ~F.coalesce(F.array_contains(avoid, w), F.lit(False)))
+    return F.slice(shuffled(F.when(F.size(fresh) >= n, fresh).otherwise(pool), seed), 1, n)

@@ -143,8 +143,9 @@ def opened_file(path: str, data: bytes) -> dict:
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of all files under a path. Files are opened in tasks; texts, pages and Markdown are parted by expressions, the
-    same as for tables. A file without text is a row with an error, like one that cannot be read."""
+    """Blocks of all files under a path, which Spark's binary file source reads. Files are opened in tasks; texts, pages and
+    Markdown are parted by expressions, the same as for tables. A file without text is a row with an error, like one that
+    cannot be read."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -152,7 +153,11 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame([opened_file(p, data)])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    opened = files.select("path", "content").mapInPandas(run, PARTS)
+    return parted_blocks(files.select("path", "content").mapInPandas(run, PARTS))
+
+
+def parted_blocks(opened: DataFrame) -> DataFrame:
+    """Blocks of opened files (see PARTS), however they were opened."""
 
     def parted(part):
         ready = F.array(F.struct(part.kind.alias("kind"), part.level.alias("level"), part.body.alias("text")).cast(etl.BLOCK))
