@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 from scriptoria.llm.common import cut
 
+#: Nodes that are hashed into one, and levels that a task's block of a tree has.
 FANOUT, LEVELS = 3, 7
-BLOCK = FANOUT**LEVELS
 #: A proof: for each level, the digests of the siblings before and after the node on the way, each as one string.
 PATH = "array<struct<before:string,after:string>>"
 
@@ -61,10 +61,10 @@ def with_places(df: DataFrame, tree: str, order: Sequence[Column]) -> DataFrame:
     return ranges.join(counts, [tree, "range_no"]).withColumn("place", F.col("earlier") + F.col("mark") - F.col("first")).drop("mark", "range_no", "first", "earlier")
 
 
-def levels_up(size: int) -> int:
+def levels_up(size: int, levels: int) -> int:
     """Levels that a block of a tree of so many nodes goes up: all of them, or as many as leave one node."""
-    if size > BLOCK:
-        return LEVELS
+    if size > FANOUT**levels:
+        return levels
     up = 0
     while size > 1:
         size, up = -(-size // FANOUT), up + 1
@@ -95,38 +95,40 @@ def siblings(levels: list[np.ndarray]) -> tuple[list[list[str]], list[list[str]]
     return before, after
 
 
-def _sorted_block(table: pa.Table) -> tuple[pa.Table, int]:
-    return table.sort_by("place"), levels_up(table.column("size")[0].as_py())
+def _sorted_block(table: pa.Table, levels: int) -> tuple[pa.Table, int]:
+    return table.sort_by("place"), levels_up(table.column("size")[0].as_py(), levels)
 
 
-def _tops(nodes: DataFrame) -> DataFrame:
+def _tops(nodes: DataFrame, levels: int) -> DataFrame:
     """The tops of the nodes' blocks: the nodes of the next tier."""
 
+    block = FANOUT**levels
+
     def top(table: pa.Table) -> pa.Table:
-        table, up = _sorted_block(table)
+        table, up = _sorted_block(table, levels)
         digest = levels_of(table.column("digest").to_pylist(), up)[-1].tobytes().decode()
-        place, size = table.column("place")[0].as_py() // BLOCK, -(-table.column("size")[0].as_py() // BLOCK)
+        place, size = table.column("place")[0].as_py() // block, -(-table.column("size")[0].as_py() // block)
         return pa.table({"tree": [table.column("tree")[0].as_py()], "place": [place], "size": [size], "digest": [digest]})
 
-    blocks = nodes.select("tree", "place", "size", "digest", F.floor(F.col("place") / BLOCK).alias("block"))
+    blocks = nodes.select("tree", "place", "size", "digest", F.floor(F.col("place") / block).alias("block"))
     return blocks.groupBy("tree", "block").applyInArrow(top, "tree string, place long, size long, digest string")
 
 
-def _tiers(nodes: DataFrame) -> list[DataFrame]:
+def _tiers(nodes: DataFrame, levels: int) -> list[DataFrame]:
     """The nodes and the tiers above them, up to the one that has a single node for each tree."""
     tiers, most = [nodes], nodes.agg(F.max("size")).head()[0] or 0
     while len(tiers) == 1 or most > 1:
-        tiers.append(cut(_tops(tiers[-1]), "tops"))
-        most = -(-most // BLOCK)
+        tiers.append(cut(_tops(tiers[-1], levels), "tops"))
+        most = -(-most // FANOUT**levels)
     return tiers
 
 
-def _with_paths(names: Sequence[str]):
+def _with_paths(names: Sequence[str], levels: int):
     """Of a block's nodes and the row that its top has above, the named columns of the nodes with path, subroot and root."""
     siblings_of_a_level = pa.struct([("before", pa.string()), ("after", pa.string())])
 
     def found(own: pa.Table, above: pa.Table) -> pa.Table:
-        own, up = _sorted_block(own)
+        own, up = _sorted_block(own, levels)
         before, after = siblings(levels_of(own.column("digest").to_pylist(), up))
         (higher,) = above.column("path").to_pylist()
         every = [[{"before": b[i], "after": a[i]} for b, a in zip(before, after, strict=True)] + higher for i in range(own.num_rows)]
@@ -136,19 +138,19 @@ def _with_paths(names: Sequence[str]):
     return found
 
 
-def _down(tiers: list[DataFrame], top: DataFrame) -> DataFrame:
+def _down(tiers: list[DataFrame], top: DataFrame, levels: int) -> DataFrame:
     """The lowest tier's rows, other columns kept, with path, subroot and root. top has these for the highest tier's nodes:
     (tree, place, path, subroot, root)."""
     for nodes in reversed(tiers[:-1]):
         kept = [f for f in nodes.schema.fields if f.name != "size"]
         schema = T.StructType([*kept, *[top.schema[c] for c in ("path", "subroot", "root")]])
-        blocks = nodes.withColumn("block", F.floor(F.col("place") / BLOCK)).groupBy("tree", "block")
+        blocks = nodes.withColumn("block", F.floor(F.col("place") / FANOUT**levels)).groupBy("tree", "block")
         above = top.select("tree", "place", "path", "subroot", "root").groupBy("tree", "place")
-        top = blocks.cogroup(above).applyInArrow(_with_paths([f.name for f in kept]), schema)
+        top = blocks.cogroup(above).applyInArrow(_with_paths([f.name for f in kept], levels), schema)
     return top
 
 
-def merkle_proofs(df: DataFrame, leaf_col: str, group_col: str, order_col: str, keep: Sequence[str] = ()) -> DataFrame:
+def merkle_proofs(df: DataFrame, leaf_col: str, group_col: str, order_col: str, keep: Sequence[str] = (), levels: int = LEVELS) -> DataFrame:
     """keep's columns, leaf, place (from 0, in the group), path, subroot and root for every row of df.
 
     In each group, read as text, leaves ascend by order_col; while several nodes remain, each FANOUT consecutive ones (at the end
@@ -157,7 +159,7 @@ def merkle_proofs(df: DataFrame, leaf_col: str, group_col: str, order_col: str,
 
     Null groups are one group, which comes first; null keys come first in their group; rows of one key go by their leaves, so
     repeated rows are leaves of their own and their order makes no difference to the tree. An empty table gives no rows. Rows
-    are leaves whatever their texts hold; columns of df with the names that come out do no harm, as others are left out. keep
+    are leaves whatever their texts hold; levels changes how much a task has at once, not what comes out; columns of df with the names that come out do no harm, as others are left out. keep
     may not name an output column.
     """
     if clash := {"leaf", "place", "path", "subroot", "root"} & {c.lower() for c in keep}:
@@ -165,12 +167,12 @@ def merkle_proofs(df: DataFrame, leaf_col: str, group_col: str, order_col: str,
     # the key of a tree is never null, and tells a null group from the text of any group
     rows = df.select(field_text(df[group_col]).alias("tree"), df[leaf_col].alias("digest"), df[order_col].alias("number"), *[df[c].alias(f"k{i}") for i, c in enumerate(keep)])
     leaves = with_places(rows, "tree", [F.col("number").asc_nulls_first(), F.col("digest").asc()])
-    tiers = _tiers(leaves)
+    tiers = _tiers(leaves, levels)
     group = F.when(F.col("tree") != "-", F.expr("substr(tree, instr(tree, ':') + 1)"))
     groups = tiers[-1].select(F.lit("all").alias("tree"), F.col("tree").alias("name"), "digest", group.alias("group_name"))
-    over = _tiers(with_places(groups, "tree", [F.col("group_name").asc_nulls_first()]))
+    over = _tiers(with_places(groups, "tree", [F.col("group_name").asc_nulls_first()]), levels)
     nothing, no_text = F.array().cast(PATH).alias("path"), F.lit(None).cast("string").alias("subroot")
-    found = _down(over, over[-1].select("tree", "place", nothing, no_text, F.col("digest").alias("root")))
+    found = _down(over, over[-1].select("tree", "place", nothing, no_text, F.col("digest").alias("root")), levels)
     top = cut(found.select(F.col("name").alias("tree"), F.lit(0).cast("long").alias("place"), "path", F.col("digest").alias("subroot"), "root"), "groups")
-    out = _down(tiers, top)
+    out = _down(tiers, top, levels)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("digest").alias("leaf"), "place", "path", "subroot", "root")
