@@ -157,7 +157,7 @@ BESIDE_BASE = {
 IN_THE_REST = {
     "nir": Kind(r"[12](?:\x20?[0-9]){14}", 60, _nir, ("insee", "nir", "sociale", "vitale"), ABOUT_NUMBERS, "0-9"),
     "ssn": Kind(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 40, _ssn, ("ssn", "social", "security", "taxpayer"), ABOUT_NUMBERS, "0-9-"),
-    "local_phone": Kind(r"[0-9(](?:[\x20()./-]?[0-9]){6,14}", 40, helped_by=ABOUT_PHONES, hurt_by=ABOUT_NUMBERS, apart="0-9"),
+    "local_phone": Kind(r"[0-9(](?:[\x20()./-]{0,2}[0-9]){6,14}", 40, helped_by=ABOUT_PHONES, hurt_by=ABOUT_NUMBERS, apart="0-9"),
 }
 KINDS = BASE_KINDS | BESIDE_BASE | IN_THE_REST
 

@@ -70,7 +70,7 @@ def test_long_runs_need_no_stack_and_no_square(spark):
     n = 1_000_000
     texts = [(p * n)[:n] for p in ("a", "1", "1 ", "a@", "a.", "1.", "+1", "+1(", "A1", "DE89", "a@b.", "(", "@", "1-")]
     got = found(spark, texts)
-    assert got[0] == "" and got[1] == "" and [got[10]] == [f"email:0:{n - 1}"]
+    assert got[0] == "" and got[1] == "" and got[10].split(",") == base(texts[10])
 
 
 def test_mask(spark):
