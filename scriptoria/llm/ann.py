@@ -109,7 +109,8 @@ def nearest(
 
     Vectors that are null, empty or zero or hold null or non-finite components take no part, nor do null ids. Vectors of
     different lengths are not compared. Rows that repeat an id: the same vector counts once, another vector is a further
-    candidate under that id; rows of the query's own id are never its neighbours. Fewer than k candidates: all of them.
+    candidate under that id; rows of the query's own id are never its neighbours. Fewer than k candidates: all of them. An empty table, or one without
+    queries or usable vectors, gives no rows; further columns are left out, whatever their names.
     """
     vectors = df.where(usable(df[vector_col]) & df[id_col].isNotNull()).select(df[id_col].cast("long").alias("id"), df[vector_col].alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     same = F.xxhash64(F.transform("v", lambda x: x + F.lit(0.0)))  # 0.0 and -0.0 alike

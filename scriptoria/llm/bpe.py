@@ -68,7 +68,8 @@ def encode_texts(
 
     No special token is known, so their strings are ordinary text. Null and empty texts have no tokens and empty binaries.
     The rank file is read where the job starts and broadcast: its size is the vocabulary's (0.8 MB for 50k ranks), whatever
-    the data. Each text is handled by itself, in pieces cut at safe boundaries; the ids do not depend on the cuts.
+    the data. Each text is handled by itself, in pieces cut at safe boundaries; the ids do not depend on the cuts. Every row
+    gives one, repeated rows too; an empty table gives none; a kept column with the name of an output is replaced.
     """
     with open(ranks_path, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
@@ -93,7 +94,9 @@ def encode_texts(
 
 
 def decode_ids(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "token_ids") -> DataFrame:
-    """Add decoded: the bytes that packed ids stand for. Null gives null; an id outside the vocabulary fails the job."""
+    """Add decoded: the bytes that packed ids stand for. Null gives null, empty ids empty bytes, of any length; an id outside the
+    vocabulary fails the job. Rows are handled one by one, repeated ones too; an empty table gives an empty one; a column
+    decoded is replaced."""
     with open(ranks_path, "rb") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
     from pyspark.sql import functions as F

@@ -255,6 +255,8 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", keep: list[str
     3-grams', and so on; a word without known letters adds nothing. score is the posterior of the chosen language, with
     the evidence of FULL_WORDS words at most, so that it is no certainty merely for a long text. A text that is null or
     has no letter is `und` with score 0; so is every text if nothing was learned. Ties go to the language that sorts first.
+    Texts of any length are read whole; repeated rows are answered alike; an empty frame gives an empty one; a kept column
+    named lang_pred or score is replaced.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)  # of bounded size, see train()
     return with_texts_mapped(df, text_col, df.columns if keep is None else keep, lambda: Predictor(shared.value), [("lang_pred", T.StringType()), ("score", T.DoubleType())])

@@ -113,7 +113,8 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, key_col: str, most:
 
 def score_quality(df: DataFrame, model: Ensemble, text_col: str = "text") -> DataFrame:
     """df with score (0 to 1) and predicted (1 from 0.5 on), one Column expression over the text's statistics. Null texts
-    count as empty ones and get a score as well. Columns of these names are replaced."""
+    count as empty ones and get a score as well, texts of any length count whole. Rows are scored one by one, repeated ones
+    alike; an empty frame gives an empty one. Columns of these names are replaced."""
     names = dict(zip(model.names, fresh(df, *[f"stat_{n}" for n in model.names]), strict=True))
     stats = {n: c.cast("double") for n, c in statistics(df[text_col]).items()}
     out = df.select("*", *[stats[n].alias(names[n]) for n in model.names])

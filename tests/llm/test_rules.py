@@ -1,4 +1,7 @@
 import math
+import random
+import re
+import unicodedata
 
 import pytest
 
@@ -17,6 +20,39 @@ def test_statistics_of_odd_texts(spark):
         assert all(v is not None and math.isfinite(v) for v in r)
 
 
+def by_hand(text):
+    """The statistics by plain loops."""
+    t = text or ""
+    kind = [unicodedata.category(c) for c in t]
+    words, lines = re.split(r"[ \t\n\x0b\f\r]+", t.strip(" ").lower()), t.split("\n")
+    letters, upper = sum(k[0] == "L" for k in kind), kind.count("Lu")
+    signs = [c for c, k in zip(t, kind, strict=True) if k[0] not in "LN" and c not in " \t\n\x0b\f\r"]
+    chars, n = max(len(t), 1), max(len(words), 1)
+    count = lambda which: sum(c in which for c in signs)
+    return {
+        "length": math.log1p(len(t)), "word_length": letters / n, "letters": letters / chars, "upper": upper / max(letters, 1), "symbols": len(signs) / chars,
+        "plain_stops": count(".,;:?'-") / n, "loud": count("!") / n, "odd_signs": count("#$%&*|<>{}\\^~=+@_") / n, "bars": count("|") / n,
+        "distinct_words": len(set(words)) / math.sqrt(n), "distinct_share": len(set(words)) / n, "distinct_lines": len(set(lines)) / len(lines),
+        "line_words": n / len(lines), "digits": sum(k[0] == "N" for k in kind) / chars,
+    }
+
+
+def test_statistics_and_scores_match_plain_loops(spark):
+    rng = random.Random(9)
+    signs = ["a", "B", "É", "ß", "漢", "7", "²", " ", "  ", "\n", "\t", "!", "|", ".", "#", "_", "~", "{", "“", "\u0301", "x y", "\\", "-"]
+    texts = [*TEXTS[:7], *["".join(rng.choices(signs, k=rng.randrange(0, 60))) for _ in range(300)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in df.select("text", *[c.cast("double").alias(n) for n, c in statistics(F.col("text")).items()]).collect():
+        assert {k: v for k, v in r.asDict().items() if k != "text"} == pytest.approx(by_hand(r.text), abs=1e-12), r.text
+    labelled = spark.createDataFrame([(i, t, int("!" in (t or ""))) for i, t in enumerate(texts)], "doc_id long, text string, quality int")
+    model = fit(labelled, "text", "quality", "doc_id")
+    assert model.rules
+    for r in score_quality(df, model).collect():
+        s = by_hand(r.text)
+        z = model.intercept + sum(w for rule, w in model.rules if all(low < s[n] <= high for n, low, high in rule.bounds))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
 def test_rules_compile_to_what_they_say(spark):
     model = Ensemble(("loud", "bars"), ((Rule((("loud", 0.5, float("inf")),)), -2.0), (Rule((("bars", float("-inf"), 0.1), ("loud", float("-inf"), 0.5))), 1.0)), 0.25)
     df = spark.createDataFrame([(i, t, "clash", "c") for i, t in enumerate(TEXTS)], "doc_id long, text string, score string, stat_loud string")
