@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 def last_writer_wins(base: DataFrame, incoming: DataFrame, keys: list[str], stamp: str = "updated_at") -> DataFrame:
     """One row for each key: the incoming one where it is new or strictly later. Of several incoming rows of a key the
-    latest counts. Merging the same rows again changes nothing."""
+    latest counts, of equally late ones always the same, by a hash of all columns. Merging the same rows again changes nothing."""
     both = base.withColumn("own", F.lit(1)).unionByName(incoming.withColumn("own", F.lit(0)))
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(stamp).desc_nulls_last(), F.desc("own")))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(stamp).desc_nulls_last(), F.desc("own"), F.xxhash64(*sorted(base.columns))))
     return both.withColumn("place", place).where("place = 1").drop("own", "place")
 
 
@@ -64,7 +64,3 @@ def changed_fingerprints(fields: DataFrame, known: DataFrame, key: str, item: st
     """Keys whose set of items differs from the fingerprint that was stored, or was never stored."""
     now = fields.groupBy(key).agg(F.sha2(F.array_join(F.array_sort(F.collect_set(F.col(item).cast("string"))), ","), 256).alias("fingerprint"))
     return now.join(known.select(key, F.col("fingerprint").alias("old")), key, "left").where(~F.col("fingerprint").eqNullSafe(F.col("old"))).select(key, "fingerprint")
-
-
-def deduplicated_suggestions(incoming: DataFrame, open_: DataFrame, keys: list[str]) -> DataFrame:
-    return incoming.dropDuplicates(keys).join(open_.select(*keys), keys, "left_anti")

@@ -74,9 +74,7 @@ SOURCE = """'art. ' || (o_orderkey % 900 + 1 + CASE WHEN o_orderkey % 6 = 0 THEN
 
 
 def claims(spark, sf_dir):
-    o = B.read(spark, sf_dir, "orders")
-    o.createOrReplaceTempView("scriptoria_orders")
-    return spark.sql(f"SELECT o_orderkey, {CLAIM} AS claim, {SOURCE} AS source FROM scriptoria_orders")
+    return B.read(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{CLAIM} AS claim", f"{SOURCE} AS source")
 
 
 def provisions_sql(name: str, key: str, text: str, table: str) -> str:
@@ -287,8 +285,7 @@ CASES = "'W sprawie ' || CASE o_orderkey % 3 WHEN 0 THEN 'III CZP ' WHEN 1 THEN
 
 @query(f"""WITH t AS (SELECT o_orderkey, {CASES} AS text FROM orders) SELECT o_orderkey, array_to_string(list_filter(list_distinct(regexp_extract_all(text, '\\b((?:[IVX]+ )?[A-Z][A-Za-z]{{0,4}} \\d{{1,5}}/\\d{{2}})\\b', 1)), lambda s: NOT starts_with(s, 'Dz')), '; ') AS x FROM t""".replace("AS x FROM", "AS found FROM").replace("list_filter(", "list_sort(list_filter(").replace("starts_with(s, 'Dz'))", "starts_with(s, 'Dz')))"))
 def case_numbers(spark, sf_dir):
-    B.read(spark, sf_dir, "orders").createOrReplaceTempView("scriptoria_orders")
-    rows = spark.sql(f"SELECT o_orderkey, {CASES} AS text FROM scriptoria_orders")
+    rows = B.read(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{CASES} AS text")
     return rows.select("o_orderkey", F.array_join(F.array_sort(T.case_numbers(F.col("text"))), "; ").alias("found"))
 
 

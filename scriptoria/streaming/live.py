@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -20,9 +20,11 @@ def study_sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", gap
 
 
 def first_of_each(events: DataFrame, key: str, ts: str = "ts", late: str = "1 hour") -> DataFrame:
-    """One row for each key; a stream remembers keys only as long as duplicates may come."""
+    """One row for each key; a stream remembers keys only as long as duplicates may come. Of a table's rows it is the first by
+    time, of equal times always the same."""
     if not events.isStreaming:
-        return events.dropDuplicates([key])
+        place = F.row_number().over(Window.partitionBy(key).orderBy(ts, F.xxhash64(*sorted(events.columns))))
+        return events.withColumn("first_place", place).where("first_place = 1").drop("first_place")
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
