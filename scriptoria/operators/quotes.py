@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from scriptoria.functions import text as T
 from scriptoria.operators.search import CUT, lacking_words, locate_quote, located, quote_tokens, stretch
@@ -14,6 +17,8 @@ from scriptoria.operators.tables import settled
 
 #: Characters of the neighbouring fragments in which a field's source may still be found.
 EDGE = 1200
+#: Postings that a task hands over at once, and beginnings of words, five characters each, that every task may be given.
+POSTINGS, FEW_STEMS = 50_000, 200_000
 #: Share of a claim's stems that a passage must have to back it, and the share from which a passage is shown as the closest.
 BACKED, SHOWN = 0.7, 0.25
 
@@ -21,21 +26,33 @@ BACKED, SHOWN = 0.7, 0.25
 # ---- a positional index of stems ----
 
 
-def quote_index(docs: DataFrame, doc_key: str, text: str) -> DataFrame:
+def quote_index(docs: DataFrame, doc_key: str, text: str, only: frozenset[str] | None = None) -> DataFrame:
     """doc_key, stem and places: for each beginning of five characters of a document's words, the numbers of these words. Words
-    that alignment takes for the same begin alike, numbers too."""
-
-    @F.pandas_udf("array<struct<stem:string,places:array<int>>>")
-    def postings(texts: pd.Series) -> pd.Series:
-        def of(t: str | None) -> list[dict]:
-            places: dict[str, list[int]] = {}
-            for i, (word, _, _, _) in enumerate(quote_tokens(t or "")):
-                places.setdefault(word[:5], []).append(i)
-            return [{"stem": stem, "places": at} for stem, at in places.items()]
-
-        return pd.Series([of(t) for t in texts], dtype=object)
-
-    return docs.select(doc_key, F.inline(postings(F.col(text))))
+    that alignment takes for the same begin alike, numbers too. only names the beginnings that are wanted; all unless given."""
+    kind = docs.schema[doc_key].dataType
+    schema = StructType([StructField(doc_key, kind), StructField("stem", StringType()), StructField("places", ArrayType(IntegerType()))])
+
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def handed(keys: pa.Array) -> pa.RecordBatch:
+            flat = [keys.take(pa.array(rows, pa.int64())), pa.array(stems, pa.string()), pa.array(places, pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays(flat, names=[doc_key, "stem", "places"])
+
+        for batch in batches:
+            rows, stems, places = [], [], []
+            for n, t in enumerate(batch.column(1)):
+                at: dict[str, list[int]] = {}
+                for i, (word, _, _, _) in enumerate(quote_tokens(t.as_py() or "")):
+                    if only is None or word[:5] in only:
+                        at.setdefault(word[:5], []).append(i)
+                rows += [n] * len(at)
+                stems += at
+                places += at.values()
+                if len(rows) >= POSTINGS:
+                    yield handed(batch.column(0))
+                    rows, stems, places = [], [], []
+            yield handed(batch.column(0))
+
+    return docs.select(doc_key, docs[text].cast("string").alias("text")).mapInArrow(postings, schema)
 
 
 def pieces_of(quote: str | None) -> list[dict]:
@@ -62,10 +79,11 @@ PIECES = "array<struct<stems:array<string>,least:int,span:int,spare:int>>"
 def located_quotes(quotes: DataFrame, docs: DataFrame, quote_key: str, doc_key: str, text: str) -> DataFrame:
     """quote_key, doc_key, start, end and passage: every quote in every document that has it (see search.locate_quote).
 
-    A document that has a quote has all of its n stems but those of words that alignment lets it lack, so at least one of the
-    rarest lacking + 1 stems: candidates come from these alone, however frequent the others are. Of a candidate the places of
-    the quote's stems are read from the index, and its text only if for each piece some stretch has enough of them. So no
-    place is lost, and texts are aligned only where they nearly must match. Null and empty quotes and texts match nothing.
+    A document that has a quote has all of its n stems but those of words that alignment lets it lack, so of the rarest
+    lacking + m stems at least m: candidates have m of these, m being half of what they need, and the most frequent stems pair
+    nothing. Of a candidate the places of the quote's stems are read from the index, and its text only if for each piece some
+    stretch has enough of them. So no place is lost, and texts are aligned only where they nearly must match. Null and empty
+    quotes and texts match nothing.
     """
 
     @F.pandas_udf(PIECES)
@@ -81,14 +99,22 @@ def located_quotes(quotes: DataFrame, docs: DataFrame, quote_key: str, doc_key:
     asked = settled(asked.withColumn("stems", F.array_distinct(F.flatten("pieces.stems"))).where(F.size("stems") > 0))
     spare = F.aggregate("pieces", F.lit(0), lambda n, p: n + p.spare)
     words = asked.select(quote_key, F.explode("stems").alias("stem"))
-    index = settled(quote_index(docs, doc_key, text).join(words.select("stem").distinct(), "stem", "left_semi"))
+    stems = settled(words.select("stem").distinct())
+    # few beginnings go to the tasks and are picked there; many are picked by a join, and the rows are the same
+    few = frozenset(r.stem for r in stems.collect()) if stems.count() <= FEW_STEMS else None
+    index = quote_index(docs, doc_key, text, few)
+    index = settled(index if few is not None else index.join(stems, "stem", "left_semi"))
     df = index.groupBy("stem").agg(F.count("*").alias("df"))
     ranked = words.join(df, "stem", "left").groupBy(quote_key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "stem"))).alias("ranked"))
-    rarest = ranked.join(asked.select(quote_key, spare.alias("spare")), quote_key).select(quote_key, F.explode(F.slice("ranked.stem", F.lit(1), F.col("spare") + 1)).alias("stem"))
-    pairs = rarest.join(index.select("stem", doc_key), "stem").select(quote_key, doc_key).distinct()
+    half = F.ceil(F.greatest(F.size("ranked") - F.col("spare"), F.lit(1)) / 2).cast("int")
+    rarest = ranked.join(asked.select(quote_key, spare.alias("spare")), quote_key).withColumn("least", half)
+    rarest = rarest.select(quote_key, "least", F.explode(F.slice("ranked.stem", F.lit(1), F.col("spare") + F.col("least"))).alias("stem"))
+    pairs = rarest.join(index.select("stem", doc_key), "stem").groupBy(quote_key, doc_key, "least").agg(F.count("*").alias("both")).where("both >= least").select(quote_key, doc_key)
     places = pairs.join(words, quote_key).join(index, [doc_key, "stem"]).groupBy(quote_key, doc_key).agg(F.collect_list(F.struct("stem", "places")).alias("found"))
     likely = places.join(asked.select(quote_key, "quote", "pieces"), quote_key).where(possible("pieces", "found")).select(quote_key, doc_key, "quote")
-    rows = likely.join(docs.select(doc_key, F.col(text).alias("source")), doc_key).withColumn("at", located(F.col("quote"), F.col("source")))
+    # pairs are few and alignment is slow, so they are dealt out anew, whatever the files that hold the texts
+    rows = settled(likely).join(docs.select(doc_key, F.col(text).alias("source")), doc_key).repartition(quote_key, doc_key)
+    rows = rows.withColumn("at", located(F.col("quote"), F.col("source")))
     return rows.where("at.start IS NOT NULL").select(quote_key, doc_key, "at.start", "at.end", F.col("at.text").alias("passage"))
 
 

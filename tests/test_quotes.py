@@ -34,11 +34,13 @@ def test_the_fast_search_is_the_plain_one(spark):
         assert S.common_length(wanted)([t[1] for t in src]) == S.longest_common(wanted, [t[1] for t in src])[0]
 
 
-def test_copies_frequent_words_and_empty_tables(spark):
+def test_copies_frequent_words_and_empty_tables(spark, monkeypatch):
     docs = [(i, "the cat of the house sat on the mat by the door " * 3) for i in range(40)] + [(99, "a silver lantern of the house sat on the mat"), (100, None)]
     quotes = [(1, "the lantern of the house sat on the mat"), (2, "on the mat"), (3, "the"), (4, "of the … the door"), (5, "")]
     q, d = spark.createDataFrame(quotes, "q long, text string"), spark.createDataFrame(docs, "d long, text string")
     got = {(r.q, r.d, r.start, r.end, r.passage) for r in Q.located_quotes(q, d, "q", "d", "text").collect()}
     assert got == {(a, b, *x) for a, t in quotes for b, u in docs if (x := S.locate_quote(t, u))}
     assert {g[0] for g in got} >= {1, 2, 4} and len(got) > 80
+    monkeypatch.setattr(Q, "FEW_STEMS", 0)
+    assert {(r.q, r.d, r.start, r.end, r.passage) for r in Q.located_quotes(q, d, "q", "d", "text").collect()} == got
     assert Q.located_quotes(q.limit(0), d, "q", "d", "text").collect() == Q.located_quotes(q, d.limit(0), "q", "d", "text").collect() == []
