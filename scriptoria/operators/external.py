@@ -29,6 +29,15 @@ def act_articles(lines: DataFrame, act: str, ord_col: str, text: str) -> DataFra
     return rows.groupBy(act, F.col("number").alias("article")).agg(F.count("*").alias("lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(ord_col, text))), lambda x: x[text]), "\n").alias("text"))
 
 
+def wanted_articles(articles: DataFrame, wanted: DataFrame, act: str) -> DataFrame:
+    """act, article, found and text for every different article that wanted (act, article) names, in any spelling of its number:
+    what an import finds of an act (see act_articles), and what it has to report as missing, also of acts that are not there."""
+    key = F.lower(F.regexp_replace(F.col("article"), r"(?i)^\s*art\.?\s*|[\s.]+", ""))
+    asked = wanted.select(act, key.alias("article")).where("article <> ''").distinct()
+    out = asked.join(articles.select(act, "article", "text"), [act, "article"], "left")
+    return out.select(act, "article", F.col("text").isNotNull().alias("found"), "text")
+
+
 def article_order(article: Column) -> list[Column]:
     """118 before 118a before 119."""
     return [F.regexp_extract(article, r"^\d+", 0).cast("int"), article]

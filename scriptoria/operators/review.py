@@ -83,3 +83,38 @@ def retention(status: Column, target: Column, overall: float, maintenance: float
 def prompt_budget(window: Column, answer: Column, system: Column) -> Column:
     """Tokens left for the sources: 92 in 100 of the window less answer, instructions and a margin."""
     return F.floor(window * 0.92) - answer - T.estimated_tokens(system) - 32
+
+
+def untried_by_lecture(documents: DataFrame, chunks: DataFrame, citations: DataFrame, materials: DataFrame, items: DataFrame, today: Column, days: int = 1) -> DataFrame:
+    """document, lecture_date and fresh: for each note of a lecture today or in the days before, how many of the active materials
+    that cite it, syntheses apart, were never answered; notes without such materials have no row.
+
+    documents: document, kind, lecture_date; chunks: chunk_id, document; citations: owner_type, owner_id, chunk_id; materials:
+    material_id, status, synthesis; items: material_id, reps. Each side is made distinct before it is joined, so that a material
+    that cites a note often counts once.
+    """
+    notes = documents.where((F.col("kind") == "note") & F.col("lecture_date").between(F.date_sub(today, days), today)).select("document", "lecture_date")
+    cited = citations.where("owner_type = 'material'").select(F.col("owner_id").alias("material_id"), "chunk_id")
+    cited = cited.join(chunks.select("chunk_id", "document").join(notes, "document"), "chunk_id").select("material_id", "document", "lecture_date").distinct()
+    untried = materials.where("status = 'active' AND NOT synthesis").select("material_id").join(items.where("reps > 0").select("material_id"), "material_id", "left_anti")
+    return cited.join(untried, "material_id").groupBy("document", "lecture_date").agg(F.count("*").alias("fresh"))
+
+
+def merged_settings(stored: DataFrame, defaults: dict[str, str]) -> DataFrame:
+    """profile, key, value, own: every setting of every profile, as JSON. stored: profile, key, value_json.
+
+    defaults has the JSON of every key; the keys of nested settings are written with a point (as in `ai.model`), and a stored
+    object is laid over the defaults field by field. Values that are no JSON fall back to the default, keys that defaults does
+    not know are left out, and of several rows of a key the greatest value counts.
+    """
+    nested = sorted({k.split(".")[0] for k in defaults if "." in k})
+    read = stored.withColumn("v", F.try_parse_json("value_json")).where("v IS NOT NULL")
+    plain = read.where(~F.col("key").isin(*nested)).select("profile", "key", F.to_json("v").alias("value"))
+    fields = F.from_json(F.to_json("v"), "map<string,variant>")
+    inner = read.where(F.col("key").isin(*nested)).select("profile", F.col("key").alias("outer"), F.explode(fields).alias("field", "x"))
+    inner = inner.select("profile", F.concat_ws(".", "outer", "field").alias("key"), F.to_json("x").alias("value"))
+    known = stored.sparkSession.createDataFrame(sorted(defaults.items()), "key string, usual string")  # as many rows as settings
+    own = plain.unionByName(inner).groupBy("profile", "key").agg(F.max("value").alias("value"))
+    every = stored.select("profile").distinct().crossJoin(F.broadcast(known))
+    out = every.join(own, ["profile", "key"], "left")
+    return out.select("profile", "key", F.coalesce("value", "usual").alias("value"), F.col("value").isNotNull().alias("own"))

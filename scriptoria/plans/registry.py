@@ -33,4 +33,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from scriptoria.plans import answer_plans, change_plans, page_plans, recall_plans, replica_plans, review_plans, session_plans, text_plans, topic_plans  # noqa: F401
+    from scriptoria.plans import answer_plans, change_plans, list_plans, page_plans, recall_plans, replica_plans, review_plans, session_plans, text_plans, topic_plans  # noqa: F401
