@@ -1,4 +1,4 @@
-"""Queries that plan the sessions of twelve learners, to whom the items are dealt out."""
+"""Queries that plan the sessions of learners, each of whom has sixty items."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from scriptoria.plans import bindings as B
 from scriptoria.plans.bindings import TABLES, recall_sql
 from scriptoria.plans.registry import query
 
-LEARNERS = 12
+ITEMS = 60
 NOW, DAY, TODAY = "2024-01-30 21:00:00", "TIMESTAMP '2024-01-30 04:00:00'", "DATE '2024-01-30'"
 MIXED, BLOCKS = Settings(daily_minutes=30, new_per_day=6), Settings(daily_minutes=15, new_per_day=4, interleave=False, ignore_studied_today=True)
 
@@ -17,8 +17,8 @@ MIXED, BLOCKS = Settings(daily_minutes=30, new_per_day=6), Settings(daily_minute
 def _plan(spark, sf_dir, settings):
     items = B.review_item(spark, sf_dir).withColumns(
         {
-            "learner": F.col("item_id") % LEARNERS,
-            "due": F.col("last_review") + F.make_dt_interval(days=F.expr(f"item_id * 7 % 40 * (1 + item_id % {LEARNERS}) div 6 - 10").cast("int")),
+            "learner": F.expr(f"item_id div {ITEMS}"),
+            "due": F.col("last_review") + F.make_dt_interval(days=F.expr(f"item_id * 7 % 40 * (1 + item_id div {ITEMS} % 12) div 6 - 10").cast("int")),
             "buried_until": F.when(F.col("item_id") % 13 == 0, F.lit("2024-01-31 04:00:00")).cast("timestamp_ntz"),
         }
     )
@@ -35,7 +35,7 @@ def plan_sql(s: Settings, select: str) -> str:
     final = "SELECT *, n - 1 AS final FROM chosen" if s.interleave else f"SELECT c.*, row_number() OVER (PARTITION BY learner ORDER BY coalesce(d.days, 9999), subject_id, n) - 1 AS final FROM chosen c LEFT JOIN days d USING (subject_id)"
     match = "s.learner = c.learner" + ("" if s.interleave else " AND s.subject_id = c.subject_id")
     return f"""WITH RECURSIVE {TABLES}, days AS (SELECT subject_id, CAST(min(date) - {TODAY} AS INTEGER) AS days FROM exam WHERE date >= {TODAY} GROUP BY subject_id),
-it AS (SELECT *, item_id % {LEARNERS} AS learner, last_review + to_days(CAST(item_id * 7 % 40 * (1 + item_id % {LEARNERS}) // 6 - 10 AS INTEGER)) AS due FROM review_item),
+it AS (SELECT *, item_id // {ITEMS} AS learner, last_review + to_days(CAST(item_id * 7 % 40 * (1 + item_id // {ITEMS} % 12) // 6 - 10 AS INTEGER)) AS due FROM review_item),
 recent AS (SELECT learner, type, least(duration_ms, 120000) / 1000 AS s, row_number() OVER (PARTITION BY learner ORDER BY ts DESC, log_id) AS n FROM review_log JOIN it USING (item_id) JOIN material USING (material_id) WHERE duration_ms IS NOT NULL),
 ranks AS (SELECT learner, type, s, row_number() OVER (PARTITION BY learner, type ORDER BY s) - 1 AS k, count(*) OVER (PARTITION BY learner, type) AS m FROM recent WHERE n <= 1000),
 usual(type, s) AS (VALUES ('qa', 12.0), ('cloze', 12.0), ('list', 35.0), ('provision', 12.0), ('distinction', 20.0), ('why', 18.0)),
