@@ -75,19 +75,23 @@ class Sampler:
             h, lw = terms[at : at + CHUNK], np.log(w[at : at + CHUNK])
             h1, h2 = h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
             index = (h1 + self.steps * h2) & np.uint32((1 << POOL_BITS) - 1)
-            value = self.single[index]
-            step = None
+            index = index.astype(np.intp)
+            value = self.single.take(index)
             if (many := np.flatnonzero(lw != 0)).size:
-                sub = index[:, many]
-                r, beta = self.r[sub], self.beta[sub]
-                t = np.floor(lw[many] / r + beta)
-                value[:, many] = self.ln_c[sub] - r * (t - beta) - r
-                step = np.zeros(value.shape, np.int64)
-                step[:, many] = t
+                sub = index.take(many, axis=1)
+                r = self.r.take(sub)
+                t = np.floor(lw[many] / r + self.beta.take(sub))
+                value[:, many] -= r * t  # ln a is that of weight 1 less r * t
             least = value.argmin(axis=1)
             found = value[rows, least]
             better = found < best
-            key = h[least] if step is None else h[least] + step[rows, least].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            key = h[least]
+            if many.size:
+                column = np.full(len(h), -1)
+                column[many] = np.arange(many.size)
+                at_least = column[least]
+                steps = np.where(at_least >= 0, t[rows, at_least], 0).astype(np.int64)
+                key = key + steps.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             best, pick = np.where(better, found, best), np.where(better, key, pick)
         pick = (pick ^ (pick >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         short = (pick >> np.uint64(48)).astype(">u2")
