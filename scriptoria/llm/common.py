@@ -64,13 +64,13 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             delete_folder(spark, path)
 
 
-def cut(df: DataFrame, name: str = "cut", keep: bool = False) -> DataFrame:
+def cut(df: DataFrame, name: str = "cut", keep: bool = False, group_bytes: int | None = None) -> DataFrame:
     """Write a frame as a Parquet table in the shared folder and read it again: its lineage ends there, and a lost executor
     loses nothing of it. The table is deleted by drop_cut(), at the end of a scratch() around it unless kept, or with the
-    driver's end."""
+    driver's end. group_bytes is the size of the table's row groups, of which tasks hold one in memory."""
     spark, folder = df.sparkSession, shared_dir(df.sparkSession)
     path = f"{folder}/{name}"
-    df.write.parquet(path)
+    df.write.options(**({"parquet.block.size": group_bytes} if group_bytes else {})).parquet(path)
     delete_at_exit(spark, folder)
     if not keep and (noted := _noted.get()) is not None:
         noted.append(folder)

@@ -33,8 +33,9 @@ GROUP_QUERIES, GROUP_CELLS = 256, 4_000_000
 PILOT_BLOCKS = 4
 #: Bytes of a text whose words are listed at once.
 PIECE_BYTES = 1_000_000
-#: Blocks that Spark hands to a task's Python at once: rows of the index are long.
-ARROW_ROWS = 64
+#: Blocks that Spark reads, and hands to a task's Python, at once: rows of the index are long, about 200 kB. Bytes of a row
+#: group of the index.
+ARROW_ROWS, GROUP_BYTES = 64, 16_000_000
 #: Sums below this are exact as doubles.
 EXACT = 2**53
 
@@ -132,7 +133,7 @@ def index_documents(docs: DataFrame, key_col: str = "doc_id", text_col: str = "t
         if keys:
             yield block()
 
-    return Index(cut(rows.mapInArrow(blocks, _BLOCKS), "blocks"), n_docs, n_terms)
+    return Index(cut(rows.mapInArrow(blocks, _BLOCKS), "blocks", group_bytes=GROUP_BYTES), n_docs, n_terms)
 
 
 def _schema() -> pa.Schema:
@@ -337,14 +338,19 @@ def search(index: Index, items: DataFrame, k: int = 20, item_col: str = "item_id
 
 @contextmanager
 def short_batches(spark: SparkSession) -> Iterator[None]:
-    """What runs inside gets ARROW_ROWS rows at once from Spark; the session's own setting is put back."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(ARROW_ROWS))
+    """What runs inside reads ARROW_ROWS rows of a file at once, as Python gets them; the session's own settings are put back.
+
+    Spark's reader would otherwise decode 4,096 rows together, or as many as a file has, so that memory would grow with files.
+    """
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {name: spark.conf.get(name) for name in names}
+    for name in names:
+        spark.conf.set(name, str(ARROW_ROWS))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def _search_group(index: Index, group: Asked, k: int, item_col: str, kind: str, path: str) -> None:

@@ -104,3 +104,21 @@ def test_nulls_repeated_rows_and_empty_tables(spark):
     assert run(spark, [], items) == [] and run(spark, docs, []) == []
     clash = spark.createDataFrame([(1, "a", "x", "y")], "doc_id long, text string, block string, terms string")
     assert search(index_documents(clash), spark.createDataFrame([(1, "a")], ITEMS)).count() == 1
+
+
+def test_few_blocks_are_read_at_once(spark, monkeypatch):
+    """Searches read short batches and small row groups, whatever the files' sizes, and the session's settings come back."""
+    import pyarrow.parquet as pq
+
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before, seen, scored = [spark.conf.get(n) for n in names], [], ranked._scored
+    monkeypatch.setattr(ranked, "GROUP_BYTES", 100_000)
+    monkeypatch.setattr(ranked, "_scored", lambda *args: seen.append([spark.conf.get(n) for n in names]) or scored(*args))
+    rng = random.Random(4)
+    docs = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(60))) for i in range(12_000)]
+    index = index_documents(spark.createDataFrame(docs, DOCS).coalesce(1))
+    found = search(index, spark.createDataFrame([(1, docs[7][1])], ITEMS), k=3).collect()
+    assert [r.key for r in found if r["rank"] == 1] == [7] and len(found) == 3
+    assert seen and all(int(rows) == ranked.ARROW_ROWS <= 64 for s in seen for rows in s) and [spark.conf.get(n) for n in names] == before
+    (file,) = [f.removeprefix("file:") for f in index.blocks.inputFiles()]
+    assert pq.ParquetFile(file).metadata.num_row_groups > 1
