@@ -19,6 +19,11 @@ def test_phrases_recall_and_reading_aloud(spark):
     assert [r[0] for r in errors.select(T.is_context_error(F.col("s"))).collect()] == [True, False, False]
 
 
+def test_paragraph_marks_are_read_aloud(spark):
+    text = spark.createDataFrame([("Zob. art. 172 § 2 k.c. oraz art. 5 pkt 3 k.p.c., np. wg SN.",)], "s string")
+    assert text.select(T.spoken(F.col("s"))).head()[0] == "Zob. artykuł 172 paragraf 2 kodeksu cywilnego oraz artykuł 5 punkt 3 kodeksu postępowania cywilnego, na przykład wg Sąd Najwyższy."
+
+
 def test_gaps_and_backlog(spark):
     items = spark.createDataFrame([(1, "c10", 1), (1, "c2", 2), (1, "c2", 3), (2, "main", 4), (2, None, 5)], "m int, k string, i int")
     assert {tuple(r) for r in P.first_gaps(items.where("k is not null"), "m", "k", "i").collect()} == {(1, 2, "c2"), (2, 4, "main")}
