@@ -50,6 +50,12 @@ def test_gaps_dates_cases_labels(spark):
     assert labels == ["1 min", "1 h", "1 dzień", "1 mies.", "2,2 lata"]
 
 
+def test_labels_of_very_long_spans(spark):
+    year = 365 * 86_400_000
+    labels = [value(spark, T.interval_label(F.col("t").cast("double")), t=str(n)) for n in (12_207_511 * year + year // 5, 20_000_000 * year, 2 * year)]
+    assert labels == ["12207511,2 lat", "20000000 lat", "2 lata"]
+
+
 def test_hash_ignores_layout(spark):
     assert value(spark, T.content_hash(F.col("a")) == T.content_hash(F.col("b")), a=" Ala  ma\nkota ", b="ala ma kota") is True
 
