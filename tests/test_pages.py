@@ -79,3 +79,18 @@ def test_document_files_as_a_data_source(spark, tmp_path):
     assert {r[0] for r in names(read_document_files(spark, f"file://{tmp_path}", "txt, .MD"))} == {"b.md", "c.txt", "j.txt", "k.txt"}
     raw = spark.read.format("document_files").load(str(tmp_path))
     assert raw.rdd.getNumPartitions() == len(FILES) + 1 and raw.where("error IS NOT NULL").count() == 2
+
+
+def test_numbers_of_five_digits_and_pages_of_many_lines(spark, tmp_path):
+    from scriptoria.plans import page_plans as P
+
+    text = [("Zwykła długa linia tekstu bez końca", 10.0)]
+    shift = lambda first: {r.shift for r in G.page_offsets(G.lines_of(spark.createDataFrame([x for n in range(first, first + 4) for x in page(1, n, text, str(n + 5))], GLYPH), "d"), "d").collect()}
+    assert shift(12_000) == {5} and shift(9_994) == {5} and shift(40) == {5}
+    small = G.lines_of(spark.createDataFrame(page(1, 1, text, "12345") + page(1, 2, text, "7"), GLYPH), "d")
+    assert [r.text for r in G.numbered_lines(small, "d").where("number").collect()] == ["7"]  # five digits number no page of a small file
+    lines = "\n".join(f"this is line {'abcdefghij'[i % 10]} of it" for i in range(900))
+    docs = [(i, lines if i == 0 else "short one", "src0") for i in range(0, 200, 20)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = P.page_blocks(spark, str(tmp_path)).collect()
+    assert not any("reserved" in r.text or r.text in ("6", "96") for r in found) and sum(r.text.count("this is line") for r in found) == 900
