@@ -283,8 +283,14 @@ def version_diff(old: DataFrame, new: DataFrame, doc: str, cited: DataFrame | No
     return rows.select(doc, "chunk_id", "text_hash", action.alias("action"), F.coalesce("new_ord", F.when(action == "retired", late)).alias("ord"))
 
 
+#: Spans that a task sorts, about.
+SPAN_ROWS = 500_000
+
+
 def union_of_spans(spans: DataFrame, key: str) -> DataFrame:
-    """Overlapping or touching spans (start, end) of a key as one."""
+    """Overlapping or touching spans (start, end) of a key as one. Keys are dealt out in parts of about SPAN_ROWS rows, so that a
+    task's memory does not grow with the table."""
+    spans = spans.repartition(max(1, -(-spans.count() // SPAN_ROWS)), key)
     w = Window.partitionBy(key).orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = spans.withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))).withColumn("part", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

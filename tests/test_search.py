@@ -69,3 +69,12 @@ def test_bm25_picks_terms_before_anything_is_shuffled(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(S, "FEW_TERMS", 0)
     assert few == found() and len(few) == 27
+
+
+def test_spans_are_dealt_out_by_their_number(spark, monkeypatch):
+    from scriptoria.operators import etl as E
+
+    monkeypatch.setattr(E, "SPAN_ROWS", 50)
+    spans = spark.createDataFrame([(i % 40, i // 40 * 10, i // 40 * 10 + i % 12) for i in range(400)], "k int, start int, end int")
+    got = E.union_of_spans(spans, "k")
+    assert got.rdd.getNumPartitions() == 8 and {tuple(r) for r in got.where("k = 0").collect()} == {(0, x // 40 * 10, x // 40 * 10 + x % 12) for x in range(0, 400, 40)}
