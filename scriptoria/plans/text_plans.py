@@ -133,8 +133,7 @@ FROM w a JOIN w b ON a.topic_id = b.topic_id AND a.field_type = b.field_type AND
 WHERE len(a.words) > 0 AND len(b.words) > 0 AND (a.keys <> b.keys OR a.numbers <> b.numbers) AND len(list_intersect(a.words, b.words)) / (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))) >= 0.8""")
 def conflict_pairs(spark, sf_dir):
     """Claims of one topic and part, from different documents, that use the same words and state different facts."""
-    o = B.read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("topic_id"), F.col("o_orderstatus").alias("field_type"), (F.col("o_orderkey") % 50).alias("document_id"))
-    rows = o.join(claims(spark, sf_dir), "o_orderkey").select("topic_id", "field_type", F.col("o_orderkey").alias("claim_id"), "document_id", F.col("claim").alias("text"))
+    rows = B.read(spark, sf_dir, "orders").selectExpr("o_custkey AS topic_id", "o_orderstatus AS field_type", "o_orderkey AS claim_id", "o_orderkey % 50 AS document_id", f"{CLAIM} AS text")
     return S.conflicting_claims(rows)
 
 

@@ -78,3 +78,13 @@ def test_spans_are_dealt_out_by_their_number(spark, monkeypatch):
     spans = spark.createDataFrame([(i % 40, i // 40 * 10, i // 40 * 10 + i % 12) for i in range(400)], "k int, start int, end int")
     got = E.union_of_spans(spans, "k")
     assert got.rdd.getNumPartitions() == 8 and {tuple(r) for r in got.where("k = 0").collect()} == {(0, x // 40 * 10, x // 40 * 10 + x % 12) for x in range(0, 400, 40)}
+
+
+def test_conflicts_in_small_and_large_topics(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i % 3, "rule", i, i % 7, f"{' '.join(rng.sample(WORDS[:5], 4))} art. {rng.randint(1, 3)} k.c. {rng.randint(1, 2)} dni") for i in range(60)]
+    claims = spark.createDataFrame(rows, "topic_id int, field_type string, claim_id int, document_id int, text string")
+    found = lambda: sorted(tuple(r) for r in S.conflicting_claims(claims).collect())
+    small = found()
+    monkeypatch.setattr(S, "FEW_CLAIMS", 1)
+    assert small == found() and small
