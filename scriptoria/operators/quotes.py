@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
@@ -76,8 +77,31 @@ def holds_piece(piece: dict, places: dict[str, list[int]]) -> bool:
 PIECES = "array<struct<stems:array<string>,least:int,span:int,spare:int>>"
 
 
+#: Rows that Spark hands to a task's Python at once: texts, and lists of places, are long.
+ARROW_ROWS = 200
+
+
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside gets ARROW_ROWS rows at once from Spark; the session's own setting is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(ARROW_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def located_quotes(quotes: DataFrame, docs: DataFrame, quote_key: str, doc_key: str, text: str) -> DataFrame:
-    """quote_key, doc_key, start, end and passage: every quote in every document that has it (see search.locate_quote).
+    """quote_key, doc_key, start, end and passage: every quote in every document that has it (see search.locate_quote). The rows
+    are written as a table, so that all Python work is done in batches of ARROW_ROWS rows and its memory does not grow."""
+    with short_batches(docs.sparkSession):
+        return settled(_located_quotes(quotes, docs, quote_key, doc_key, text))
+
+
+def _located_quotes(quotes: DataFrame, docs: DataFrame, quote_key: str, doc_key: str, text: str) -> DataFrame:
+    """The rows of located_quotes.
 
     A document that has a quote has all of its n stems but those of words that alignment lets it lack, so of the rarest
     lacking + m stems at least m: candidates have m of these, m being half of what they need, and the most frequent stems pair

@@ -44,3 +44,11 @@ def test_copies_frequent_words_and_empty_tables(spark, monkeypatch):
     monkeypatch.setattr(Q, "FEW_STEMS", 0)
     assert {(r.q, r.d, r.start, r.end, r.passage) for r in Q.located_quotes(q, d, "q", "d", "text").collect()} == got
     assert Q.located_quotes(q.limit(0), d, "q", "d", "text").collect() == Q.located_quotes(q, d.limit(0), "q", "d", "text").collect() == []
+
+
+def test_python_gets_few_rows_at_once(spark, monkeypatch):
+    name, seen, rows = "spark.sql.execution.arrow.maxRecordsPerBatch", [], Q._located_quotes
+    before = spark.conf.get(name)
+    monkeypatch.setattr(Q, "_located_quotes", lambda *a: seen.append(spark.conf.get(name)) or rows(*a))
+    q, d = spark.createDataFrame([(1, "silver lantern of the house")], "q long, text string"), spark.createDataFrame([(i, "a silver lantern of the house") for i in range(300)], "d long, text string")
+    assert Q.located_quotes(q, d, "q", "d", "text").count() == 300 and seen == [str(Q.ARROW_ROWS)] and spark.conf.get(name) == before
