@@ -69,7 +69,7 @@ def model_comparison(answers: DataFrame, chunks: DataFrame, first: int | None =
     topics = answer_topics(read, "answer_id")
     fields = settled(answer_fields(topics, "answer_id").join(read.select("answer_id", "model", "chunk_id"), "answer_id").withColumn("field_id", F.concat_ws("-", "answer_id", "topic", "field")))
     alone = chunks.select("chunk_id", F.col("chunk_id").alias("document"), F.lit(0).alias("ord"), "text")
-    checked = validated_fields(fields.select("field_id", "chunk_id", "text", "quote"), alone).select("field_id", "accepted")
+    checked = validated_fields(fields.select("field_id", "chunk_id", "text", "quote"), alone, neighbours=False).select("field_id", "accepted")
     kept = fields.join(checked, "field_id").groupBy("model").agg(
         F.count_distinct(F.when(F.col("accepted"), F.struct("answer_id", "topic"))).alias("topics"), F.count_if("accepted").alias("fields"), F.count_if(~F.col("accepted")).alias("rejected")
     )

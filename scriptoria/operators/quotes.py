@@ -216,7 +216,7 @@ def _found_across(*columns: Column) -> Column:
     return run(*columns)
 
 
-def validated_fields(fields: DataFrame, chunks: DataFrame) -> DataFrame:
+def validated_fields(fields: DataFrame, chunks: DataFrame, neighbours: bool = True) -> DataFrame:
     """Extracted fields (field_id, chunk_id, text, quote) against the chunks (chunk_id, document, ord, text) they were read from.
 
     A cascade: what backs a field is looked for in its own chunk; for the fields that are left, in the chunk joined with the
@@ -226,20 +226,25 @@ def validated_fields(fields: DataFrame, chunks: DataFrame) -> DataFrame:
     Gives field_id, chunk_id, cited_chunk, place (here, before, after), start and end in the cited chunk, passage, accepted,
     reason, own_words (the quote is the claim itself, which is what a model does that writes from memory), closest and
     closest_score: for fields that nothing backs, the most alike passage of their chunk if it has a quarter of the claim.
+    Without neighbours, chunks are taken alone: nothing is joined to them and their texts are shuffled once.
     Fields with a blank claim are rejected; those of unknown chunks have no row. Repeated rows are handled each for itself.
     """
     chunk = chunks.select("chunk_id", "document", "ord", F.coalesce("text", F.lit("")).alias("here"))
     rows = fields.select("field_id", "chunk_id", F.col("text").alias("claim"), "quote").join(chunk, "chunk_id")
     blank = T.collapsed(F.coalesce("claim", F.lit(""))) == ""
-    first = settled(rows.withColumn("at", _found_here(F.col("quote"), F.when(~blank, F.col("claim")), F.col("here"))))
-    done = first.where("at.start IS NOT NULL").withColumn("cited_chunk", F.col("chunk_id"))
-    beside = lambda name, step: chunk.select("document", (F.col("ord") + step).alias("ord"), F.col("chunk_id").alias(f"{name}_id"), F.col("here").alias(name))
-    left = first.where("at.start IS NULL").drop("at").join(beside("before", 1), ["document", "ord"], "left").join(beside("after", -1), ["document", "ord"], "left")
     text = lambda c: F.coalesce(c, F.lit(""))
-    joined = F.when(~blank & (F.col("before_id").isNotNull() | F.col("after_id").isNotNull()), F.col("claim"))
-    left = left.withColumn("at", _found_across(F.col("quote"), joined, text("before"), F.col("here"), text("after")))
-    cited = F.when(F.col("at.place") == "before", F.col("before_id")).when(F.col("at.place") == "after", F.col("after_id")).otherwise(F.col("chunk_id"))
-    out = done.unionByName(left.withColumn("cited_chunk", cited).select(*done.columns))
+    first = rows.withColumn("at", _found_here(F.col("quote"), F.when(~blank, F.col("claim")), F.col("here")))
+    first = settled(first) if neighbours else first
+    done = first.where("at.start IS NOT NULL").withColumn("cited_chunk", F.col("chunk_id"))
+    if neighbours:
+        beside = lambda name, step: chunk.select("document", (F.col("ord") + step).alias("ord"), F.col("chunk_id").alias(f"{name}_id"), F.col("here").alias(name))
+        left = first.where("at.start IS NULL").drop("at").join(beside("before", 1), ["document", "ord"], "left").join(beside("after", -1), ["document", "ord"], "left")
+        joined = F.when(~blank & (F.col("before_id").isNotNull() | F.col("after_id").isNotNull()), F.col("claim"))
+        left = left.withColumn("at", _found_across(F.col("quote"), joined, text("before"), F.col("here"), text("after")))
+        cited = F.when(F.col("at.place") == "before", F.col("before_id")).when(F.col("at.place") == "after", F.col("after_id")).otherwise(F.col("chunk_id"))
+        out = done.unionByName(left.withColumn("cited_chunk", cited).select(*done.columns))
+    else:
+        out = first.withColumn("cited_chunk", F.col("chunk_id"))
     inside = (F.col("at.place") == "here") & F.contains(F.col("here"), F.col("at.passage"))
     source = F.when(inside, F.col("here")).otherwise(F.concat_ws("\n", "here", "at.passage"))
     invented = F.filter(T.unsupported_facts(F.col("claim"), source), lambda x: x != "")
