@@ -20,6 +20,8 @@ from scriptoria.llm.common import cut, place_of, shard_bounds, shard_of
 LEAST_BYTES = 100
 #: Compressed bytes after which a shard goes on in a new file.
 ROLL_BYTES = 16_000_000
+#: Compressed bytes that a reader unpacks at once.
+SLICE = 16_384
 #: Records carry this date unless the caller gives another: equal input makes equal bytes.
 RECORD_DATE = datetime(2024, 1, 1, tzinfo=UTC)
 
@@ -29,6 +31,10 @@ READ_SCHEMA = (
 )
 
 
+#: Digits of base 32 in RFC 4648, as int() reads them.
+_DIGITS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuv")
+
+
 def digests(pages: DataFrame) -> DataFrame:
     """page_id, payload_digest and size of each row of pages (page_id, payload)."""
     return pages.select("page_id", F.sha2("payload", 256).alias("payload_digest"), F.octet_length("payload").alias("size"))
@@ -120,12 +126,13 @@ def write_warc(
 
         files, attempt, known = Shards(staging, TaskContext.get().taskAttemptId(), roll_bytes), [], (None, None, None)
         for batch in batches:
-            for row in zip(*batch.columns, strict=True):
-                shard, page_id, url, payload, digest, refers_to, full = (x.as_py() for x in row)
+            others = [batch[c].to_pylist() for c in order if c != "payload"]  # payloads one by one: a batch of them may be long
+            for payload, shard, page_id, url, digest, refers_to, full in zip(batch["payload"], *others, strict=True):
                 if not full:
                     known = (page_id, digest, refers_to)
                     continue
                 kind, target = ("revisit", known[2]) if known[:2] == (page_id, digest) else ("response", None)
+                payload = payload.as_py()
                 record = record_bytes(page_id, url, kind, target, len(payload), digest, payload, date)
                 attempt += files.add(shard, gzip_member(record, level))
         attempt += files.close()
@@ -195,16 +202,19 @@ class Shards:
 
 
 def records_in(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Offset, headers and block of each gzip member."""
-    at = 0
+    """Offset, headers and block of each gzip member. A member is unpacked by slices, as zlib copies what it was given beyond
+    the member's end: given the rest of the file, time would grow with its length times its records."""
+    at, view = 0, memoryview(data)
     while at < len(data):
-        unpack = zlib.decompressobj(31)
-        raw = unpack.decompress(memoryview(data)[at:])
-        head, _, block = raw.partition(b"\r\n\r\n")
+        unpack, parts, end = zlib.decompressobj(31), [], at
+        while not unpack.eof and end < len(data):
+            parts.append(unpack.decompress(view[end : end + SLICE]))
+            end = min(end + SLICE, len(data))
+        head, _, block = b"".join(parts).partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         headers = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
         yield at, headers, block[: int(headers["Content-Length"])]
-        at = len(data) - len(unpack.unused_data)
+        at = end - len(unpack.unused_data)
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
@@ -231,9 +241,10 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
                     rows.append(parsed(name, offset, h, block, with_payload))
                     size += len(block) * with_payload
                     if size > 8_000_000 or len(rows) >= 10_000:
-                        yield pa.RecordBatch.from_pylist(rows, READ_ARROW)
+                        yield batch_of(rows)
                         rows, size = [], 0
-                yield pa.RecordBatch.from_pylist(rows, READ_ARROW)
+                if rows:
+                    yield batch_of(rows)
 
     return files.mapInArrow(run, READ_SCHEMA)
 
@@ -244,16 +255,26 @@ READ_ARROW = pa.schema(
 )
 
 
-def parsed(name: str, offset: int, h: dict[str, str], block: bytes, with_payload: bool) -> dict:
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), READ_ARROW, strict=True)], schema=READ_ARROW)
+
+
+def digest_of(header: str) -> str:
+    """The SHA-256 in a digest header, in hex: its 52 digits of base 32 are 256 bits and four that are zero."""
+    return f"{int(header.partition(':')[2].rstrip('=').translate(_DIGITS), 32) >> 4:064x}"
+
+
+def parsed(name: str, offset: int, h: dict[str, str], block: bytes, with_payload: bool) -> tuple:
+    """A row of READ_SCHEMA."""
     number = lambda urn: None if urn is None or urn == "<urn:page:none>" else int(urn.rpartition(":")[2].rstrip(">"))
-    stated, size = base64.b32decode(h["WARC-Payload-Digest"].partition(":")[2]).hex(), int(h["X-Payload-Length"])
-    intact = base64.b32decode(h["WARC-Block-Digest"].partition(":")[2]) == hashlib.sha256(block).digest()
+    stated, size = digest_of(h["WARC-Payload-Digest"]), int(h["X-Payload-Length"])
+    intact = digest_of(h["WARC-Block-Digest"]) == hashlib.sha256(block).hexdigest()
     payload, digest = None, stated
     if h["WARC-Type"] == "response":
         payload = block.partition(b"\r\n\r\n")[2]
         digest = hashlib.sha256(payload).hexdigest()
         intact, size = intact and digest == stated and len(payload) == size, len(payload)
-    return {
-        "page_id": number(h["WARC-Record-ID"]), "url": h["WARC-Target-URI"], "record_id": h["WARC-Record-ID"], "record_type": h["WARC-Type"], "refers_to": number(h.get("WARC-Refers-To")),
-        "payload_bytes": size, "payload_digest": digest, "payload": payload if with_payload else None, "file": name, "offset": offset, "intact": intact,
-    }
+    return (
+        number(h["WARC-Record-ID"]), h["WARC-Target-URI"], h["WARC-Record-ID"], h["WARC-Type"], number(h.get("WARC-Refers-To")),
+        size, digest, payload if with_payload else None, name, offset, intact,
+    )

@@ -1,10 +1,14 @@
 import gzip
 import hashlib
 import json
+import random
+import zlib
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 
+from scriptoria.llm import warc
 from scriptoria.llm.queries import op5_warc
 from scriptoria.llm.common import shard_of
 from scriptoria.llm.warc import read_warc, revisits, write_warc
@@ -95,3 +99,26 @@ def test_one_key_is_cut_apart(spark, tmp_path):
     assert sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got], key=str) == brute(rows)
     order = [(r.page_id is None, r.page_id or 0, r.payload_digest) for r in got]
     assert order == sorted(order)
+
+
+def test_reading_grows_with_the_file(monkeypatch):
+    """A reader hands zlib each record and what follows it in a slice, not the rest of the file for each record."""
+    payloads = [random.Random(i).randbytes(n) for i, n in enumerate([2_000] * 400 + [300_000, 0, 16_384, 2_000])]
+    members = [warc.gzip_member(warc.record_bytes(i, "u", "response", None, len(p), hashlib.sha256(p).hexdigest(), p, warc.RECORD_DATE), 5) for i, p in enumerate(payloads)]
+    data, given = b"".join(members), []
+
+    class Counting:
+        def __init__(self, bits):
+            self.inner = zlib.decompressobj(bits)
+
+        def decompress(self, part):
+            given.append(len(part))
+            return self.inner.decompress(part)
+
+        eof, unused_data = property(lambda self: self.inner.eof), property(lambda self: self.inner.unused_data)
+
+    monkeypatch.setattr(warc, "zlib", SimpleNamespace(decompressobj=Counting))
+    rows = list(warc.records_in(data))
+    assert [block.partition(b"\r\n\r\n")[2] for _, _, block in rows] == payloads
+    assert [at for at, _, _ in rows] == [sum(map(len, members[:i])) for i in range(len(members))]
+    assert sum(given) <= len(data) + 20_000 * len(members) < 10 * len(data)
