@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from scriptoria.llm.common import cut, drop_cut, fold_of, fresh, scratch, table
 
 #: Texts whose language is less certain than this go, and so do texts without letters.
 LEAST_CERTAIN = 0.5
+#: The mixture, as metadata of the column source: Parquet tables and Spark's operators on rows keep it.
+MIXTURE = "mixture"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,26 +54,36 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return clean.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
-def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put the documents in the order of the mixture: files and rows in files follow each other by mix_position.
+def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str, weights: dict[str, float] | None = None) -> DataFrame:
+    """Weigh the sources and put the documents in the order of that mixture: files and rows in files follow each other by
+    mix_position. The sources' units are noted in the metadata of the column source, where the last stage takes them from.
 
-    No document goes or is repeated. Null sources are one source, null doc_ids are placed like others, repeated rows stand
-    next to each other, no documents give none. A column of docs named like one of the operator's stays as it is.
+    Without weights, a source weighs the root of its number of documents. No document goes or is repeated. Null sources are one
+    source, null doc_ids are placed like others, repeated rows stand next to each other, no documents give none. A column of
+    docs named like one of the operator's stays as it is.
     """
     plain = docs.select([F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    mixed = mixing.mix_sources(plain, f"c{docs.columns.index('source')}", f"c{docs.columns.index('doc_id')}")
+    source = f"c{docs.columns.index('source')}"
+    units = mixing.source_units(plain, source, weights)
+    mixed = mixing.mix_sources(plain, source, f"c{docs.columns.index('doc_id')}", units=units)
     mixed = mixed.repartitionByRange("mix_position").sortWithinPartitions("mix_position")
-    return mixed.select(*plain.columns).toDF(*docs.columns)
+    noted = {**docs.schema["source"].metadata, MIXTURE: json.dumps(list(units.items()))}
+    return mixed.select(*plain.columns).toDF(*docs.columns).withMetadata("source", noted)
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text (unsigned 32-bit little-endian, packed) and digests of the ids and of what they decode to, with
-    the row's place in the mixture: readers do not keep the order of rows, and places depend on doc_id and source only.
+    the row's place in the mixture that docs come with. Readers do not keep the order of rows, so rows are placed by doc_id and
+    source under the mixture's units; documents that no mixture was made for have null places.
 
     Null texts are empty ones and have no ids; texts of any length are encoded whole; every row gives one, repeated rows
     too; no documents give none; further columns of docs are left out.
     """
-    mixed = mixing.mix_sources(docs.select("doc_id", "source", "text"))
+    noted, mixed = docs.schema["source"].metadata.get(MIXTURE), docs.select("doc_id", "source", "text")
+    if noted is None:
+        mixed = mixed.select("*", *[F.lit(None).cast("long").alias(c) for c in ("mix_slot", "mix_position")])
+    else:
+        mixed = mixing.mix_sources(mixed, units=dict(json.loads(noted)))
     ids = bpe.encode_texts(mixed, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id", "source", "mix_slot", "mix_position"], decode=True)
     return ids.select("doc_id", "source", "mix_slot", "mix_position", "n_tokens", "token_ids", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,12 +81,18 @@ def all_slots(sources: DataFrame) -> DataFrame:
     )
 
 
-def source_table(counts: DataFrame, weights: dict[str, float] | None, temperature: float, block_rows: int) -> DataFrame:
+def source_table(counts: DataFrame, weights: dict[str, float] | None, temperature: float, block_rows: int, units: dict[str | None, int] | None = None) -> DataFrame:
     """One row per source: n_rows, blocks and units, its weight in PARTS of the whole, 1 at least.
 
-    counts has (source, bucket, n). Without weights, a source's weight is its row count to the power temperature.
+    counts has (source, n) and any number of rows for a source. Without weights, a source's weight is its row count to the power
+    temperature. units gives the sources' units in place of both; a source that it leaves out has 1.
     """
     sources = counts.groupBy("source").agg(F.sum("n").alias("n_rows"))
+    if units is not None:
+        listed = F.lit(json.dumps([{"named": name, "units": int(n)} for name, n in units.items()]))
+        given = counts.sparkSession.range(1).select(F.inline(F.from_json(listed, "array<struct<named:string,units:bigint>>")))
+        found = sources.join(F.broadcast(given), sources.source.eqNullSafe(given.named), "left")  # MAX_SOURCES rows at most
+        return found.select("source", "n_rows", F.ceil(F.col("n_rows") / block_rows).alias("blocks"), F.greatest(F.lit(1), F.col("units")).cast("long").alias("units"))
     if weights is None:
         weight = F.pow(F.col("n_rows").cast("double"), F.lit(float(temperature)))
     else:
@@ -96,6 +104,20 @@ def source_table(counts: DataFrame, weights: dict[str, float] | None, temperatur
     return sources.crossJoin(F.broadcast(total)).select("source", "n_rows", F.ceil(F.col("n_rows") / block_rows).alias("blocks"), units.alias("units"))  # one row of totals
 
 
+def refuse(n: int) -> None:
+    if n > MAX_SOURCES:
+        raise ValueError(f"{n} sources; at most {MAX_SOURCES} can be mixed, so merge small ones first")
+
+
+def source_units(df: DataFrame, source_col: str = "source", weights: dict[str, float] | None = None, temperature: float = 0.5) -> dict[str | None, int]:
+    """Each source's weight in PARTS of the whole, 1 at least, as mix_sources() takes them for units. No rows have none; more than
+    MAX_SOURCES sources are refused with ValueError."""
+    counts = cut(df.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.count("*").alias("n")), "counts")
+    refuse(counts.count())
+    found = source_table(counts, weights, temperature, BLOCK_ROWS).select("source", "units").collect()
+    return dict(sorted(map(tuple, found), key=lambda x: (x[0] is not None, x[0] or "")))
+
+
 def mix_sources(
     df: DataFrame,
     source_col: str = "source",
@@ -104,6 +126,7 @@ def mix_sources(
     temperature: float = 0.5,
     block_rows: int = BLOCK_ROWS,
     buckets: int | None = None,
+    units: dict[str | None, int] | None = None,
 ) -> DataFrame:
     """Give each row its place in a mixture of the sources.
 
@@ -118,7 +141,7 @@ def mix_sources(
     (slot * block_rows + place in the block; unique if keys are). A column of such a name is replaced.
 
     A null source is a source of its own; sources that weights leaves out, or gives zero or less, get one part of PARTS, so
-    they come last. Rows with equal keys stand next to each other, in any order. An empty frame gives an empty one. Skew: rows
+    they come last. units, from source_units(), stands for weights and temperature. Rows with equal keys stand next to each other, in any order. An empty frame gives an empty one. Skew: rows
     are numbered within (source, bucket), with prefix sums over the buckets, so a source with most rows is spread over as
     many tasks as its rows ask for. The sources' table goes to every task: more than MAX_SOURCES sources are refused with
     ValueError. One task makes the schedule: choose block_rows so that there are some ten million blocks at most.
@@ -130,9 +153,8 @@ def mix_sources(
     rows = df.withColumn(src, F.col(source_col).cast("string")).withColumn(order, F.md5(F.coalesce(F.col(key_col).cast("string"), F.lit(""))))
     rows = rows.withColumn(bucket, F.expr(f"cast(conv(substr({order}, 1, 8), 16, 10) as bigint) * {int(buckets)} div 4294967296"))
     counts = cut(rows.groupBy(F.col(src).alias("source"), F.col(bucket).alias("bucket")).agg(F.count("*").alias("n")), "counts")
-    sources = cut(source_table(counts, weights, temperature, block_rows).coalesce(1), "sources")
-    if (n := sources.count()) > MAX_SOURCES:
-        raise ValueError(f"{n} sources; at most {MAX_SOURCES} can be mixed, so merge small ones first")
+    sources = cut(source_table(counts, weights, temperature, block_rows, units).coalesce(1), "sources")
+    refuse(sources.count())
     slots = cut(all_slots(sources), "slots")
 
     def to_all(frame: DataFrame, n_rows: int) -> DataFrame:
