@@ -288,10 +288,11 @@ SPAN_ROWS = 500_000
 
 
 def union_of_spans(spans: DataFrame, key: str) -> DataFrame:
-    """Overlapping or touching spans (start, end) of a key as one. Keys are dealt out in parts of about SPAN_ROWS rows, so that a
-    task's memory does not grow with the table."""
+    """Overlapping or touching spans (start, end) of a key as one. Nulls come last, as in the SQL: a span without a start joins
+    the key's last one, if any before it has an end. Keys are dealt out in parts of about SPAN_ROWS rows, so that a task's memory does not
+    grow with the table."""
     spans = spans.repartition(max(1, -(-spans.count() // SPAN_ROWS)), key)
-    w = Window.partitionBy(key).orderBy("start", "end")
+    w = Window.partitionBy(key).orderBy(F.asc_nulls_last("start"), F.asc_nulls_last("end"))
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = spans.withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1))).withColumn("part", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = spans.withColumn("new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)).withColumn("part", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy(key, "part").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("part")

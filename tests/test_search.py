@@ -88,3 +88,11 @@ def test_conflicts_in_small_and_large_topics(spark, monkeypatch):
     small = found()
     monkeypatch.setattr(S, "FEW_CLAIMS", 1)
     assert small == found() and small
+
+
+def test_spans_with_nulls_or_repeated(spark):
+    from scriptoria.operators import etl as E
+
+    rows = [(1, None, None), (1, 5, 9), (1, 8, 12), (2, None, None), (3, 4, None), (3, 4, 5), (3, 6, 8), (4, 0, 5), (4, 10, 20), (4, 10, 20), (4, 10, 20), (None, 1, 2), (None, 2, 3)]
+    got = E.union_of_spans(spark.createDataFrame(rows, "k int, start int, end int"), "k")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, 5, 12), (2, None, None), (3, 4, 5), (3, 6, 8), (4, 0, 5), (4, 10, 20), (None, 1, 3)]))
